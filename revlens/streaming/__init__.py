@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no streaming surface: it recomputes every result from
+whole exported files on each run (SURVEY §2.12), so no watermark, window or
+state operator is built.  All operators here are batch DataFrame plans; they
+can be applied inside ``foreachBatch`` of a file-source stream unchanged,
+because none of them depends on driver-side state.
+"""
