@@ -23,6 +23,10 @@ def _zero():
     return F.lit(0).cast("decimal(18,2)")
 
 
+def _money(c, exact: bool):
+    return c if exact else c.cast("double")
+
+
 def row_order():
     """Explicit input order of the invoice feed."""
     return F.struct(F.col("date"), F.col("id"))
@@ -53,19 +57,20 @@ def revenue_12m_rows(invoices: DataFrame, as_of: datetime, **skew) -> DataFrame:
                          F.when(m12, F.col("revenue_12m_user")).cast("double").alias("revenue_12m"))
 
 
-def invoice_12m_by_user(invoices: DataFrame, as_of: datetime) -> DataFrame:
+def invoice_12m_by_user(invoices: DataFrame, as_of: datetime, exact: bool = False) -> DataFrame:
     """One row per customer — trailing-year paid revenue (NULL when the
-    customer has no such invoice) and the flag of the kept row."""
+    customer has no such invoice) and the flag of the kept row.  ``exact``
+    keeps the money as DECIMAL for further exact sums."""
     rows = with_trailing_flag(invoices, as_of)
     _, m12, _ = _masks()
     n12 = F.count_if(m12)
     return rows.groupBy("userid").agg(
-        F.when(n12 > 0, F.coalesce(F.sum(F.when(m12, F.col("total"))), _zero()))
-        .cast("double").alias("revenue_12m"),
+        _money(F.when(n12 > 0, F.coalesce(F.sum(F.when(m12, F.col("total"))), _zero())), exact)
+        .alias("revenue_12m"),
         F.when(n12 > 0, F.lit(True)).otherwise(F.min_by("in_12m", row_order())).alias("in_12m"))
 
 
-def invoice_revenue_by_user(invoices: DataFrame) -> DataFrame:
+def invoice_revenue_by_user(invoices: DataFrame, exact: bool = False) -> DataFrame:
     """D3: count of positive paid invoices (NULL when none) and paid revenue.
     A customer without a positive paid invoice keeps the first input row, whose
     revenue is NULL unless that row is paid (quirk Q10)."""
@@ -74,8 +79,8 @@ def invoice_revenue_by_user(invoices: DataFrame) -> DataFrame:
     keep = (npos > 0) | F.coalesce(F.min_by("status", row_order()) == E.PAID, F.lit(False))
     return invoices.groupBy("userid").agg(
         F.nullif(npos, F.lit(0)).alias("paid_invoices"),
-        F.when(keep, F.coalesce(F.sum(F.when(paid, F.col("total"))), _zero()))
-        .cast("double").alias("revenue"))
+        _money(F.when(keep, F.coalesce(F.sum(F.when(paid, F.col("total"))), _zero())), exact)
+        .alias("revenue"))
 
 
 def tickets_by_user(tickets: DataFrame) -> DataFrame:
@@ -84,16 +89,16 @@ def tickets_by_user(tickets: DataFrame) -> DataFrame:
 
 
 def profit_by_customer(invoices: DataFrame, tickets: DataFrame,
-                       cost_per_ticket: float = 75.0) -> DataFrame:
+                       cost_per_ticket: float = 75.0, exact: bool = False) -> DataFrame:
     """J7 + E12: invoice revenue ⟗ tickets, missing as 0, cost and profit.
 
     Both sides are already hash-partitioned by ``userid`` by their own
     aggregates, so the full outer join adds no exchange."""
-    rev = invoice_revenue_by_user(invoices)
+    rev = invoice_revenue_by_user(invoices, exact)
     tix = tickets_by_user(tickets)
     j = rev.join(tix, "userid", "full_outer")
     tickets_c = F.coalesce(F.col("tickets"), F.lit(0)).cast("bigint")
-    revenue_c = F.coalesce(F.col("revenue"), F.lit(0.0))
+    revenue_c = F.coalesce(F.col("revenue"), _zero() if exact else F.lit(0.0))
     cost = tickets_c.cast("double") * F.lit(float(cost_per_ticket))
     return j.select(
         "userid",
@@ -101,4 +106,4 @@ def profit_by_customer(invoices: DataFrame, tickets: DataFrame,
         revenue_c.alias("revenue"),
         tickets_c.alias("tickets"),
         cost.alias("cost"),
-        (revenue_c - cost).alias("profit"))
+        (revenue_c.cast("double") - cost).alias("profit"))

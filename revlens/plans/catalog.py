@@ -222,3 +222,178 @@ def _q_tickets(f: Feeds):
 @query("profit_by_customer")
 def _q_profit(f: Feeds):
     return invoices.profit_by_customer(f.invoices(), f.tickets(), f.p.cost_per_ticket)
+
+
+# ---------------------------------------------------------------- customer level
+def _stats(f: Feeds):
+    return services.service_stats(f.services(), f.p.as_of)
+
+
+def _revenue_long(f: Feeds):
+    return customers.product_revenue_long(_stats(f))
+
+
+def _user_costs(f: Feeds):
+    return services.user_cost(_costed(f))
+
+
+@query("product_costs_long")
+def _q_costs_long(f: Feeds):
+    return customers.product_costs_long(_user_costs(f))
+
+
+@query("product_revenue_long")
+def _q_revenue_long(f: Feeds):
+    r = _revenue_long(f)
+    return r.select("product", "userid", "final_status", "active_services",
+                    *[F.col(c).cast("double").alias(c) for c in ["payment", "future_revenue", "revenue"]])
+
+
+@query("customer_free_cost")
+def _q_customer_free_cost(f: Feeds):
+    return customers.customer_free_cost(_user_costs(f), invoices.invoice_12m_by_user(f.invoices(), f.p.as_of))
+
+
+@query("customer_revenue_summary")
+def _q_customer_revenue(f: Feeds):
+    return customers.customer_revenue_summary(_revenue_long(f),
+                                              invoices.invoice_revenue_by_user(f.invoices(), exact=True))
+
+
+@query("customer_totals")
+def _q_customer_totals(f: Feeds):
+    return customers.customer_totals(_revenue_long(f))
+
+
+@query("highest_revenue_per_customer")
+def _q_highest(f: Feeds):
+    return customers.highest_revenue_per_customer(_revenue_long(f))
+
+
+@query("revenue_by_product_status")
+def _q_rev_by_status(f: Feeds):
+    return customers.revenue_by_product_status(_revenue_long(f))
+
+
+@query("active_clients")
+def _q_active_clients(f: Feeds):
+    return customers.active_clients(_revenue_long(f))
+
+
+def _kpis(f: Feeds):
+    return customers.kpis(invoices.invoice_12m_by_user(f.invoices(), f.p.as_of, exact=True),
+                          _costed(f),
+                          invoices.profit_by_customer(f.invoices(), f.tickets(), f.p.cost_per_ticket, exact=True),
+                          f.p.cost_per_ticket)
+
+
+@query("kpis")
+def _q_kpis(f: Feeds):
+    return _kpis(f)
+
+
+@query("kpi_text")
+def _q_kpi_text(f: Feeds):
+    return customers.kpi_text(_kpis(f), customers.active_clients(_revenue_long(f)))
+
+
+@query("annual_metric_table")
+def _q_metric_table(f: Feeds):
+    return customers.annual_metric_table(_kpis(f))
+
+
+@query("acquisition_cost")
+def _q_acquisition(f: Feeds):
+    return customers.acquisition_cost(_kpis(f), f.p.acquisition_multiplier, f.p.operational_cost)
+
+
+# ---------------------------------------------------------------- cohort
+@query("user_year_pivot")
+def _q_user_year_pivot(f: Feeds):
+    return cohort.user_year_pivot(f.invoices(), f.p.years)
+
+
+@query("signup_signoff")
+def _q_signup(f: Feeds):
+    return cohort.signup_signoff(f.invoices())
+
+
+def _cohort(f: Feeds, rounded: bool = True):
+    return cohort.annual_cohort(f.spark, f.invoices(), f.p.years, rounded=rounded)
+
+
+for _name, _metric in [("subscribers_by_year", "subscribers"), ("additions_by_year", "additions"),
+                       ("disengagement_by_year", "disengagement"), ("revenue_by_year", "revenue"),
+                       ("arpu_by_year", "arpu")]:
+    query(_name)(lambda f, _m=_metric: cohort.metric_by_year(_cohort(f, rounded=False), _m))
+
+
+@query("annual_cohort")
+def _q_annual_cohort(f: Feeds):
+    return _cohort(f)
+
+
+@query("lagged_subscribers")
+def _q_lagged(f: Feeds):
+    return cohort.lagged_subscribers(_cohort(f))
+
+
+@query("cohort_forecast")
+def _q_cohort_forecast(f: Feeds):
+    return cohort.cohort_forecast(_cohort(f))
+
+
+@query("forecast_table_long")
+def _q_forecast_long(f: Feeds):
+    return cohort.forecast_table_long(cohort.cohort_forecast(_cohort(f)))
+
+
+@query("rate_bands")
+def _q_rate_bands(f: Feeds):
+    return cohort.rate_bands(cohort.cohort_forecast(_cohort(f)))
+
+
+# ---------------------------------------------------------------- forecast
+def _train_years(f: Feeds):
+    return [y for y in f.p.years if y < f.p.partial_year]
+
+
+def _hw_fit(f: Feeds):
+    series = forecast.revenue_series(f.invoices(), tables.read_table(f.spark, f.sf_dir, "customer"),
+                                     _train_years(f))
+    return forecast.holt_winters(series, _train_years(f), f.p.hw_season, f.p.hw_horizon)
+
+
+def _hw_forecast(f: Feeds, rounded: bool = True):
+    return forecast.hw_forecast(_hw_fit(f), max(_train_years(f)), f.p.hw_season, f.p.hw_horizon, rounded)
+
+
+@query("hw_forecast")
+def _q_hw_forecast(f: Feeds):
+    return _hw_forecast(f)
+
+
+@query("hw_fitted")
+def _q_hw_fitted(f: Feeds):
+    return forecast.hw_fitted(_hw_fit(f), _train_years(f))
+
+
+@query("growth_projection")
+def _q_growth(f: Feeds):
+    return forecast.growth_projection(_hw_forecast(f, rounded=False), f.p.growth_rate, f.p.churn_rate, f.p.projection_years)
+
+
+# ---------------------------------------------------------------- finance
+@query("finance_sales_by_unit")
+def _q_fin_unit(f: Feeds):
+    return finance.sales_by_unit(f.finance(), f.p.finance_year, f.p.finance_account)
+
+
+@query("finance_monthly_long")
+def _q_fin_monthly(f: Feeds):
+    return finance.monthly_long(f.finance(), f.p.finance_year, f.p.finance_account, f.p.finance_unit)
+
+
+@query("finance_yearly_by_account")
+def _q_fin_yearly(f: Feeds):
+    return finance.yearly_by_account(f.finance(), f.p.finance_scenario, f.p.finance_account)

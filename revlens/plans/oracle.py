@@ -171,6 +171,7 @@ FROM svc_w WHERE product = '{prod}' GROUP BY userid"""
   coalesce(r.revenue, 0.0::DOUBLE) - CAST(coalesce(t.tickets, 0) AS DOUBLE) * {float(p.cost_per_ticket)}::DOUBLE AS profit
 FROM ({_invrev_sql()}) r
 FULL OUTER JOIN (SELECT userid, count(*) AS tickets FROM tix GROUP BY userid) t ON r.userid = t.userid"""
+    q.update(more_statements(p))
     return q
 
 
@@ -203,3 +204,231 @@ def _invrev_sql() -> str:
         FROM (SELECT *, coalesce(status = 'Paid', false) AS m,
                         coalesce(status = 'Paid' AND total > 0, false) AS mp FROM inv)))
 WHERE rn = 1"""
+
+
+def _invrev_dec_sql() -> str:
+    return _invrev_sql().replace("CAST(revenue AS DOUBLE) AS revenue", "revenue")
+
+
+def _inv12_dec_sql() -> str:
+    return _inv12_sql().replace("CAST(revenue_12m AS DOUBLE) AS revenue_12m", "revenue_12m")
+
+
+def customer_ctes(p: Params) -> str:
+    months = ", ".join(f"y{y}" for y in p.years)
+    return f"""roll AS (
+  SELECT product, userid, min(final_status) AS final_status, max(active_services) AS active_services,
+         max(payment) AS payment, max(future_revenue) AS future_revenue, max(revenue) AS revenue
+  FROM svc_w GROUP BY product, userid),
+rollf AS (
+  SELECT product, userid, final_status, CAST(coalesce(active_services, 0) AS BIGINT) AS active_services,
+         coalesce(payment, 0) AS payment, coalesce(future_revenue, 0) AS future_revenue,
+         coalesce(revenue, 0) AS revenue
+  FROM roll),
+ucost AS (
+  SELECT product, userid, final_status, total_free_service_cost, lagging_cycles FROM (
+    SELECT product, userid, final_status, lagging_cycles,
+      coalesce(CAST(sum(CAST(round_even(free_service_cost * 1000000.0::DOUBLE, 0) AS DECIMAL(30,0)))
+                    OVER (PARTITION BY product, userid) AS DOUBLE) / 1000000.0::DOUBLE, 0.0::DOUBLE)
+        AS total_free_service_cost,
+      row_number() OVER (PARTITION BY product, userid
+                         ORDER BY final_status, nextinvoicedate NULLS LAST, lagging_cycles) AS rn
+    FROM svc_cost) WHERE rn = 1),
+inv12u AS ({_inv12_dec_sql()}),
+invrevu AS ({_invrev_dec_sql()}),
+tixu AS (SELECT userid, count(*) AS tickets FROM tix GROUP BY userid),
+profit AS (
+  SELECT coalesce(r.userid, t.userid) AS userid, coalesce(r.revenue, 0) AS revenue,
+         coalesce(t.tickets, 0) AS tickets
+  FROM invrevu r FULL OUTER JOIN tixu t ON r.userid = t.userid),
+kpi AS (
+  SELECT coalesce(CAST((SELECT sum(revenue_12m) FROM inv12u) AS DOUBLE), 0.0::DOUBLE) AS annual_revenue,
+         coalesce(CAST((SELECT sum(CAST(round_even(free_service_cost * 1000000.0::DOUBLE, 0) AS DECIMAL(38,0)))
+                        FROM svc_cost) AS DOUBLE), 0.0::DOUBLE) / 1000000.0::DOUBLE AS free_service_cost,
+         round_even(coalesce(CAST((SELECT sum(revenue) FROM profit) AS DOUBLE), 0.0::DOUBLE), 0) AS revenue_earned,
+         coalesce(CAST((SELECT sum(revenue) FROM profit) AS DOUBLE), 0.0::DOUBLE)
+           - coalesce(CAST((SELECT sum(tickets) FROM profit) AS DOUBLE), 0.0::DOUBLE)
+             * {float(p.cost_per_ticket)}::DOUBLE AS profit),
+clients AS (
+  SELECT count(*) AS active_clients, count(*) FILTER (WHERE n > 0) AS active_clients_corrected
+  FROM (SELECT userid, sum(active_services) AS n FROM rollf GROUP BY userid))"""
+
+
+def cohort_ctes(p: Params) -> str:
+    ycols = ",\n         ".join(
+        f"sum(CASE WHEN year(date) = {y} THEN coalesce(total, 0) ELSE 0 END) AS y{y}" for y in p.years)
+    yon = ", ".join(f"y{y}" for y in p.years)
+    return f"""piv AS (
+  SELECT userid,
+         {ycols},
+         strftime(min(date), '%Y') AS signup_year, strftime(max(date), '%Y') AS signoff_year,
+         min(date) AS first_paid, max(date) AS last_paid
+  FROM inv WHERE status = 'Paid' GROUP BY userid),
+subs AS (
+  SELECT CAST(substr(yname, 2) AS INTEGER) AS year, count(*) FILTER (WHERE v > 0) AS subscribers,
+         sum(v) AS revenue
+  FROM (UNPIVOT (SELECT {yon} FROM piv) ON {yon} INTO NAME yname VALUE v) GROUP BY yname),
+adds AS (SELECT CAST(signup_year AS INTEGER) AS year, count(*) AS additions FROM piv
+         WHERE signup_year IS NOT NULL GROUP BY 1),
+dis AS (SELECT CAST(signoff_year AS INTEGER) AS year, count(*) AS disengagement FROM piv
+        WHERE signoff_year IS NOT NULL GROUP BY 1),
+yrs AS (SELECT year FROM subs UNION SELECT year FROM adds UNION SELECT year FROM dis),
+coh AS (
+  SELECT y.year, s.subscribers, a.additions, d.disengagement, CAST(s.revenue AS DOUBLE) AS revenue,
+         CAST(s.revenue AS DOUBLE) / nullif(s.subscribers, 0) AS arpu
+  FROM yrs y LEFT JOIN subs s ON s.year = y.year LEFT JOIN adds a ON a.year = y.year
+       LEFT JOIN dis d ON d.year = y.year),
+coh_r AS (
+  SELECT year, subscribers, additions, disengagement, {_r('revenue', 2)} AS revenue, {_r('arpu', 2)} AS arpu
+  FROM coh),
+f1 AS (SELECT *, CAST(lag(subscribers, 1, 0) OVER (ORDER BY year) AS DOUBLE) AS ps FROM coh_r),
+f2 AS (SELECT *, CAST(additions AS DOUBLE) / nullif(ps, 0) AS g,
+                 CAST(disengagement AS DOUBLE) / nullif(ps, 0) AS c FROM f1),
+f3 AS (SELECT *, ps - ps * lag(c, 1, 0.0::DOUBLE) OVER w + ps * lag(g, 1, 0.0::DOUBLE) OVER w AS fs,
+                 lag(arpu, 1, 0.0::DOUBLE) OVER w AS pa
+       FROM f2 WINDOW w AS (ORDER BY year)),
+f4 AS (SELECT *, pa * fs AS fr FROM f3),
+f5 AS (SELECT *, fr - revenue AS v FROM f4),
+fc AS (
+  SELECT year, subscribers, additions, disengagement, revenue, arpu,
+         {_r('g', 2)} AS growth_rate, {_r('c', 2)} AS churn_rate, {_r('fs', 2)} AS forecast_subscribers,
+         {_r('fr', 2)} AS forecast_revenue, {_r('v', 2)} AS variance,
+         {_r('v / nullif(revenue, 0) * 100.0::DOUBLE', 2)} AS var_rate
+  FROM f5)"""
+
+
+def finance_ctes(p: Params) -> str:
+    months = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+    cells = ",\n         ".join(
+        f"sum(CASE WHEN month(l_shipdate) = {i + 1} THEN signed END) AS {m}" for i, m in enumerate(months))
+    return f"""fin AS (
+  SELECT Scenario, business_unit, Account, Year,
+         {cells}
+  FROM (SELECT CASE l_linestatus WHEN 'O' THEN 'Actuals' WHEN 'F' THEN 'Budget' END AS Scenario,
+               p_type AS business_unit,
+               CASE l_returnflag WHEN 'N' THEN 'Sales' WHEN 'R' THEN 'COGS' WHEN 'A' THEN 'Returns' END AS Account,
+               CAST(year(l_shipdate) AS INTEGER) AS Year, l_shipdate,
+               CASE WHEN l_returnflag = 'N' THEN CAST(l_extendedprice AS DECIMAL(18,2))
+                    ELSE -CAST(l_extendedprice AS DECIMAL(18,2)) END AS signed
+        FROM lineitem JOIN part ON l_partkey = p_partkey)
+  GROUP BY Scenario, business_unit, Account, Year)"""
+
+
+_MONTHS = "Jan, Feb, Mar, Apr, May, Jun, Jul, Aug, Sep, Oct, Nov, Dec"
+
+
+def more_statements(p: Params = DEFAULT) -> dict[str, str]:
+    q: dict[str, str] = {}
+    cust = _with(p, "svc_w", "svc_cost", "inv12", "tix").rstrip("\n") + ",\n" + customer_ctes(p) + "\n"
+    q["product_costs_long"] = cust + (
+        "SELECT product, userid, final_status, total_free_service_cost, lagging_cycles FROM ucost")
+    q["product_revenue_long"] = cust + """SELECT product, userid, final_status, active_services,
+  CAST(payment AS DOUBLE) AS payment, CAST(future_revenue AS DOUBLE) AS future_revenue,
+  CAST(revenue AS DOUBLE) AS revenue FROM rollf"""
+    q["customer_free_cost"] = cust + """, a AS (SELECT * FROM ucost WHERE product = 'hostingaddons'),
+h AS (SELECT * FROM ucost WHERE product = 'hosting'),
+d AS (SELECT * FROM ucost WHERE product = 'domain'),
+s1 AS (SELECT coalesce(a.userid, h.userid) AS userid, a.final_status AS final_status_addon,
+              h.final_status AS final_status_hosting, a.total_free_service_cost AS total_free_service_cost_addon,
+              h.total_free_service_cost AS total_free_service_cost_hosting
+       FROM a FULL OUTER JOIN h ON a.userid = h.userid),
+s2 AS (SELECT coalesce(s1.userid, d.userid) AS userid, final_status_addon, final_status_hosting,
+              d.final_status AS final_status_domain, total_free_service_cost_addon,
+              total_free_service_cost_hosting, d.total_free_service_cost AS total_free_service_cost_domain
+       FROM s1 FULL OUTER JOIN d ON s1.userid = d.userid),
+s3 AS (SELECT coalesce(s2.userid, i.userid) AS userid, final_status_addon, final_status_hosting,
+              final_status_domain, total_free_service_cost_addon, total_free_service_cost_hosting,
+              total_free_service_cost_domain, CAST(i.revenue_12m AS DOUBLE) AS revenue_12m, i.in_12m
+       FROM s2 FULL OUTER JOIN inv12u i ON s2.userid = i.userid)
+SELECT *, (0.0::DOUBLE
+   + coalesce(round_even(total_free_service_cost_addon * 1000000.0::DOUBLE, 0), 0.0::DOUBLE)
+   + coalesce(round_even(total_free_service_cost_hosting * 1000000.0::DOUBLE, 0), 0.0::DOUBLE)
+   + coalesce(round_even(total_free_service_cost_domain * 1000000.0::DOUBLE, 0), 0.0::DOUBLE))
+   / 1000000.0::DOUBLE AS free_service_cost_all_products
+FROM s3""".replace("\n, a AS", "\n, a AS")
+    q["customer_free_cost"] = q["customer_free_cost"].replace(customer_ctes(p) + "\n, a AS",
+                                                              customer_ctes(p) + ",\na AS")
+    q["customer_revenue_summary"] = cust + """, a AS (SELECT * FROM roll WHERE product = 'hostingaddons'),
+h AS (SELECT * FROM roll WHERE product = 'hosting'),
+d AS (SELECT * FROM roll WHERE product = 'domain'),
+s1 AS (SELECT coalesce(a.userid, h.userid) AS userid,
+              a.active_services AS as_a, h.active_services AS as_h, a.revenue AS r_a, h.revenue AS r_h,
+              a.future_revenue AS f_a, h.future_revenue AS f_h
+       FROM a FULL OUTER JOIN h ON a.userid = h.userid),
+s2 AS (SELECT coalesce(s1.userid, d.userid) AS userid, as_a, as_h, d.active_services AS as_d, r_a, r_h,
+              d.revenue AS r_d, f_a, f_h, d.future_revenue AS f_d
+       FROM s1 FULL OUTER JOIN d ON s1.userid = d.userid),
+s3 AS (SELECT coalesce(s2.userid, i.userid) AS userid, s2.* EXCLUDE (userid), i.revenue AS r_i, i.paid_invoices
+       FROM s2 FULL OUTER JOIN invrevu i ON s2.userid = i.userid)
+SELECT userid,
+  CAST(coalesce(as_a, 0) AS BIGINT) AS active_services_addon, CAST(coalesce(as_h, 0) AS BIGINT) AS active_services_hosting,
+  CAST(coalesce(as_d, 0) AS BIGINT) AS active_services_domain,
+  CAST(coalesce(r_a, 0) AS DOUBLE) AS revenue_addon, CAST(coalesce(r_h, 0) AS DOUBLE) AS revenue_hosting,
+  CAST(coalesce(r_d, 0) AS DOUBLE) AS revenue_domain, CAST(coalesce(r_i, 0) AS DOUBLE) AS invoice_revenue,
+  CAST(coalesce(paid_invoices, 0) AS BIGINT) AS paid_invoices,
+  CAST(coalesce(f_a, 0) + coalesce(f_h, 0) + coalesce(f_d, 0) AS DOUBLE) AS future_revenue_all_products,
+  CAST(coalesce(f_a, 0) + coalesce(f_h, 0) + coalesce(f_d, 0) + coalesce(f_a, 0) + coalesce(f_h, 0)
+       + coalesce(f_d, 0) + coalesce(r_a, 0) + coalesce(r_h, 0) + coalesce(r_d, 0) + coalesce(r_i, 0) AS DOUBLE)
+    AS revenue_all_products,
+  CAST(coalesce(r_a, 0) + coalesce(r_h, 0) + coalesce(r_d, 0) AS DOUBLE) AS revenue_all_products_corrected
+FROM s3"""
+    q["customer_revenue_summary"] = q["customer_revenue_summary"].replace(
+        customer_ctes(p) + "\n, a AS", customer_ctes(p) + ",\na AS")
+    q["customer_totals"] = cust + """SELECT userid, CAST(sum(active_services) AS BIGINT) AS active_services,
+  CAST(sum(payment) AS DOUBLE) AS payment, CAST(sum(future_revenue) AS DOUBLE) AS future_revenue,
+  CAST(sum(revenue) AS DOUBLE) AS revenue FROM rollf GROUP BY userid"""
+    q["highest_revenue_per_customer"] = cust + """SELECT userid, CAST(revenue AS DOUBLE) AS highest_revenue, product
+FROM (SELECT *, row_number() OVER (PARTITION BY userid ORDER BY revenue DESC, product) AS rn FROM rollf)
+WHERE rn = 1"""
+    q["revenue_by_product_status"] = cust + """SELECT product, final_status, CAST(sum(revenue) AS DOUBLE) AS revenue
+FROM rollf GROUP BY product, final_status"""
+    q["active_clients"] = cust + "SELECT active_clients, active_clients_corrected FROM clients"
+    q["kpis"] = cust + "SELECT annual_revenue, free_service_cost, revenue_earned, profit FROM kpi"
+    q["kpi_text"] = cust + """SELECT CAST(c.active_clients AS VARCHAR) AS active_clients,
+  '$ ' || format('{:,.2f}', k.revenue_earned) AS revenue_earned, '$ ' || format('{:,.2f}', k.profit) AS profit
+FROM kpi k, clients c"""
+    q["annual_metric_table"] = cust + """SELECT 'Annual Revenue' AS metric, annual_revenue AS value FROM kpi
+UNION ALL SELECT 'Free Service Cost' AS metric, free_service_cost AS value FROM kpi"""
+    q["acquisition_cost"] = cust + f"""SELECT annual_revenue, free_service_cost,
+  {_r(f'(annual_revenue - free_service_cost - {float(p.operational_cost)}::DOUBLE) * {float(p.acquisition_multiplier)}::DOUBLE', 2)}
+    AS acquisition_cost FROM kpi"""
+
+    coh = _with(p, "inv").rstrip("\n") + ",\n" + cohort_ctes(p) + "\n"
+    ycast = ", ".join(f"CAST(y{y} AS DOUBLE) AS y{y}" for y in p.years)
+    q["user_year_pivot"] = coh + f"SELECT userid, {ycast}, signup_year, signoff_year FROM piv"
+    q["signup_signoff"] = coh + "SELECT userid, first_paid, last_paid, signup_year, signoff_year FROM piv"
+    for name, metric in [("subscribers_by_year", "subscribers"), ("additions_by_year", "additions"),
+                         ("disengagement_by_year", "disengagement"), ("revenue_by_year", "revenue"),
+                         ("arpu_by_year", "arpu")]:
+        q[name] = coh + f"SELECT year, {metric} AS value FROM coh WHERE {metric} IS NOT NULL"
+    q["annual_cohort"] = coh + "SELECT * FROM coh_r"
+    q["lagged_subscribers"] = coh + """SELECT year, subscribers,
+  lag(subscribers, 1, 0) OVER (ORDER BY year) AS prev_subscribers FROM coh_r"""
+    q["cohort_forecast"] = coh + "SELECT * FROM fc"
+    metrics = ["subscribers", "additions", "disengagement", "revenue", "arpu", "growth_rate", "churn_rate",
+               "forecast_subscribers", "forecast_revenue", "variance", "var_rate"]
+    q["forecast_table_long"] = coh.rstrip("\n") + f""",
+fcd AS (SELECT year, {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in metrics)} FROM fc)
+SELECT year, metric, value FROM fcd UNPIVOT INCLUDE NULLS (value FOR metric IN ({', '.join(metrics)}))"""
+    q["rate_bands"] = coh + """SELECT year, growth_rate, churn_rate,
+  CASE WHEN coalesce(growth_rate < 0.1, false) THEN 'red' ELSE 'green' END AS growth_band,
+  CASE WHEN coalesce(churn_rate < 0.05, false) THEN 'green' ELSE 'red' END AS churn_band FROM fc"""
+
+    fin = "WITH " + finance_ctes(p) + "\n"
+    q["finance_sales_by_unit"] = fin + f"""SELECT Scenario AS scenario, business_unit, CAST(sum(sales) AS DOUBLE) AS sales
+FROM (UNPIVOT (SELECT Scenario, business_unit, {_MONTHS} FROM fin
+               WHERE Year = {p.finance_year} AND Account = '{p.finance_account}')
+      ON {_MONTHS} INTO NAME month VALUE sales)
+GROUP BY Scenario, business_unit"""
+    q["finance_monthly_long"] = fin + f"""SELECT Scenario AS scenario, month, CAST(sales AS DOUBLE) AS sales
+FROM (UNPIVOT (SELECT Scenario, {_MONTHS} FROM fin
+               WHERE Year = {p.finance_year} AND Account = '{p.finance_account}'
+                 AND business_unit = '{p.finance_unit}')
+      ON {_MONTHS} INTO NAME month VALUE sales)"""
+    absm = ", ".join(f"abs({m}) AS {m}" for m in _MONTHS.split(", "))
+    q["finance_yearly_by_account"] = fin + f"""SELECT Account AS account, Year AS year, CAST(sum(sales) AS DOUBLE) AS sales
+FROM (UNPIVOT (SELECT Account, Year, {absm} FROM fin
+               WHERE Scenario = '{p.finance_scenario}' AND Account <> '{p.finance_account}')
+      ON {_MONTHS} INTO NAME month VALUE sales)
+GROUP BY Account, Year"""
+    return q
