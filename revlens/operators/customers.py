@@ -52,11 +52,17 @@ def _per_product(col: str, product: str) -> Column:
 def customer_free_cost(user_costs: DataFrame, invoice_12m: DataFrame) -> DataFrame:
     """J1–J3 + E11: cost per product side by side, the trailing-year revenue,
     and the all-product free cost (missing as 0), one row per customer."""
-    wide = user_costs.groupBy("userid").agg(*[
+    flagged = user_costs.withColumn("_act", (F.col("final_status") == E.ACTIVE).cast("int"))
+    wide = flagged.groupBy("userid").agg(*[
         agg.alias(f"{name}_{SUFFIX[p]}")
         for p in ["hostingaddons", "hosting", "domain"]
-        for name, agg in [("final_status", _per_product("final_status", p)),
+        for name, agg in [("_act", _per_product("_act", p)),
                           ("total_free_service_cost", _per_product("total_free_service_cost", p))]])
+    wide = wide.select("userid", *[
+        F.when(F.col(f"_act_{SUFFIX[p]}") == 1, F.lit(E.ACTIVE))
+        .when(F.col(f"_act_{SUFFIX[p]}") == 0, F.lit(E.INACTIVE)).alias(f"final_status_{SUFFIX[p]}")
+        for p in ["hostingaddons", "hosting", "domain"]],
+        *[f"total_free_service_cost_{SUFFIX[p]}" for p in ["hostingaddons", "hosting", "domain"]])
     j = wide.join(invoice_12m, "userid", "full_outer")
     costs = [f"total_free_service_cost_{SUFFIX[p]}" for p in ["hostingaddons", "hosting", "domain"]]
     micro = sum((F.coalesce(_micro(F.col(c)), F.lit(0.0)) for c in costs), F.lit(0.0))
@@ -104,9 +110,16 @@ def customer_totals(revenue_long: DataFrame) -> DataFrame:
 def highest_revenue_per_customer(revenue_long: DataFrame) -> DataFrame:
     """The highest product revenue of a customer and its product (first
     product in domain, hosting, add-on order on ties)."""
-    return revenue_long.groupBy("userid").agg(
+    rank = F.when(F.col("product") == "domain", 0).when(F.col("product") == "hosting", 1).otherwise(2)
+    # Revenue has 4 decimals, so revenue * 10^5 + (2 - rank) orders by revenue first and
+    # then by product order, as one fixed-width key (keeps max_by hash-based).
+    key = F.col("revenue").cast("decimal(30,4)") * F.lit(100000).cast("decimal(6,0)") + (F.lit(2) - rank)
+    best = revenue_long.groupBy("userid").agg(
         F.max("revenue").cast("double").alias("highest_revenue"),
-        F.min_by("product", F.struct(-F.col("revenue"), F.col("product"))).alias("product"))
+        F.max_by(rank, key).alias("_rank"))
+    return best.select("userid", "highest_revenue",
+                       F.when(F.col("_rank") == 0, "domain").when(F.col("_rank") == 1, "hosting")
+                       .otherwise("hostingaddons").alias("product"))
 
 
 def revenue_by_product_status(revenue_long: DataFrame) -> DataFrame:

@@ -28,8 +28,13 @@ def _money(c, exact: bool):
 
 
 def row_order():
-    """Explicit input order of the invoice feed."""
-    return F.struct(F.col("date"), F.col("id"))
+    """Explicit input order of the invoice feed, ``(date NULLS FIRST, id)``,
+    as one DECIMAL(38,0) key so that ``min_by`` stays in the hash aggregate:
+    date micros * 10^20 + (id + 2^63)."""
+    micros = F.timestamp_diff("MICROSECOND", E.ts_literal(datetime(1970, 1, 1)), F.col("date"))
+    micros = F.coalesce(micros, F.lit(-(10 ** 17))).cast("decimal(38,0)")
+    shifted = F.col("id").cast("decimal(38,0)") + F.lit(str(2 ** 63)).cast("decimal(38,0)")
+    return (micros * F.lit(str(10 ** 20)).cast("decimal(38,0)") + shifted).cast("decimal(38,0)")
 
 
 def with_trailing_flag(invoices: DataFrame, as_of: datetime) -> DataFrame:
@@ -76,7 +81,7 @@ def invoice_revenue_by_user(invoices: DataFrame, exact: bool = False) -> DataFra
     revenue is NULL unless that row is paid (quirk Q10)."""
     paid, _, paid_pos = _masks()
     npos = F.count_if(paid_pos)
-    keep = (npos > 0) | F.coalesce(F.min_by("status", row_order()) == E.PAID, F.lit(False))
+    keep = (npos > 0) | F.coalesce(F.min_by(paid.cast("int"), row_order()) == 1, F.lit(False))
     return invoices.groupBy("userid").agg(
         F.nullif(npos, F.lit(0)).alias("paid_invoices"),
         _money(F.when(keep, F.coalesce(F.sum(F.when(paid, F.col("total"))), _zero())), exact)

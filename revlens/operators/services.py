@@ -8,21 +8,21 @@ Design of the rollup (A1).  The payment of a row depends on the customer's
 earliest next date, so the textbook plan is a window over the customer
 followed by an aggregate — which puts a hot customer in one task.  Instead:
 
-1. ``groupBy(product, userid, nextinvoicedate)`` with map-side partial
-   aggregation computes, per date, the aggregates under both hypotheses
-   ("this date is the customer's earliest" -> first payment, else recurring);
-2. the earliest date per customer is taken over that reduced table (at most
-   one row per distinct date of a customer), and the matching hypothesis is
-   picked while aggregating to one row per customer.
-
-No step ever buffers all rows of one customer.
+1. ``groupBy(product, userid)`` with map-side partial aggregation gives the
+   earliest date and row count per customer (a small table);
+2. that table is joined back to the rows through the salted skew-safe join
+   (``operators.skew``), which spreads a hot customer over many tasks and
+   shuffles the service rows once;
+3. the rollup is one hash aggregate with map-side partial aggregation.
+
+No step ever buffers all rows of one customer in one task.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions import expr as E
@@ -34,7 +34,7 @@ PRODUCTS = ["domain", "hosting", "hostingaddons"]
 # Raw statuses that count as revenue: domains only Active, others also Completed.
 REVENUE_STATUSES = {"domain": ["Active"], "hosting": ["Active", "Completed"],
                     "hostingaddons": ["Active", "Completed"]}
-_FAR_FUTURE = datetime(9999, 12, 31)
+_EPOCH = datetime(1970, 1, 1)
 
 
 def clean_services(services: DataFrame) -> DataFrame:
@@ -59,46 +59,64 @@ def _revenue_status_ok() -> Column:
     return F.coalesce(expr, F.lit(False))
 
 
-def service_stats(services: DataFrame, as_of: datetime) -> DataFrame:
-    """One row per (product, userid): min_next, final_status, and the
-    rollup aggregates (decimals kept exact), plus ``_rows``.
+def min_next_stats(services: DataFrame) -> DataFrame:
+    """W1 per (product, userid): the earliest next date, with the row count
+    the skew-safe join needs.  Partial aggregation map-side: a hot customer
+    costs one row per map task."""
+    return services.groupBy(*SERVICE_KEYS).agg(
+        F.count(F.lit(1)).alias(ROWS_COL), F.min("nextinvoicedate").alias("min_next"))
 
-    ``services`` must carry ``final_status``.
-    """
-    nxt = F.col("nextinvoicedate")
+
+def with_payment(services: DataFrame, **skew) -> DataFrame:
+    """E4 per row: ``min_next`` of the customer attached through the
+    skew-safe join, then the first/recurring choice."""
+    rows = attach_key_stats(services, min_next_stats(services), SERVICE_KEYS, **skew)
+    return rows.drop(ROWS_COL).withColumn(
+        "payment",
+        E.payment(F.col("nextinvoicedate"), F.col("min_next"),
+                  F.col("firstpaymentamount").cast("decimal(20,4)"),
+                  F.col("recurringamount").cast("decimal(20,4)")))
+
+
+def _masks(as_of: datetime) -> tuple[Column, Column, Column]:
+    """W2 (active service), W3 (future revenue), W4/W5 (revenue) row masks."""
     active = F.col("final_status") == E.ACTIVE
-    future_mask = F.coalesce((nxt > E.ts_literal(as_of)) & active, F.lit(False))
-    rev_ok = _revenue_status_ok()
-    hyp = {"f": F.col("firstpaymentamount").cast("decimal(20,4)"),
-           "r": F.col("recurringamount").cast("decimal(20,4)")}
-    per_date = []
-    for h, pay in hyp.items():
-        per_date += [
-            F.count_if(F.coalesce((pay > 0) & active, F.lit(False))).alias(f"act_{h}"),
-            F.max(pay).alias(f"max_{h}"),
-            F.sum(F.when(future_mask, F.coalesce(pay, F.lit(0).cast("decimal(20,4)")))).alias(f"fut_{h}"),
-            F.sum(F.when(F.coalesce(pay > 0, F.lit(False)) & rev_ok, pay)).alias(f"rev_{h}"),
-        ]
-    stage1 = services.groupBy("product", "userid", "nextinvoicedate").agg(
+    pay_pos = F.coalesce(F.col("payment") > 0, F.lit(False))
+    m_act = pay_pos & active
+    m_fut = F.coalesce((F.col("nextinvoicedate") > E.ts_literal(as_of)) & active, F.lit(False))
+    m_rev = pay_pos & _revenue_status_ok()
+    return m_act, m_fut, m_rev
+
+
+def rollup_rows(rows: DataFrame, as_of: datetime) -> DataFrame:
+    """A1 over rows that carry ``payment``: one row per (product, userid)
+    with any-Active status, W2 count (NULL when none), max payment, W3 sum
+    (masked NULL payments count 0; NULL when no masked row) and W4/W5 sum.
+    All aggregates are fixed-width, so the aggregate is hash-based with
+    map-side partial aggregation."""
+    m_act, m_fut, m_rev = _masks(as_of)
+    pay = F.col("payment")
+    out = rows.groupBy(*SERVICE_KEYS).agg(
         F.count(F.lit(1)).alias(ROWS_COL),
-        F.min("final_status").alias("final_status"),
-        *per_date)
-    w = Window.partitionBy(*SERVICE_KEYS)
-    stage1 = stage1.withColumn("min_next", F.min("nextinvoicedate").over(w))
-    is_min = F.coalesce(F.col("nextinvoicedate") == F.col("min_next"), F.lit(False))
-
-    def pick(name: str) -> Column:
-        return F.when(is_min, F.col(f"{name}_f")).otherwise(F.col(f"{name}_r"))
-
-    return stage1.groupBy(*SERVICE_KEYS).agg(
-        F.sum(ROWS_COL).alias(ROWS_COL),
-        F.min("min_next").alias("min_next"),
-        F.min("final_status").alias("final_status"),
-        F.nullif(F.sum(pick("act")), F.lit(0)).alias("active_services"),
-        F.max(pick("max")).alias("payment"),
-        F.sum(pick("fut")).alias("future_revenue"),
-        F.sum(pick("rev")).alias("revenue"),
+        F.max((F.col("final_status") == E.ACTIVE).cast("int")).alias("any_active"),
+        F.nullif(F.count_if(m_act), F.lit(0)).alias("active_services"),
+        F.max(pay).alias("payment"),
+        F.sum(F.when(m_fut, F.coalesce(pay, F.lit(0).cast("decimal(20,4)")))).alias("future_revenue"),
+        F.sum(F.when(m_rev, pay)).alias("revenue"),
     )
+    return out.select(*SERVICE_KEYS, ROWS_COL, status_from_flag(F.col("any_active")),
+                      "active_services", "payment", "future_revenue", "revenue")
+
+
+def service_stats(services: DataFrame, as_of: datetime, **skew) -> DataFrame:
+    """A1 for all products: payment per row, then the per-customer rollup."""
+    return rollup_rows(with_payment(services, **skew), as_of)
+
+
+def status_from_flag(any_active: Column) -> Column:
+    """Active if any row of the group is Active, else Inactive.  (Aggregating
+    an int flag instead of the text keeps the aggregate hash-based.)"""
+    return F.when(any_active == 1, F.lit(E.ACTIVE)).otherwise(F.lit(E.INACTIVE)).alias("final_status")
 
 
 def rollup_output(stats: DataFrame) -> DataFrame:
@@ -112,29 +130,23 @@ def rollup_output(stats: DataFrame) -> DataFrame:
 
 
 def services_with_stats(services: DataFrame, as_of: datetime, **skew) -> DataFrame:
-    """Row-level services with their customer's statistics attached (the
-    group-broadcast columns W1–W5) through the skew-safe join."""
-    stats = service_stats(services, as_of)
-    rows = attach_key_stats(services, stats.withColumnRenamed("final_status", "user_status"),
-                            SERVICE_KEYS, **skew)
-    return rows.withColumn(
-        "payment",
-        E.payment(F.col("nextinvoicedate"), F.col("min_next"),
-                  F.col("firstpaymentamount").cast("decimal(20,4)"),
-                  F.col("recurringamount").cast("decimal(20,4)")))
+    """Row-level services with payment and their customer's rollup attached
+    (the group-broadcast columns W1–W5), both through the skew-safe join."""
+    rows = with_payment(services, **skew)
+    stats = rollup_rows(rows, as_of).select(
+        *SERVICE_KEYS, ROWS_COL, "active_services", "future_revenue", "revenue")
+    return attach_key_stats(rows, stats, SERVICE_KEYS, **skew).drop(ROWS_COL)
 
 
 def masked_values(rows: DataFrame, as_of: datetime) -> DataFrame:
     """W2–W5 row values: the customer aggregate on rows inside each mask,
     NULL elsewhere (pandas assigns a filtered transform back by index)."""
-    active = F.col("final_status") == E.ACTIVE
-    pay_pos = F.coalesce(F.col("payment") > 0, F.lit(False))
-    fut = F.coalesce((F.col("nextinvoicedate") > E.ts_literal(as_of)) & active, F.lit(False))
+    m_act, m_fut, m_rev = _masks(as_of)
     return rows.select(
         "*",
-        F.when(pay_pos & active, F.col("active_services")).alias("active_services_row"),
-        F.when(fut, F.col("future_revenue")).alias("future_revenue_row"),
-        F.when(pay_pos & _revenue_status_ok(), F.col("revenue")).alias("revenue_row"),
+        F.when(m_act, F.col("active_services")).alias("active_services_row"),
+        F.when(m_fut, F.col("future_revenue")).alias("future_revenue_row"),
+        F.when(m_rev, F.col("revenue")).alias("revenue_row"),
     )
 
 
@@ -154,10 +166,16 @@ def user_cost(costed: DataFrame) -> DataFrame:
     lagging cycles of that row (earliest next date first, NULL dates last —
     rows that still tie have equal values), and the total free-service cost
     (all-NULL -> 0)."""
-    order = F.struct(F.col("final_status"),
-                     F.coalesce(F.col("nextinvoicedate"), E.ts_literal(_FAR_FUTURE)))
-    return costed.groupBy(*SERVICE_KEYS).agg(
-        F.min("final_status").alias("final_status"),
+    active = F.col("final_status") == E.ACTIVE
+    # One BIGINT ordering key: Active first, then the next date (NULL last).
+    # A single fixed-width key keeps min_by inside the hash aggregate.
+    micros = F.timestamp_diff("MICROSECOND", E.ts_literal(_EPOCH), F.col("nextinvoicedate"))
+    order = (F.when(active, F.lit(0)).otherwise(F.lit(1)).cast("bigint") * F.lit(1 << 62)
+             + F.coalesce(micros, F.lit(1 << 61)))
+    out = costed.groupBy(*SERVICE_KEYS).agg(
+        F.max(active.cast("int")).alias("any_active"),
         F.coalesce(E.exact_sum(F.col("free_service_cost")), F.lit(0.0)).alias("total_free_service_cost"),
         F.min_by("lagging_cycles", order).alias("lagging_cycles"),
     )
+    return out.select(*SERVICE_KEYS, status_from_flag(F.col("any_active")),
+                      "total_free_service_cost", "lagging_cycles")

@@ -166,7 +166,7 @@ def _q_rev12_rows(f: Feeds):
 
 # ---------------------------------------------------------------- per customer
 def _rollup(f: Feeds, product: str):
-    stats = services.service_stats(f.services(), f.p.as_of)
+    stats = services.service_stats(f.services(), f.p.as_of, **f.p.skew)
     return services.rollup_output(_rows_for(stats, product)).drop("product")
 
 
@@ -226,7 +226,7 @@ def _q_profit(f: Feeds):
 
 # ---------------------------------------------------------------- customer level
 def _stats(f: Feeds):
-    return services.service_stats(f.services(), f.p.as_of)
+    return services.service_stats(f.services(), f.p.as_of, **f.p.skew)
 
 
 def _revenue_long(f: Feeds):
