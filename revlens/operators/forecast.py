@@ -34,14 +34,16 @@ GRID = (0.1, 0.3, 0.5, 0.7, 0.9)
 ALL_SERIES = "ALL"
 
 
-def revenue_series(invoices: DataFrame, customers: DataFrame, years: Sequence[int]) -> DataFrame:
-    """(series, year, y): yearly paid revenue of all customers and of each
-    market segment over ``years`` (rounded to 2 places like the cohort
+def revenue_series(invoices: DataFrame, customers: DataFrame | None, years: Sequence[int]) -> DataFrame:
+    """(series, year, y): yearly paid revenue of all customers (the
+    reference's series) and, when a customer dimension is given, of each
+    market segment, over ``years`` (rounded to 2 places like the cohort
     table).  Invoices are reduced per (customer, year) before the join."""
     uy = user_years(invoices).where(F.col("year").isin(list(years)))
-    seg = customers.select(F.col("c_custkey").alias("userid"), F.col("c_mktsegment").alias("series"))
-    by_seg = uy.join(seg, "userid", "inner").select("series", "year", "amount")
-    both = by_seg.unionByName(uy.select(F.lit(ALL_SERIES).alias("series"), "year", "amount"))
+    both = uy.select(F.lit(ALL_SERIES).alias("series"), "year", "amount")
+    if customers is not None:
+        seg = customers.select(F.col("c_custkey").alias("userid"), F.col("c_mktsegment").alias("series"))
+        both = uy.join(seg, "userid", "inner").select("series", "year", "amount").unionByName(both)
     return (both.groupBy("series", "year")
             .agg(E.round_half_even(F.sum("amount").cast("double"), 2).alias("y")))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from revlens.functions import expr as E
 from revlens.operators import clean, cohort, customers, finance, forecast, invoices, services
 from revlens.plans.params import DEFAULT, Params
+from revlens.sources import feeds as feeds_mod
 from revlens.sources import tables
 
 
@@ -35,6 +36,49 @@ class Feeds:
     def finance(self) -> DataFrame:
         return tables.finance_feed(self.spark, self.sf_dir)
 
+    def customers(self) -> DataFrame | None:
+        """Customer dimension for per-segment forecast series."""
+        return tables.read_table(self.spark, self.sf_dir, "customer")
+
+    def raw_services(self) -> DataFrame:
+        return tables.service_feed(self.spark, self.sf_dir)
+
+
+class CsvFeeds(Feeds):
+    """The reference's own inputs: five billing CSV exports (invoice, domain,
+    hosting, hostingaddon, ticket) and optionally the wide finance sheet."""
+
+    def __init__(self, spark: SparkSession, paths: dict[str, str], finance_path: str | None = None,
+                 params: Params = DEFAULT, fmt: str = "csv", on_bad_date: str = "raise"):
+        super().__init__(spark, "", params)
+        self._feeds = feeds_mod.load_feeds(spark, paths, fmt, on_bad_date)
+        self._finance_path, self._fmt = finance_path, fmt
+
+    def invoices(self) -> DataFrame:
+        return clean.clean_keys(self._feeds["invoice"])
+
+    def raw_services(self) -> DataFrame:
+        return feeds_mod.service_table(self._feeds)
+
+    def services(self) -> DataFrame:
+        return services.with_final_status(clean.clean_keys(self.raw_services()), self.p.as_of)
+
+    def tickets(self) -> DataFrame:
+        return clean.clean_keys(self._feeds["ticket"])
+
+    def finance(self) -> DataFrame:
+        if not self._finance_path:
+            raise FileNotFoundError("no finance sheet given")
+        return feeds_mod.read_finance(self.spark, self._finance_path, self._fmt)
+
+    def customers(self) -> DataFrame | None:
+        return None
+
+
+def run_on_feeds(feeds: Feeds, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """Build the named outputs (default: all) over one set of feeds."""
+    return {n: _REGISTRY[n](feeds) for n in (names or list(_REGISTRY))}
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Callable[[Feeds], DataFrame]] = {}
@@ -65,8 +109,7 @@ def _q_clean_invoices(f: Feeds):
 
 @query("clean_keys_services")
 def _q_clean_services(f: Feeds):
-    return clean.clean_keys(tables.service_feed(f.spark, f.sf_dir)).select(
-        "product", "id", "userid", "nextinvoicedate")
+    return clean.clean_keys(f.raw_services()).select("product", "id", "userid", "nextinvoicedate")
 
 
 @query("paid_invoices_only")
@@ -359,8 +402,7 @@ def _train_years(f: Feeds):
 
 
 def _hw_fit(f: Feeds):
-    series = forecast.revenue_series(f.invoices(), tables.read_table(f.spark, f.sf_dir, "customer"),
-                                     _train_years(f))
+    series = forecast.revenue_series(f.invoices(), f.customers(), _train_years(f))
     return forecast.holt_winters(series, _train_years(f), f.p.hw_season, f.p.hw_horizon)
 
 

@@ -112,6 +112,37 @@ def load_feeds(spark: SparkSession, paths: dict[str, str], fmt: str = "csv",
     return {f: read_feed(spark, paths[f], f, fmt, on_bad_date) for f in FEED_COLUMNS}
 
 
+SERVICE_COLUMNS = ["product", "id", "userid", "nextinvoicedate", "termination_date",
+                   "firstpaymentamount", "recurringamount", "billingcycle", "status"]
+
+
+def service_table(feeds: dict[str, DataFrame]) -> DataFrame:
+    """The three service feeds, renamed to one schema and tagged with
+    ``product``, as one table (columns a feed lacks are NULL)."""
+    out = None
+    for feed, product in FEED_PRODUCT.items():
+        df = feeds[feed]
+        cols = []
+        for c in SERVICE_COLUMNS:
+            if c == "product":
+                cols.append(F.lit(product).alias(c))
+            elif c in df.columns:
+                cols.append(F.col(c))
+            else:
+                cols.append(F.lit(None).cast(_service_type(c)).alias(c))
+        part = df.select(*cols)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _service_type(c: str) -> str:
+    for feed in ("hosting", "hostingaddon", "domain"):
+        for raw, t in FEED_COLUMNS[feed].items():
+            if FEED_RENAMES.get(feed, {}).get(raw, raw) == c:
+                return "timestamp_ntz" if t == "date" else t
+    return "string"
+
+
 FINANCE_MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun",
                   "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
