@@ -6,28 +6,34 @@ if one customer holds a third of the rows, that task holds a third of the job.
 Here per-key statistics are first computed with ``groupBy`` (map-side partial
 aggregation, so a hot key costs nothing extra), then joined back to the rows:
 
-* keys whose row count exceeds ``hot_share`` of all rows are *hot*.  There can
-  be at most ``1 / hot_share`` of them, so that key list has a proven size
+* keys holding more than ``hot_share`` of all rows are *hot*.  There can be
+  at most ``1 / hot_share`` of them, so the hot-key list has a proven size
   bound and is broadcast;
-* rows of hot keys get a deterministic salt in ``[0, salts)`` (a hash of the
-  row and its input partition), and their statistics row is replicated once
-  per salt; cold keys use salt 0.  The join on ``(keys, salt)`` then spreads a
-  hot key over ``salts`` tasks while cold keys shuffle as usual.
+* a hot key with ``n_k`` of the ``N`` rows gets ``s_k = ceil(n_k * P / N)``
+  salts (``P`` = target task count, default ``spark.sql.shuffle.partitions``),
+  i.e. about one task's worth of rows per salt.  Its rows get a deterministic
+  salt in ``[0, s_k)`` (a hash of the row and its input partition) and its
+  statistics row is replicated ``s_k`` times; cold keys use salt 0.  The
+  replicated side therefore has at most ``#keys + P + 1/hot_share`` rows,
+  whatever the skew;
+* the join on ``(keys, salt)`` then spreads a hot key over ``s_k`` tasks
+  while cold keys shuffle as usual.
 
 The salt is a pure function of the row content and its input partition, so a
 recomputed task after an executor loss sends every row to the same place.
+The threshold is a scalar subquery inside the same plan (no driver round trip).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_COL = "_rows"
 _SALT = "_salt"
-_HOT = "_hot"
+_NSALT = "_nsalt"
 
 
 def attach_key_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str],
@@ -38,21 +44,20 @@ def attach_key_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str],
     spark = rows.sparkSession
     if salts is None:
         salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    threshold = stats.select((F.sum(ROWS_COL) * F.lit(hot_share)).alias("t")).scalar()
+    total = stats.select(F.sum(ROWS_COL).cast("double").alias("n")).scalar()
     # At most 1/hot_share keys can each hold more than hot_share of the rows.
-    hot = stats.where(F.col(ROWS_COL) > threshold).select(*keys, F.lit(True).alias(_HOT))
+    n_salt = F.least(F.lit(salts), F.ceil(F.col(ROWS_COL) * F.lit(float(salts)) / total)).cast("int")
+    hot = (stats.where(F.col(ROWS_COL) > total * F.lit(hot_share))
+           .select(*keys, F.greatest(n_salt, F.lit(1)).alias(_NSALT)))
 
     tagged = rows.join(F.broadcast(hot), keys, "left")
-    salt = F.when(F.col(_HOT), F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in rows.columns]),
-                                      F.lit(salts))).otherwise(F.lit(0))
-    tagged = tagged.withColumn(_SALT, salt.cast("int")).drop(_HOT)
+    row_hash = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in rows.columns])
+    salt = F.when(F.col(_NSALT).isNotNull(), F.pmod(row_hash, F.col(_NSALT))).otherwise(F.lit(0))
+    tagged = tagged.withColumn(_SALT, salt.cast("int")).drop(_NSALT)
 
     fanned = (stats.join(F.broadcast(hot), keys, "left")
-              .withColumn(_SALT, F.explode(F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(salts - 1)))
+              .withColumn(_SALT, F.explode(F.when(F.col(_NSALT).isNotNull(),
+                                                  F.sequence(F.lit(0), F.col(_NSALT) - 1))
                                            .otherwise(F.array(F.lit(0)))))
-              .drop(_HOT))
+              .drop(_NSALT))
     return tagged.join(fanned, keys + [_SALT], "left").drop(_SALT)
-
-
-def key_cols(keys: Sequence[str]) -> list[Column]:
-    return [F.col(k) for k in keys]

@@ -46,5 +46,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     local = tempfile.mkdtemp(prefix="revlens-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
-    spark.conf.set("spark.checkpoint.dir", local)
     return local
+
+
+def recommended_shuffle_partitions(input_bytes: int, target_bytes: int = 256 << 20,
+                                   minimum: int = 8) -> int:
+    """Initial shuffle partition count for a job reading ``input_bytes``:
+    about ``target_bytes`` per task before AQE coalesces small partitions
+    (set it as ``spark.sql.shuffle.partitions`` or AQE's
+    ``coalescePartitions.initialPartitionNum``)."""
+    return max(minimum, -(-input_bytes // target_bytes))
