@@ -33,8 +33,11 @@ class Feeds:
     def tickets(self) -> DataFrame:
         return clean.clean_keys(tables.ticket_feed(self.spark, self.sf_dir))
 
-    def finance(self) -> DataFrame:
-        return tables.finance_feed(self.spark, self.sf_dir)
+    def finance(self, **source_filters) -> DataFrame:
+        """The wide finance sheet; ``source_filters`` (years, accounts,
+        scenarios, exclude_accounts) restrict the source scan and must be
+        implied by the query's own filters."""
+        return tables.finance_feed(self.spark, self.sf_dir, **source_filters)
 
     def customers(self) -> DataFrame | None:
         """Customer dimension for per-segment forecast series."""
@@ -66,7 +69,7 @@ class CsvFeeds(Feeds):
     def tickets(self) -> DataFrame:
         return clean.clean_keys(self._feeds["ticket"])
 
-    def finance(self) -> DataFrame:
+    def finance(self, **source_filters) -> DataFrame:
         if not self._finance_path:
             raise FileNotFoundError("no finance sheet given")
         return feeds_mod.read_finance(self.spark, self._finance_path, self._fmt)
@@ -428,14 +431,17 @@ def _q_growth(f: Feeds):
 # ---------------------------------------------------------------- finance
 @query("finance_sales_by_unit")
 def _q_fin_unit(f: Feeds):
-    return finance.sales_by_unit(f.finance(), f.p.finance_year, f.p.finance_account)
+    fin = f.finance(years=[f.p.finance_year], accounts=[f.p.finance_account])
+    return finance.sales_by_unit(fin, f.p.finance_year, f.p.finance_account)
 
 
 @query("finance_monthly_long")
 def _q_fin_monthly(f: Feeds):
-    return finance.monthly_long(f.finance(), f.p.finance_year, f.p.finance_account, f.p.finance_unit)
+    fin = f.finance(years=[f.p.finance_year], accounts=[f.p.finance_account])
+    return finance.monthly_long(fin, f.p.finance_year, f.p.finance_account, f.p.finance_unit)
 
 
 @query("finance_yearly_by_account")
 def _q_fin_yearly(f: Feeds):
-    return finance.yearly_by_account(f.finance(), f.p.finance_scenario, f.p.finance_account)
+    fin = f.finance(scenarios=[f.p.finance_scenario], exclude_accounts=[f.p.finance_account])
+    return finance.yearly_by_account(fin, f.p.finance_scenario, f.p.finance_account)

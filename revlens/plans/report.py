@@ -44,7 +44,7 @@ class MaterializedFeeds(Feeds):
     def tickets(self) -> DataFrame:
         return self._materialize("tickets", self._base.tickets)
 
-    def finance(self) -> DataFrame:
+    def finance(self, **source_filters) -> DataFrame:
         return self._materialize("finance", self._base.finance)
 
     def customers(self):

@@ -84,12 +84,37 @@ def ticket_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("event_id").alias("id"), F.col("user_id").alias("userid")))
 
 
-def finance_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _inverse(mapping: dict, values) -> list:
+    return [k for k, v in mapping.items() if v in set(values)]
+
+
+def finance_feed(spark: SparkSession, sf_dir: str, years=None, accounts=None,
+                 scenarios=None, exclude_accounts=None) -> DataFrame:
     """lineitem ⋈ part -> the wide finance sheet (Scenario, business_unit,
     Account, Year, Jan..Dec); months hold exact decimal sums, negative for
-    accounts other than Sales, NULL where a month has no line."""
+    accounts other than Sales, NULL where a month has no line.
+
+    Filters a query puts on Year / Account / Scenario can be given here: they
+    are translated to predicates on the raw columns (a ship-date range, flag
+    lists), which the parquet scan can use for row-group skipping; the
+    derived-column filters Catalyst pushes on its own are evaluated only
+    after the rows are read."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
+    if years is not None:
+        cond = None
+        for y in sorted(set(years)):
+            c = (F.col("l_shipdate") >= F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz")) & \
+                (F.col("l_shipdate") < F.lit(f"{y + 1}-01-01 00:00:00").cast("timestamp_ntz"))
+            cond = c if cond is None else cond | c
+        li = li.where(cond)
+    if accounts is not None:
+        li = li.where(F.col("l_returnflag").isin(_inverse(FINANCE_ACCOUNT, accounts)))
+    if exclude_accounts is not None:
+        keep = [a for a in FINANCE_ACCOUNT.values() if a not in set(exclude_accounts)]
+        li = li.where(F.col("l_returnflag").isin(_inverse(FINANCE_ACCOUNT, keep)))
+    if scenarios is not None:
+        li = li.where(F.col("l_linestatus").isin(_inverse(FINANCE_SCENARIO, scenarios)))
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
     j = li.join(p, li.l_partkey == p.p_partkey, "inner")
     price = F.col("l_extendedprice").cast("decimal(18,2)")
