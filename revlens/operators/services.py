@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions import expr as E
 from revlens.operators.clean import clean_keys
-from revlens.operators.skew import ROWS_COL, attach_key_stats
+from revlens.operators.skew import ROWS_COL, KeySalting
 
 SERVICE_KEYS = ["product", "userid"]
 PRODUCTS = ["domain", "hosting", "hostingaddons"]
@@ -67,10 +67,15 @@ def min_next_stats(services: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias(ROWS_COL), F.min("nextinvoicedate").alias("min_next"))
 
 
-def with_payment(services: DataFrame, **skew) -> DataFrame:
+def with_payment(services: DataFrame, salting: KeySalting | None = None, **skew) -> DataFrame:
     """E4 per row: ``min_next`` of the customer attached through the
-    skew-safe join, then the first/recurring choice."""
-    rows = attach_key_stats(services, min_next_stats(services), SERVICE_KEYS, **skew)
+    skew-safe join, then the first/recurring choice.  The rows keep their
+    ``_salt`` when a ``salting`` plan is passed (for a second lookup)."""
+    stats = min_next_stats(services)
+    ks = salting or KeySalting(stats, SERVICE_KEYS, **skew)
+    rows = ks.lookup(ks.salt_rows(services), stats)
+    if salting is None:
+        rows = rows.drop("_salt")
     return rows.drop(ROWS_COL).withColumn(
         "payment",
         E.payment(F.col("nextinvoicedate"), F.col("min_next"),
@@ -132,10 +137,12 @@ def rollup_output(stats: DataFrame) -> DataFrame:
 def services_with_stats(services: DataFrame, as_of: datetime, **skew) -> DataFrame:
     """Row-level services with payment and their customer's rollup attached
     (the group-broadcast columns W1–W5), both through the skew-safe join."""
-    rows = with_payment(services, **skew)
-    stats = rollup_rows(rows, as_of).select(
-        *SERVICE_KEYS, ROWS_COL, "active_services", "future_revenue", "revenue")
-    return attach_key_stats(rows, stats, SERVICE_KEYS, **skew).drop(ROWS_COL)
+    ks = KeySalting(min_next_stats(services), SERVICE_KEYS, **skew)
+    rows = with_payment(services, salting=ks)
+    stats = rollup_rows(rows.drop("_salt"), as_of).select(
+        *SERVICE_KEYS, "active_services", "future_revenue", "revenue")
+    # The rows are already partitioned by (keys, _salt): only the stats side moves.
+    return ks.lookup(rows, stats).drop("_salt")
 
 
 def masked_values(rows: DataFrame, as_of: datetime) -> DataFrame:

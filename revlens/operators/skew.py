@@ -36,28 +36,50 @@ _SALT = "_salt"
 _NSALT = "_nsalt"
 
 
+class KeySalting:
+    """The salting plan of one key space: which keys are hot and how many
+    salts each gets.  Built from one-row-per-key ``stats`` carrying
+    ``_rows``; reusable for several joins over the same rows, so a second
+    lookup join reuses the ``(keys, _salt)`` partitioning of the first."""
+
+    def __init__(self, stats: DataFrame, keys: Sequence[str], hot_share: float = 0.001,
+                 salts: int | None = None):
+        self.keys = list(keys)
+        spark = stats.sparkSession
+        if salts is None:
+            salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+        share = F.col(ROWS_COL).cast("double") / stats.select(
+            F.sum(ROWS_COL).cast("double").alias("n")).scalar()
+        # At most 1/hot_share keys can each hold more than hot_share of the rows.
+        self.hot = (stats.select(*self.keys, share.alias("_share"))
+                    .where(F.col("_share") > F.lit(hot_share))
+                    .select(*self.keys, F.greatest(F.least(F.lit(salts), F.ceil(F.col("_share") * F.lit(float(salts)))),
+                                                   F.lit(1)).cast("int").alias(_NSALT)))
+
+    def salt_rows(self, rows: DataFrame) -> DataFrame:
+        """``rows`` plus ``_salt``: a hash of the row and its input partition
+        modulo the key's salt count for hot keys, 0 for the rest."""
+        tagged = rows.join(F.broadcast(self.hot), self.keys, "left")
+        row_hash = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in rows.columns])
+        salt = F.when(F.col(_NSALT).isNotNull(), F.pmod(row_hash, F.col(_NSALT))).otherwise(F.lit(0))
+        return tagged.withColumn(_SALT, salt.cast("int")).drop(_NSALT)
+
+    def fan_out(self, stats: DataFrame) -> DataFrame:
+        """One copy of each hot key's statistics row per salt."""
+        return (stats.join(F.broadcast(self.hot), self.keys, "left")
+                .withColumn(_SALT, F.explode(F.when(F.col(_NSALT).isNotNull(),
+                                                    F.sequence(F.lit(0), F.col(_NSALT) - 1))
+                                             .otherwise(F.array(F.lit(0)))))
+                .drop(_NSALT))
+
+    def lookup(self, salted_rows: DataFrame, stats: DataFrame) -> DataFrame:
+        """Left-join per-key ``stats`` onto rows that carry ``_salt``."""
+        return salted_rows.join(self.fan_out(stats), self.keys + [_SALT], "left")
+
+
 def attach_key_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str],
                      hot_share: float = 0.001, salts: int | None = None) -> DataFrame:
     """Left-join one-row-per-key ``stats`` (which must carry ``_rows``, the
     row count of the key in ``rows``) onto ``rows``, salting hot keys."""
-    keys = list(keys)
-    spark = rows.sparkSession
-    if salts is None:
-        salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    total = stats.select(F.sum(ROWS_COL).cast("double").alias("n")).scalar()
-    # At most 1/hot_share keys can each hold more than hot_share of the rows.
-    n_salt = F.least(F.lit(salts), F.ceil(F.col(ROWS_COL) * F.lit(float(salts)) / total)).cast("int")
-    hot = (stats.where(F.col(ROWS_COL) > total * F.lit(hot_share))
-           .select(*keys, F.greatest(n_salt, F.lit(1)).alias(_NSALT)))
-
-    tagged = rows.join(F.broadcast(hot), keys, "left")
-    row_hash = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in rows.columns])
-    salt = F.when(F.col(_NSALT).isNotNull(), F.pmod(row_hash, F.col(_NSALT))).otherwise(F.lit(0))
-    tagged = tagged.withColumn(_SALT, salt.cast("int")).drop(_NSALT)
-
-    fanned = (stats.join(F.broadcast(hot), keys, "left")
-              .withColumn(_SALT, F.explode(F.when(F.col(_NSALT).isNotNull(),
-                                                  F.sequence(F.lit(0), F.col(_NSALT) - 1))
-                                           .otherwise(F.array(F.lit(0)))))
-              .drop(_NSALT))
-    return tagged.join(fanned, keys + [_SALT], "left").drop(_SALT)
+    ks = KeySalting(stats, keys, hot_share, salts)
+    return ks.lookup(ks.salt_rows(rows), stats).drop(_SALT)
