@@ -13,22 +13,27 @@ from pyspark.sql import SparkSession
 DEFAULT_AS_OF = datetime(2001, 6, 15, 12, 0, 0)
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "revlens") -> SparkSession:
-    """Local/test session.  On a cluster, pass no master and size
-    ``spark.sql.shuffle.partitions`` to the data instead."""
+    """Session with the settings every plan assumes.  For local runs pass a
+    ``local[...]`` master (8 shuffle partitions unless given); on a cluster
+    pass no master and leave ``spark.sql.shuffle.partitions`` to the cluster
+    configuration or size it with ``recommended_shuffle_partitions``."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if shuffle_partitions is None:
+            shuffle_partitions = 8
+        builder = builder.config("spark.driver.memory", os.environ.get("REVLENS_DRIVER_MEMORY", "8g"))
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = (
         builder
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("REVLENS_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
