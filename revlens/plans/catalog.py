@@ -371,32 +371,32 @@ def _cohort(f: Feeds, rounded: bool = True):
 for _name, _metric in [("subscribers_by_year", "subscribers"), ("additions_by_year", "additions"),
                        ("disengagement_by_year", "disengagement"), ("revenue_by_year", "revenue"),
                        ("arpu_by_year", "arpu")]:
-    query(_name)(lambda f, _m=_metric: cohort.metric_by_year(_cohort(f, rounded=False), _m))
+    query(_name)(lambda f, _m=_metric: cohort.metric_by_year(_cohort(f, rounded=False), _m).orderBy("year"))
 
 
 @query("annual_cohort")
 def _q_annual_cohort(f: Feeds):
-    return _cohort(f)
+    return _cohort(f).orderBy("year")
 
 
 @query("lagged_subscribers")
 def _q_lagged(f: Feeds):
-    return cohort.lagged_subscribers(_cohort(f))
+    return cohort.lagged_subscribers(_cohort(f)).orderBy("year")
 
 
 @query("cohort_forecast")
 def _q_cohort_forecast(f: Feeds):
-    return cohort.cohort_forecast(_cohort(f))
+    return cohort.cohort_forecast(_cohort(f)).orderBy("year")
 
 
 @query("forecast_table_long")
 def _q_forecast_long(f: Feeds):
-    return cohort.forecast_table_long(cohort.cohort_forecast(_cohort(f)))
+    return cohort.forecast_table_long(cohort.cohort_forecast(_cohort(f))).orderBy("year", "metric")
 
 
 @query("rate_bands")
 def _q_rate_bands(f: Feeds):
-    return cohort.rate_bands(cohort.cohort_forecast(_cohort(f)))
+    return cohort.rate_bands(cohort.cohort_forecast(_cohort(f))).orderBy("year")
 
 
 # ---------------------------------------------------------------- forecast

@@ -42,13 +42,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (local tests) create a
-    private scratch folder for it."""
+    ``spark.checkpoint.dir`` and register it with the context.  Only a local
+    (test) session without that setting gets a private scratch folder; on a
+    cluster a machine-local folder would not survive executor loss, so an
+    unset directory is an error there."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
     local = tempfile.mkdtemp(prefix="revlens-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
