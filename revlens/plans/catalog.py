@@ -46,6 +46,19 @@ class Feeds:
     def raw_services(self) -> DataFrame:
         return tables.service_feed(self.spark, self.sf_dir)
 
+    # Derived tables shared by many outputs (materialized once by the report runner).
+    def service_stats(self) -> DataFrame:
+        """A1 rollup per (product, userid), money as exact decimals."""
+        return services.service_stats(self.services(), self.p.as_of, **self.p.skew)
+
+    def costed(self) -> DataFrame:
+        """Service rows with E5–E9 cost columns."""
+        return services.with_cost_columns(self.services(), self.p.as_of)
+
+    def user_costs(self) -> DataFrame:
+        """D1/W6 per (product, userid)."""
+        return services.user_cost(self.costed())
+
 
 class CsvFeeds(Feeds):
     """The reference's own inputs: five billing CSV exports (invoice, domain,
@@ -157,7 +170,7 @@ def _q_payment(f: Feeds):
 
 
 def _costed(f: Feeds):
-    return services.with_cost_columns(f.services(), f.p.as_of)
+    return f.costed()
 
 
 @query("lagging_cycles")
@@ -212,8 +225,7 @@ def _q_rev12_rows(f: Feeds):
 
 # ---------------------------------------------------------------- per customer
 def _rollup(f: Feeds, product: str):
-    stats = services.service_stats(f.services(), f.p.as_of, **f.p.skew)
-    return services.rollup_output(_rows_for(stats, product)).drop("product")
+    return services.rollup_output(_rows_for(f.service_stats(), product)).drop("product")
 
 
 @query("domain_rollup")
@@ -232,7 +244,7 @@ def _q_addon_rollup(f: Feeds):
 
 
 def _user_cost(f: Feeds, product: str):
-    return services.user_cost(_costed(f).where(F.col("product") == product)).drop("product")
+    return _rows_for(f.user_costs(), product).drop("product")
 
 
 @query("user_cost_domain")
@@ -271,16 +283,12 @@ def _q_profit(f: Feeds):
 
 
 # ---------------------------------------------------------------- customer level
-def _stats(f: Feeds):
-    return services.service_stats(f.services(), f.p.as_of, **f.p.skew)
-
-
 def _revenue_long(f: Feeds):
-    return customers.product_revenue_long(_stats(f))
+    return customers.product_revenue_long(f.service_stats())
 
 
 def _user_costs(f: Feeds):
-    return services.user_cost(_costed(f))
+    return f.user_costs()
 
 
 @query("product_costs_long")

@@ -50,6 +50,16 @@ class MaterializedFeeds(Feeds):
     def customers(self):
         return self._base.customers()
 
+    # Derived tables are built from the materialized feeds, then materialized too.
+    def service_stats(self) -> DataFrame:
+        return self._materialize("service_stats", super().service_stats)
+
+    def costed(self) -> DataFrame:
+        return self._materialize("costed", super().costed)
+
+    def user_costs(self) -> DataFrame:
+        return self._materialize("user_costs", super().user_costs)
+
 
 def run_report(feeds: Feeds, out_dir: str, names: list[str] | None = None,
                mode: str = "overwrite") -> list[str]:

@@ -10,7 +10,8 @@ from conftest import SF_SMALL
 
 def test_run_report_writes_equal_outputs(spark):
     out = tempfile.mkdtemp(prefix="revlens-report-")
-    names = ["profit_by_customer", "domain_rollup", "cohort_forecast", "finance_sales_by_unit"]
+    names = ["profit_by_customer", "domain_rollup", "cohort_forecast", "finance_sales_by_unit",
+             "user_cost_hosting", "customer_free_cost", "customer_revenue_summary", "kpis"]
     assert run_report(Feeds(spark, SF_SMALL), out, names) == names
     for n in names:
         written = spark.read.parquet(f"{out}/{n}")
