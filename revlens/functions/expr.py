@@ -138,9 +138,10 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
-def money_text(x: Column) -> Column:
-    """E17: "$ 1,234.50" (two places, thousands grouped)."""
-    return F.concat(F.lit("$ "), F.format_number(x, 2))
+def money_text(x: Column, prefix: str = "$ ") -> Column:
+    """E17: "$ 1,234.50" (two places, thousands grouped); the forecast
+    display of the original uses the prefix "$" without a space."""
+    return F.concat(F.lit(prefix), F.format_number(x, 2))
 
 
 def growth_band(rate: Column) -> Column:

@@ -181,5 +181,6 @@ def acquisition_cost(kpi: DataFrame, multiplier: float, operational_cost: float)
     """(annual revenue - free cost - operational cost) x multiplier, 2 places."""
     raw = (F.col("annual_revenue") - F.col("free_service_cost") - F.lit(float(operational_cost))) \
         * F.lit(float(multiplier))
-    return kpi.select("annual_revenue", "free_service_cost",
-                      E.round_half_even(raw, 2).alias("acquisition_cost"))
+    return (kpi.select("annual_revenue", "free_service_cost",
+                       E.round_half_even(raw, 2).alias("acquisition_cost"))
+            .withColumn("acquisition_text", E.money_text(F.col("acquisition_cost"))))

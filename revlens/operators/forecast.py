@@ -108,8 +108,9 @@ def hw_forecast(fit: DataFrame, last_year: int, m: int = 2, horizon: int = 3,
     out = fit.select("series", "state", F.explode(steps).alias("step"))
     fc = st["l"] + F.col("step").cast("double") * st["b"] + \
         F.element_at(st["s"], F.pmod(F.col("step") - 1, F.lit(m)) + 1)
-    return out.select("series", "step", (F.lit(last_year) + F.col("step")).alias("year"),
-                      (E.round_half_even(fc, 2) if rounded else fc).alias("forecast"))
+    out = out.select("series", "step", (F.lit(last_year) + F.col("step")).alias("year"),
+                     (E.round_half_even(fc, 2) if rounded else fc).alias("forecast"))
+    return out.withColumn("forecast_text", E.money_text(F.col("forecast"), "$")) if rounded else out
 
 
 def hw_fitted(fit: DataFrame, years: Sequence[int]) -> DataFrame:
@@ -130,4 +131,5 @@ def growth_projection(forecast: DataFrame, growth: float, churn: float, years: i
     out = base.select("series", "year", "forecast", k)
     val = F.aggregate(F.sequence(F.lit(1), F.col("k")), F.col("forecast"),
                       lambda acc, _: (acc * F.lit(factor)).cast("bigint").cast("double"))
-    return out.select("series", (F.col("year") + F.col("k")).alias("year"), val.alias("projected_revenue"))
+    return out.select("series", (F.col("year") + F.col("k")).alias("year"), val.alias("projected_revenue"),
+                      E.money_text(val).alias("projected_text"))

@@ -437,6 +437,14 @@ def _q_growth(f: Feeds):
 
 
 # ---------------------------------------------------------------- finance
+@query("finance_wide")
+def _q_fin_wide(f: Feeds):
+    """The wide finance sheet itself (the data preview of the original)."""
+    fin = f.finance()
+    return fin.select("Scenario", "business_unit", "Account", "Year",
+                      *[F.col(m).cast("double").alias(m) for m in feeds_mod.FINANCE_MONTHS])
+
+
 @query("finance_sales_by_unit")
 def _q_fin_unit(f: Feeds):
     fin = f.finance(years=[f.p.finance_year], accounts=[f.p.finance_account])

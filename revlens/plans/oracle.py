@@ -393,6 +393,10 @@ UNION ALL SELECT 'Free Service Cost' AS metric, free_service_cost AS value FROM
     q["acquisition_cost"] = cust + f"""SELECT annual_revenue, free_service_cost,
   {_r(f'(annual_revenue - free_service_cost - {float(p.operational_cost)}::DOUBLE) * {float(p.acquisition_multiplier)}::DOUBLE', 2)}
     AS acquisition_cost FROM kpi"""
+    q["acquisition_cost"] = (q["acquisition_cost"].replace("SELECT annual_revenue, free_service_cost,",
+                                                           "SELECT *, '$ ' || format('{:,.2f}', acquisition_cost) AS "
+                                                           "acquisition_text FROM (SELECT annual_revenue, "
+                                                           "free_service_cost,", 1) + ")")
 
     coh = _with(p, "inv").rstrip("\n") + ",\n" + cohort_ctes(p) + "\n"
     ycast = ", ".join(f"CAST(y{y} AS DOUBLE) AS y{y}" for y in p.years)
@@ -426,6 +430,8 @@ FROM (UNPIVOT (SELECT Scenario, {_MONTHS} FROM fin
                WHERE Year = {p.finance_year} AND Account = '{p.finance_account}'
                  AND business_unit = '{p.finance_unit}')
       ON {_MONTHS} INTO NAME month VALUE sales)"""
+    q["finance_wide"] = fin + "SELECT Scenario, business_unit, Account, Year, " + ", ".join(
+        f"CAST({m} AS DOUBLE) AS {m}" for m in _MONTHS.split(", ")) + " FROM fin"
     absm = ", ".join(f"abs({m}) AS {m}" for m in _MONTHS.split(", "))
     q["finance_yearly_by_account"] = fin + f"""SELECT Account AS account, Year AS year, CAST(sum(sales) AS DOUBLE) AS sales
 FROM (UNPIVOT (SELECT Account, Year, {absm} FROM fin
@@ -491,7 +497,8 @@ fc AS (
   FROM best, steps)
 """
     q = {
-        "hw_forecast": base + f"SELECT series, step, year, {_r('forecast', 2)} AS forecast FROM fc",
+        "hw_forecast": base + f"""SELECT *, '$' || format('{{:,.2f}}', forecast) AS forecast_text FROM (
+  SELECT series, step, year, {_r('forecast', 2)} AS forecast FROM fc)""",
         "hw_fitted": base + f"""SELECT series, CAST(year AS INTEGER) AS year, {_r('f', 2)} AS fitted FROM (
   SELECT series, unnest(fitted) AS f, unnest(range({lo}, {hi + 1})) AS year FROM best)""",
     }
@@ -499,7 +506,7 @@ fc AS (
     proj, expr = [], "forecast"
     for k in range(1, p.projection_years + 1):
         expr = f"CAST(trunc(({expr}) * {factor}::DOUBLE) AS DOUBLE)"
-        proj.append(f"SELECT series, CAST(year + {k} AS INTEGER) AS year, {expr} AS projected_revenue "
-                    f"FROM fc WHERE step = 1")
+        proj.append(f"SELECT series, CAST(year + {k} AS INTEGER) AS year, {expr} AS projected_revenue, "
+                    f"'$ ' || format('{{:,.2f}}', {expr}) AS projected_text FROM fc WHERE step = 1")
     q["growth_projection"] = base + "\nUNION ALL\n".join(proj)
     return q
