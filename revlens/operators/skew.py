@@ -12,15 +12,16 @@ aggregation, so a hot key costs nothing extra), then joined back to the rows:
 * a hot key with ``n_k`` of the ``N`` rows gets ``s_k = ceil(n_k * P / N)``
   salts (``P`` = target task count, default ``spark.sql.shuffle.partitions``),
   i.e. about one task's worth of rows per salt.  Its rows get a deterministic
-  salt in ``[0, s_k)`` (a hash of the row and its input partition) and its
+  salt in ``[0, s_k)`` (a hash of the row content) and its
   statistics row is replicated ``s_k`` times; cold keys use salt 0.  The
   replicated side therefore has at most ``#keys + P + 1/hot_share`` rows,
   whatever the skew;
 * the join on ``(keys, salt)`` then spreads a hot key over ``s_k`` tasks
   while cold keys shuffle as usual.
 
-The salt is a pure function of the row content and its input partition, so a
-recomputed task after an executor loss sends every row to the same place.
+The salt is a pure function of the row content, so a recomputed task after an
+executor loss sends every row to the same place, and filters above the join
+still push down through it.
 The threshold is a scalar subquery inside the same plan (no driver round trip).
 """
 
@@ -57,10 +58,13 @@ class KeySalting:
                                                    F.lit(1)).cast("int").alias(_NSALT)))
 
     def salt_rows(self, rows: DataFrame) -> DataFrame:
-        """``rows`` plus ``_salt``: a hash of the row and its input partition
-        modulo the key's salt count for hot keys, 0 for the rest."""
+        """``rows`` plus ``_salt``: a hash of the row's content modulo the
+        key's salt count for hot keys, 0 for the rest.  The hash is a pure
+        function of the row (deterministic, so Catalyst still pushes filters
+        through it and a recomputed task salts identically); exact duplicate
+        rows share a salt."""
         tagged = rows.join(F.broadcast(self.hot), self.keys, "left")
-        row_hash = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in rows.columns])
+        row_hash = F.xxhash64(*[F.col(c) for c in rows.columns])
         salt = F.when(F.col(_NSALT).isNotNull(), F.pmod(row_hash, F.col(_NSALT))).otherwise(F.lit(0))
         return tagged.withColumn(_SALT, salt.cast("int")).drop(_NSALT)
 
