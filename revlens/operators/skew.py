@@ -6,23 +6,26 @@ if one customer holds a third of the rows, that task holds a third of the job.
 Here per-key statistics are first computed with ``groupBy`` (map-side partial
 aggregation, so a hot key costs nothing extra), then joined back to the rows:
 
-* keys holding more than ``hot_share`` of all rows are *hot*.  There can be
-  at most ``1 / hot_share`` of them, so the hot-key list has a proven size
-  bound and is broadcast;
-* a hot key with ``n_k`` of the ``N`` rows gets ``s_k = ceil(n_k * P / N)``
-  salts (``P`` = target task count, default ``spark.sql.shuffle.partitions``),
-  i.e. about one task's worth of rows per salt.  Its rows get a deterministic
-  salt in ``[0, s_k)`` (a hash of the row content) and its
-  statistics row is replicated ``s_k`` times; cold keys use salt 0.  The
-  replicated side therefore has at most ``#keys + P + 1/hot_share`` rows,
-  whatever the skew;
-* the join on ``(keys, salt)`` then spreads a hot key over ``s_k`` tasks
-  while cold keys shuffle as usual.
+* a key with more than ``rows_per_salt`` rows (about one task's worth) is
+  *hot*.  The hot-key list keeps the ``max_hot`` largest such keys, so its
+  size is bounded by a constant and it is broadcast; any further large key is
+  still joined exactly, through the ordinary shuffle;
+* a hot key with ``n_k`` rows gets ``s_k = min(max_salts, ceil(n_k /
+  rows_per_salt))`` salts.  Its rows get a salt in ``[0, s_k)`` (a hash of
+  the row content) and its statistics row is replicated ``s_k`` times; other
+  keys use salt 0.  The replicated side therefore has at most ``#keys +
+  N / rows_per_salt + max_hot`` rows for ``N`` rows in total;
+* the join on ``(keys, salt)`` spreads a hot key over ``s_k`` tasks while the
+  other keys shuffle as usual.
+
+This is the shape of Spark's own adaptive skew-join rule (an absolute size
+threshold, the skewed side split, the other side replicated), applied where
+that rule cannot act: the statistics side is an aggregate that is already
+partitioned by the key, so it is not a shuffle stage.
 
 The salt is a pure function of the row content, so a recomputed task after an
 executor loss sends every row to the same place, and filters above the join
 still push down through it.
-The threshold is a scalar subquery inside the same plan (no driver round trip).
 """
 
 from __future__ import annotations
@@ -36,6 +39,9 @@ ROWS_COL = "_rows"
 _SALT = "_salt"
 _NSALT = "_nsalt"
 
+DEFAULT_ROWS_PER_SALT = 1_000_000
+DEFAULT_MAX_HOT = 1000
+
 
 class KeySalting:
     """The salting plan of one key space: which keys are hot and how many
@@ -43,19 +49,18 @@ class KeySalting:
     ``_rows``; reusable for several joins over the same rows, so a second
     lookup join reuses the ``(keys, _salt)`` partitioning of the first."""
 
-    def __init__(self, stats: DataFrame, keys: Sequence[str], hot_share: float = 0.001,
-                 salts: int | None = None):
+    def __init__(self, stats: DataFrame, keys: Sequence[str],
+                 rows_per_salt: int = DEFAULT_ROWS_PER_SALT, max_hot: int = DEFAULT_MAX_HOT,
+                 max_salts: int | None = None):
         self.keys = list(keys)
-        spark = stats.sparkSession
-        if salts is None:
-            salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-        share = F.col(ROWS_COL).cast("double") / stats.select(
-            F.sum(ROWS_COL).cast("double").alias("n")).scalar()
-        # At most 1/hot_share keys can each hold more than hot_share of the rows.
-        self.hot = (stats.select(*self.keys, share.alias("_share"))
-                    .where(F.col("_share") > F.lit(hot_share))
-                    .select(*self.keys, F.greatest(F.least(F.lit(salts), F.ceil(F.col("_share") * F.lit(float(salts)))),
-                                                   F.lit(1)).cast("int").alias(_NSALT)))
+        if max_salts is None:
+            max_salts = max(int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+        n_salt = F.least(F.lit(max_salts), F.ceil(F.col(ROWS_COL) / F.lit(float(rows_per_salt))))
+        # The largest keys first; the limit is the proven bound of the broadcast.
+        self.hot = (stats.where(F.col(ROWS_COL) > F.lit(rows_per_salt))
+                    .orderBy(F.desc(ROWS_COL), *self.keys)
+                    .limit(max_hot)
+                    .select(*self.keys, n_salt.cast("int").alias(_NSALT)))
 
     def salt_rows(self, rows: DataFrame) -> DataFrame:
         """``rows`` plus ``_salt``: a hash of the row's content modulo the
@@ -81,9 +86,8 @@ class KeySalting:
         return salted_rows.join(self.fan_out(stats), self.keys + [_SALT], "left")
 
 
-def attach_key_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str],
-                     hot_share: float = 0.001, salts: int | None = None) -> DataFrame:
+def attach_key_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], **salting) -> DataFrame:
     """Left-join one-row-per-key ``stats`` (which must carry ``_rows``, the
     row count of the key in ``rows``) onto ``rows``, salting hot keys."""
-    ks = KeySalting(stats, keys, hot_share, salts)
+    ks = KeySalting(stats, keys, **salting)
     return ks.lookup(ks.salt_rows(rows), stats).drop(_SALT)

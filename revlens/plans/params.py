@@ -28,6 +28,7 @@ class Params:
     finance_account: str = "Sales"
     finance_unit: str = "PROMO"
     finance_scenario: str = "Actuals"
+    # KeySalting settings (rows_per_salt, max_hot, max_salts); defaults in operators/skew.py.
     skew: dict = field(default_factory=dict)
 
 

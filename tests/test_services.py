@@ -70,7 +70,7 @@ def _brute(rows):
     return out
 
 
-@pytest.mark.parametrize("skew", [{}, {"hot_share": 0.0001, "salts": 50}])
+@pytest.mark.parametrize("skew", [{}, {"rows_per_salt": 5, "max_salts": 50}])
 def test_rollup_matches_brute_force(spark, skew):
     rows = _random_rows()
     df = services.with_final_status(spark.createDataFrame(rows, SCHEMA), AS_OF)
@@ -79,7 +79,7 @@ def test_rollup_matches_brute_force(spark, skew):
     assert got == _brute(rows)
 
 
-@pytest.mark.parametrize("skew", [{}, {"hot_share": 0.0001, "salts": 64}])
+@pytest.mark.parametrize("skew", [{}, {"rows_per_salt": 5, "max_salts": 64}])
 def test_row_level_masks_match_brute_force(spark, skew):
     rows = _random_rows(seed=11)
     df = services.with_final_status(spark.createDataFrame(rows, SCHEMA), AS_OF)
@@ -152,12 +152,12 @@ def test_hot_key_is_spread_over_salts(spark):
     from revlens.operators.skew import attach_key_stats
     rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k", "id")
     stats = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_rows"), F.min("id").alias("first_id"))
-    joined = attach_key_stats(rows, stats, ["k"], hot_share=0.01, salts=30)
+    joined = attach_key_stats(rows, stats, ["k"], rows_per_salt=100, max_salts=30)
     assert joined.count() == 3000
     assert joined.where("k = 0").agg(F.min("first_id")).first()[0] == 0
     plain = rows.join(stats, ["k"], "left")
     assert sorted(map(tuple, joined.select("k", "id", "first_id").collect())) == \
         sorted(map(tuple, plain.select("k", "id", "first_id").collect()))
-    # the hot key's rows land in ceil(1000 * 30 / 3000) = 10 distinct shuffle tasks
+    # the hot key is split over ceil(1000 / 100) = 10 salts
     parts = joined.where("k = 0").select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts > 1

@@ -18,7 +18,7 @@ def _skewed(spark):
 
 def test_skewed_rollup_equals_window_plan(spark):
     svc = _skewed(spark)
-    got = services.rollup_output(services.service_stats(svc, AS_OF, hot_share=0.01, salts=16))
+    got = services.rollup_output(services.service_stats(svc, AS_OF, rows_per_salt=100, max_salts=16))
     # plain (skew-unsafe) formulation: window min per customer, then aggregate
     w = Window.partitionBy("product", "userid")
     rows = svc.withColumn("min_next", F.min("nextinvoicedate").over(w)).withColumn(
@@ -31,9 +31,9 @@ def test_skewed_rollup_equals_window_plan(spark):
 def test_hot_customer_spread_over_salts(spark):
     from revlens.operators.skew import KeySalting
     svc = _skewed(spark)
-    ks = KeySalting(services.min_next_stats(svc), services.SERVICE_KEYS, hot_share=0.01, salts=64)
+    ks = KeySalting(services.min_next_stats(svc), services.SERVICE_KEYS, rows_per_salt=100, max_salts=64)
     hot = {(r.product, r.userid): r._nsalt for r in ks.hot.collect()}
-    # each product's share of customer 1 is ~1/9 of all rows -> about 64/9 salts; no cold key is hot
+    # customer 1 has ~650 rows per product -> ceil(650 / 100) = 7 salts; no other key exceeds 100 rows
     assert set(hot) == {("domain", 1), ("hosting", 1), ("hostingaddons", 1)}
     assert all(n >= 7 for n in hot.values())
     salted = ks.salt_rows(svc).where("userid = 1").groupBy("product").agg(F.countDistinct("_salt").alias("n"))
