@@ -68,3 +68,23 @@ def test_csv_values(feeds):
     assert [tuple(r) for r in outs["finance_yearly_by_account"].collect()] == [("COGS", 1997, 36.0)]
     host = {r.userid: r for r in outs["hosting_rollup"].collect()}
     assert host[1.0].final_status == "Active" and host[3.0].payment is None
+
+
+def test_csv_edge_rows(feeds):
+    outs = run_on_feeds(feeds, ["service_payment", "hosting_rollup", "lagging_cycles", "domain_rollup",
+                                "free_service_cost", "cycle_rate"])
+    pay = {(r.product, r.id): r.payment for r in outs["service_payment"].collect()}
+    # customer 2's two domains tie at the earliest next date: both pay the first amount
+    assert pay[("domain", 4.0)] == 5.0 and pay[("domain", 5.0)] == 6.0
+    # customer 1: earliest date 2001-03-17 pays first (10), the others recurring
+    assert pay[("domain", 1.0)] == 10.0 and pay[("domain", 2.0)] == 120.0 and pay[("domain", 3.0)] == 60.0
+    host = {r.userid: r for r in outs["hosting_rollup"].collect()}
+    # hosting with NULL amounts and a future date: future revenue 0, not NULL; no revenue
+    assert host[3.0].future_revenue == 0.0 and host[3.0].revenue is None
+    lag = {(r.product, r.id): r.lagging_cycles for r in outs["lagging_cycles"].collect()}
+    assert lag[("domain", 3.0)] == round(-1 / 30, 6)          # next = as_of's day, noon as_of -> -1 day
+    assert lag[("domain", 4.0)] == 0.0                        # next day -> 0 days, not a free period
+    assert lag[("hosting", 1.0)] is None                      # Active without a next date
+    rate = {(r.product, r.id): r.cycle_rate for r in outs["cycle_rate"].collect()}
+    assert rate[("hosting", 4.0)] is None                     # flagged, unknown cycle
+    assert rate[("hosting", 3.0)] == 1.0                      # 365 / 365 days
