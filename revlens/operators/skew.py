@@ -82,8 +82,11 @@ class KeySalting:
                 .drop(_NSALT))
 
     def lookup(self, salted_rows: DataFrame, stats: DataFrame) -> DataFrame:
-        """Left-join per-key ``stats`` onto rows that carry ``_salt``."""
-        return salted_rows.join(self.fan_out(stats), self.keys + [_SALT], "left")
+        """Left-join per-key ``stats`` onto rows that carry ``_salt``.  The
+        statistics side is built into a hash table per task (one row per key
+        and salt, so a task holds about #keys / #tasks entries) and the rows
+        stream through it: no sort of the row side."""
+        return salted_rows.join(self.fan_out(stats).hint("shuffle_hash"), self.keys + [_SALT], "left")
 
 
 def attach_key_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], **salting) -> DataFrame:
