@@ -38,7 +38,8 @@ def _pandas(recs):
     df["rev"] = df[df["status"] == "Paid"].groupby("userid")["total"].transform("sum")
     d2 = df.sort_values(["userid", "r12"], ascending=[True, False]).drop_duplicates("userid", keep="first")
     d3 = df.sort_values(["userid", "paid"], ascending=[True, False]).drop_duplicates("userid", keep="first")
-    na = lambda v: None if pd.isna(v) else v
+    # money: the engine sums exact decimals, pandas sums doubles -> compare in cents
+    na = lambda v: None if pd.isna(v) else round(float(v), 2)
     return ({r.userid: (na(r.r12), bool(r.in_12m)) for r in d2.itertuples()},
             {r.userid: (None if pd.isna(r.paid) else int(r.paid), na(r.rev)) for r in d3.itertuples()})
 
