@@ -43,6 +43,16 @@ DEFAULT_ROWS_PER_SALT = 1_000_000
 DEFAULT_MAX_HOT = 1000
 
 
+def default_max_salts(spark) -> int:
+    """A key cannot spread over more tasks than the join has partitions: the
+    shuffle partition count, or AQE's initial count when the cluster sets it."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    if initial:
+        n = max(n, int(initial))
+    return max(n, 2)
+
+
 class KeySalting:
     """The salting plan of one key space: which keys are hot and how many
     salts each gets.  Built from one-row-per-key ``stats`` carrying
@@ -54,7 +64,7 @@ class KeySalting:
                  max_salts: int | None = None):
         self.keys = list(keys)
         if max_salts is None:
-            max_salts = max(int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+            max_salts = default_max_salts(stats.sparkSession)
         n_salt = F.least(F.lit(max_salts), F.ceil(F.col(ROWS_COL) / F.lit(float(rows_per_salt))))
         # The largest keys first; the limit is the proven bound of the broadcast.
         self.hot = (stats.where(F.col(ROWS_COL) > F.lit(rows_per_salt))
