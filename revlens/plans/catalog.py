@@ -107,6 +107,10 @@ def query(name: str):
     return deco
 
 
+def query_names() -> list[str]:
+    return list(_REGISTRY)
+
+
 def catalogue(params: Params = DEFAULT) -> dict[str, Query]:
     return {name: (lambda spark, sf_dir, _fn=fn: _fn(Feeds(spark, sf_dir, params)))
             for name, fn in _REGISTRY.items()}

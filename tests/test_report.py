@@ -17,3 +17,11 @@ def test_run_report_writes_equal_outputs(spark):
         written = spark.read.parquet(f"{out}/{n}")
         lazy = catalogue()[n](spark, SF_SMALL)
         assert sorted(map(tuple, written.collect()), key=repr) == sorted(map(tuple, lazy.collect()), key=repr)
+
+
+def test_job_entry_point_on_driver_tables(spark):
+    from revlens.__main__ import main
+    out = tempfile.mkdtemp(prefix="revlens-job-")
+    written = main(["--sf-dir", SF_SMALL, "--out", out, "--names", "kpis,tickets_by_user"], spark=spark)
+    assert written == ["kpis", "tickets_by_user"]
+    assert spark.read.parquet(f"{out}/kpis").count() == 1
