@@ -14,6 +14,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from revlens.functions import expr as E
 from revlens.operators.skew import ROWS_COL, attach_key_stats
@@ -27,10 +28,13 @@ def _money(c, exact: bool):
     return c if exact else c.cast("double")
 
 
-def row_order():
-    """Explicit input order of the invoice feed, ``(date NULLS FIRST, id)``,
-    as one DECIMAL(38,0) key so that ``min_by`` stays in the hash aggregate:
-    date micros * 10^20 + (id + 2^63)."""
+def row_order(df: DataFrame):
+    """Explicit input order of the invoice feed, ``(date NULLS FIRST, id)``.
+    For integral ids it is one DECIMAL(38,0) key, date micros * 10^20 +
+    (id + 2^63), so that ``min_by`` stays in the hash aggregate; other id
+    types (a text feed coerced to DOUBLE) use the struct ordering."""
+    if not isinstance(df.schema["id"].dataType, IntegralType):
+        return F.struct(F.col("date"), F.col("id"))
     micros = F.timestamp_diff("MICROSECOND", E.ts_literal(datetime(1970, 1, 1)), F.col("date"))
     micros = F.coalesce(micros, F.lit(-(10 ** 17))).cast("decimal(38,0)")
     shifted = F.col("id").cast("decimal(38,0)") + F.lit(str(2 ** 63)).cast("decimal(38,0)")
@@ -72,7 +76,7 @@ def invoice_12m_by_user(invoices: DataFrame, as_of: datetime, exact: bool = Fals
     return rows.groupBy("userid").agg(
         _money(F.when(n12 > 0, F.coalesce(F.sum(F.when(m12, F.col("total"))), _zero())), exact)
         .alias("revenue_12m"),
-        F.when(n12 > 0, F.lit(True)).otherwise(F.min_by("in_12m", row_order())).alias("in_12m"))
+        F.when(n12 > 0, F.lit(True)).otherwise(F.min_by("in_12m", row_order(rows))).alias("in_12m"))
 
 
 def invoice_revenue_by_user(invoices: DataFrame, exact: bool = False) -> DataFrame:
@@ -81,7 +85,7 @@ def invoice_revenue_by_user(invoices: DataFrame, exact: bool = False) -> DataFra
     revenue is NULL unless that row is paid (quirk Q10)."""
     paid, _, paid_pos = _masks()
     npos = F.count_if(paid_pos)
-    keep = (npos > 0) | F.coalesce(F.min_by(paid.cast("int"), row_order()) == 1, F.lit(False))
+    keep = (npos > 0) | F.coalesce(F.min_by(paid.cast("int"), row_order(invoices)) == 1, F.lit(False))
     return invoices.groupBy("userid").agg(
         F.nullif(npos, F.lit(0)).alias("paid_invoices"),
         _money(F.when(keep, F.coalesce(F.sum(F.when(paid, F.col("total"))), _zero())), exact)

@@ -47,3 +47,12 @@ def test_profit_full_outer_with_ticket_only_customer(spark):
     tix = spark.createDataFrame([(10, 1), (11, 1), (12, 9)], "id bigint, userid bigint")
     got = {r.userid: tuple(r)[1:] for r in invoices.profit_by_customer(inv, tix, 75.0).collect()}
     assert got == {1: (1, 100.0, 2, 150.0, -50.0), 9: (0, 0.0, 1, 75.0, -75.0)}
+
+
+def test_fractional_ids_keep_input_order(spark):
+    """Text feeds coerce ids to DOUBLE; the first-row fallback still orders by (date, id)."""
+    rows = [(1.5, 1.0, ts("2000-01-01"), "Paid", Decimal("0.00")),
+            (1.4, 1.0, ts("2000-01-01"), "Unpaid", Decimal("3.00"))]
+    df = spark.createDataFrame(rows, "id double, userid double, date timestamp_ntz, status string, total decimal(18,2)")
+    got = invoices.invoice_revenue_by_user(df).collect()
+    assert [(r.paid_invoices, r.revenue) for r in got] == [(None, None)]   # first row (id 1.4) is unpaid
