@@ -11,6 +11,8 @@ materialized table.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 
 from revlens.plans.catalog import Feeds, run_on_feeds
@@ -62,11 +64,22 @@ class MaterializedFeeds(Feeds):
 
 
 def run_report(feeds: Feeds, out_dir: str, names: list[str] | None = None,
-               mode: str = "overwrite") -> list[str]:
-    """Write each named output (default: all) as parquet under ``out_dir``."""
+               mode: str = "overwrite", parallel_jobs: int = 4) -> list[str]:
+    """Write each named output (default: all) as parquet under ``out_dir``.
+
+    The shared tables are checkpointed first (in this thread); the writes are
+    then submitted as concurrent Spark jobs from ``parallel_jobs`` driver
+    threads, so small outputs overlap their scheduling instead of queueing.
+    Nothing but job handles passes through the driver."""
     shared = MaterializedFeeds(feeds)
-    written = []
-    for name, df in run_on_feeds(shared, names).items():
+    outputs = run_on_feeds(shared, names)
+
+    def write(item):
+        name, df = item
         write_result(df, f"{out_dir.rstrip('/')}/{name}", mode)
-        written.append(name)
-    return written
+        return name
+
+    if parallel_jobs <= 1:
+        return [write(item) for item in outputs.items()]
+    with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
+        return list(pool.map(write, outputs.items()))
