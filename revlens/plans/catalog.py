@@ -162,15 +162,20 @@ def _with_stats(f: Feeds):
     return services.services_with_stats(f.services(), f.p.as_of, **f.p.skew)
 
 
+def _with_payment(f: Feeds):
+    """Rows with W1/E4 only (one salted lookup; the rollup lookup is not needed)."""
+    return services.with_payment(f.services(), **f.p.skew)
+
+
 @query("min_next_invoice")
 def _q_min_next(f: Feeds):
-    return _with_stats(f).select("product", "id", "userid", "nextinvoicedate", "min_next")
+    return _with_payment(f).select("product", "id", "userid", "nextinvoicedate", "min_next")
 
 
 @query("service_payment")
 def _q_payment(f: Feeds):
-    return _with_stats(f).select("product", "id", "userid",
-                                 F.col("payment").cast("double").alias("payment"))
+    return _with_payment(f).select("product", "id", "userid",
+                                   F.col("payment").cast("double").alias("payment"))
 
 
 def _costed(f: Feeds):
