@@ -20,7 +20,7 @@ def coerce_numeric_key(df: DataFrame, name: str) -> Column:
     if isinstance(field.dataType, NumericType):
         return F.when(~F.isnan(c.cast("double")), c) if _is_fractional(field.dataType) else c
     text = c.cast("string")
-    parsed = F.try_cast(text, "double") if hasattr(F, "try_cast") else F.expr(f"try_cast(`{name}` as double)")
+    parsed = text.try_cast("double")
     parsed = F.when(text.rlike(_SUFFIXED_NUMBER), F.lit(None).cast("double")).otherwise(parsed)
     return F.when(~F.isnan(parsed), parsed)
 
