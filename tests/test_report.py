@@ -25,3 +25,22 @@ def test_job_entry_point_on_driver_tables(spark):
     written = main(["--sf-dir", SF_SMALL, "--out", out, "--names", "kpis,tickets_by_user"], spark=spark)
     assert written == ["kpis", "tickets_by_user"]
     assert spark.read.parquet(f"{out}/kpis").count() == 1
+
+
+def test_job_entry_point_on_csv_feeds(spark):
+    import os
+    from revlens.__main__ import main
+    from test_csv_pipeline import FILES
+    d = tempfile.mkdtemp(prefix="revlens-jobcsv-")
+    pairs = []
+    for name, text in FILES.items():
+        path = os.path.join(d, f"{name}.csv")
+        with open(path, "w") as fh:
+            fh.write(text)
+        pairs.append(f"{name}={path}")
+    out = os.path.join(d, "out")
+    written = main(["--feeds", ",".join(pairs), "--out", out, "--as-of", "2001-06-15T12:00:00",
+                    "--names", "profit_by_customer,domain_rollup,annual_cohort"], spark=spark)
+    assert written == ["profit_by_customer", "domain_rollup", "annual_cohort"]
+    profit = {r.userid: r.revenue for r in spark.read.parquet(f"{out}/profit_by_customer").collect()}
+    assert profit[1.0] == 116.0
