@@ -41,7 +41,7 @@ def invoice_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("userid"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("date"),
         _case(F.col("o_orderstatus"), INVOICE_STATUS).alias("status"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("total"),
+        F.col("o_totalprice").try_cast("decimal(18,2)").alias("total"),
     )
 
 
@@ -59,7 +59,7 @@ def service_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     ship = F.col("l_shipdate").cast("timestamp_ntz")
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    price = F.col("l_extendedprice").try_cast("decimal(18,2)")
     status = (F.when(F.col("l_linestatus") == "O", F.lit("Active"))
               .when(F.col("l_returnflag") == "N", F.lit("Completed"))
               .otherwise(F.lit("Cancelled")))
@@ -70,7 +70,7 @@ def service_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_quantity") != NO_NEXT_DATE_QUANTITY, ship).alias("nextinvoicedate"),
         F.when(F.col("l_returnflag") == "R", ship).alias("termination_date"),
         price.alias("firstpaymentamount"),
-        (price * (F.lit(1).cast("decimal(18,2)") - F.col("l_discount").cast("decimal(18,2)")))
+        (price * (F.lit(1).cast("decimal(18,2)") - F.col("l_discount").try_cast("decimal(18,2)")))
         .cast("decimal(18,4)").alias("recurringamount"),
         _case(F.col("l_linenumber"), BILLING_CYCLE_BY_LINE).alias("billingcycle"),
         status.alias("status"),
@@ -117,7 +117,7 @@ def finance_feed(spark: SparkSession, sf_dir: str, years=None, accounts=None,
         li = li.where(F.col("l_linestatus").isin(_inverse(FINANCE_SCENARIO, scenarios)))
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
     j = li.join(p, li.l_partkey == p.p_partkey, "inner")
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    price = F.col("l_extendedprice").try_cast("decimal(18,2)")
     signed = F.when(F.col("l_returnflag") == "N", price).otherwise(-price)
     month = F.month("l_shipdate")
     return (j.groupBy(
