@@ -63,7 +63,7 @@ def customer_free_cost(user_costs: DataFrame, invoice_12m: DataFrame) -> DataFra
         .when(F.col(f"_act_{SUFFIX[p]}") == 0, F.lit(E.INACTIVE)).alias(f"final_status_{SUFFIX[p]}")
         for p in ["hostingaddons", "hosting", "domain"]],
         *[f"total_free_service_cost_{SUFFIX[p]}" for p in ["hostingaddons", "hosting", "domain"]])
-    j = wide.join(invoice_12m, "userid", "full_outer")
+    j = wide.join(invoice_12m.hint("shuffle_hash"), "userid", "full_outer")
     costs = [f"total_free_service_cost_{SUFFIX[p]}" for p in ["hostingaddons", "hosting", "domain"]]
     micro = sum((F.coalesce(_micro(F.col(c)), F.lit(0.0)) for c in costs), F.lit(0.0))
     return j.select(
@@ -83,7 +83,7 @@ def customer_revenue_summary(revenue_long: DataFrame, invoice_revenue: DataFrame
         *[_per_product("active_services", p).alias(f"active_services_{SUFFIX[p]}") for p in prods],
         *[_per_product("revenue", p).alias(f"revenue_{SUFFIX[p]}") for p in prods],
         *[_per_product("future_revenue", p).alias(f"future_{SUFFIX[p]}") for p in prods])
-    j = wide.join(invoice_revenue, "userid", "full_outer")
+    j = wide.join(invoice_revenue.hint("shuffle_hash"), "userid", "full_outer")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     future_all = z("future_addon") + z("future_hosting") + z("future_domain")
     product_rev = z("revenue_addon") + z("revenue_hosting") + z("revenue_domain")

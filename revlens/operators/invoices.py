@@ -102,10 +102,11 @@ def profit_by_customer(invoices: DataFrame, tickets: DataFrame,
     """J7 + E12: invoice revenue ⟗ tickets, missing as 0, cost and profit.
 
     Both sides are already hash-partitioned by ``userid`` by their own
-    aggregates, so the full outer join adds no exchange."""
+    aggregates, so the full outer join adds no exchange; it is a hash join
+    built on the ticket side, so neither aggregate is sorted."""
     rev = invoice_revenue_by_user(invoices, exact)
     tix = tickets_by_user(tickets)
-    j = rev.join(tix, "userid", "full_outer")
+    j = rev.join(tix.hint("shuffle_hash"), "userid", "full_outer")
     tickets_c = F.coalesce(F.col("tickets"), F.lit(0)).cast("bigint")
     revenue_c = F.coalesce(F.col("revenue"), _zero() if exact else F.lit(0.0))
     cost = tickets_c.cast("double") * F.lit(float(cost_per_ticket))
