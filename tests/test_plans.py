@@ -24,3 +24,20 @@ def test_plan_properties(spark):
             assert b not in plan, (name, b)
         for cols, table in re.findall(r"FileScan parquet \[([^\]]*)\].*?/([a-z_]+)\.parquet\]", plan):
             assert len(cols.split(",")) < FULL_WIDTH.get(table, 99), (name, table, cols)
+
+
+def test_finance_filters_reach_the_parquet_scan(spark):
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plans = {n: entry.queries()[n](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+                 for n in ("finance_monthly_long", "finance_sales_by_unit", "finance_yearly_by_account")}
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    for name in ("finance_monthly_long", "finance_sales_by_unit"):
+        pushed = re.search(r"lineitem\.parquet\].*?PushedFilters: \[([^\]]*)\]", plans[name]).group(1)
+        assert "GreaterThanOrEqual(l_shipdate" in pushed and "LessThan(l_shipdate" in pushed, (name, pushed)
+        assert "l_returnflag" in pushed, (name, pushed)
+    pushed = re.search(r"lineitem\.parquet\].*?PushedFilters: \[([^\]]*)\]",
+                       plans["finance_yearly_by_account"]).group(1)
+    assert "l_linestatus" in pushed and "l_returnflag" in pushed, pushed
