@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, sharding, toxicity
+from . import chat, quality, sharding, toxicity, warc
 from .runtime import new_path
 
 _B = {}
@@ -53,6 +53,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "posterior")
 
 
+@_query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @_query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), new_path(spark, "slot_map"), shards=24)
@@ -82,5 +88,19 @@ FROM placed GROUP BY conv_id
 """
 
 
+OP9_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS hex FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS latest FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (('0x' || substr(hex, (i * 5 // 4 + 1)::BIGINT, 2) || repeat('0', greatest(0, i * 5 // 4 - 38)::BIGINT))::INT
+     >> (3 - (i * 5) % 4)::INT) % 32 + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> latest THEN latest END AS refers_to
+FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": OP7_SQL}
+    return {"op9_warc": OP9_SQL, "op7_chat_formatting": OP7_SQL}
