@@ -1,7 +1,7 @@
 """SentencePiece encoding with sampled segmentations, and decoding (operator 3).
 
-The piece lattice of a text is cut before every space, so it is a chain of
-small lattices, one per word.  Forward filtering sums, for every place of a
+The piece lattice of a text is cut before every space and between letters,
+digits and marks, so it is a chain of small lattices, one per word.  Forward filtering sums, for every place of a
 word, the weight of all segmentations up to it; backward sampling draws the
 last piece by those sums, then the piece before it, and so on.  The draws are
 hashes of (seed, row key, place), so a row always gets the same segmentation.
@@ -20,8 +20,8 @@ ignored.  A very long word is cut into runs of at most ``LONGEST`` characters.
 
 from __future__ import annotations
 
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +44,10 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+_LITERAL = 0x110000     # a U+2581 of the text; no piece has it
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
 class Lattice:
     """Filtered lattices of words, in one growing table of arcs.
 
@@ -55,9 +59,9 @@ class Lattice:
     def __init__(self, path: str, alpha: float) -> None:
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.piece: dict[str, tuple[int, float]] = {}
-        self.byte = [0] * 256
         texts = [b""] * sp.get_piece_size()
+        self.byte = np.zeros(256, dtype=np.int64)
+        found: list[tuple[str, int, float]] = []
         for i in range(sp.get_piece_size()):
             name = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -66,71 +70,103 @@ class Lattice:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 texts[i] = name.replace(MARK, " ").encode()
                 if MARK not in name[1:]:
-                    self.piece[name] = (i, (1.0 - sp.get_score(i)) ** -alpha)
-        self.longest = max(map(len, self.piece))
-        self.least = min(w for _, w in self.piece.values())
+                    found.append((name, i, (1.0 - sp.get_score(i)) ** -alpha))
+        self.longest = max(len(f[0]) for f in found)
+        self.least = min(f[2] for f in found)
+        key = np.array([int(self._hash(np.array([[ord(c) for c in f[0]]]))[len(f[0]) - 1][0, 0]) for f in found], dtype=np.uint64)
+        order = np.argsort(key)
+        self.key, self.id = key[order], np.array([f[1] for f in found])[order]
+        self.weight = np.array([f[2] for f in found])[order]
+        if (self.key[1:] == self.key[:-1]).any():
+            raise ValueError("two pieces share a hash")
         self.sizes = np.array([len(t) for t in texts])
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
         self.reset()
 
+    def _hash(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each run length from 1: hashes of the runs that begin at each place."""
+        n = codes.shape[1]
+        h = np.zeros((codes.shape[0], n), dtype=np.uint64)
+        out = []
+        for k in range(1, min(n, getattr(self, "longest", n)) + 1):
+            h = (h[:, :n - k + 1] + codes[:, k - 1:].astype(np.uint64) + np.uint64(1)) * _BASE
+            out.append(h)
+        return out
+
     def reset(self) -> None:
-        self.last: dict[str, int] = {}                                  # word -> its final node
-        self.cum, self.ids, self.back = array("d"), array("q"), array("q")   # per arc
-        self.start = array("b")                                         # per node: begins a word
-        self.runs: dict[str, int] = {}                                  # character -> its byte pieces, as a negative id
-        self.run_bytes: list[list[int]] = []
-
-    def _as_bytes(self, c: str) -> int:
-        if c not in self.runs:
-            self.runs[c] = -1 - len(self.run_bytes)
-            self.run_bytes.append([self.byte[x] for x in c.encode()])
-        return self.runs[c]
-
-    def add(self, word: str) -> int:
-        """Filter the lattice of a word forward; returns its final node."""
-        spaced = word[0] == " "
-        w = MARK + word[1:] if spaced else word
-        n, first = len(w), len(self.start)
-        literal = w.find(MARK, 1 if spaced else 0) >= 0
-        ahead = [1.0] + [0.0] * n
-        self.start.extend([1] + [0] * n)
-        piece = self.piece
+        self.last: dict[str, int] = {}      # word -> its final node
+        self.nodes_used = self.arcs_used = 0
+        self.cum, self.ids, self.back = np.empty(1 << 16), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.begins = np.empty(1 << 16, dtype=bool)
+
+    def _room(self, arcs: int, nodes: int) -> None:
+        for name, used, more in (("cum", self.arcs_used, arcs), ("ids", self.arcs_used, arcs),
+                                 ("back", self.arcs_used, arcs), ("begins", self.nodes_used, nodes)):
+            old = getattr(self, name)
+            if used + more > len(old):
+                new = np.empty(max(used + more, 2 * len(old)), dtype=old.dtype)
+                new[:used] = old[:used]
+                setattr(self, name, new)
+
+    def add(self, words: list[str]) -> None:
+        """Filter the lattices of new words of one length forward."""
+        g, n = len(words), len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(g, n).astype(np.int64)
+        codes[codes == ord(MARK)] = _LITERAL
+        spaced = codes[:, 0] == 32          # a word holds no other space
+        codes[spaced, 0] = ord(MARK)
+        most = min(n, self.longest)
+        weight = np.zeros((g, n, most))      # of the piece of k + 1 characters that ends at a place
+        piece = np.zeros((g, n, most), dtype=np.int64)
+        for k, h in enumerate(self._hash(codes)):
+            at = np.searchsorted(self.key, h)
+            at[at == len(self.key)] = 0
+            hit = self.key[at] == h
+            weight[:, k:, k] = np.where(hit, self.weight[at], 0)
+            piece[:, k:, k] = self.id[at]
+        # A character without a piece is its bytes; the id tells the character.
+        none = weight[:, :, 0] == 0
+        plain = np.where(codes == _LITERAL, ord(MARK), codes)
+        plain[spaced, 0] = 32
+        piece[:, :, 0] = np.where(none, -1 - plain, piece[:, :, 0])
+        weight[:, :, 0] = np.where(none, self.least, weight[:, :, 0])
+        ahead = np.zeros((g, n + 1))
+        ahead[:, 0] = 1.0
         for e in range(1, n + 1):
-            arcs = []
-            for s in range(max(0, e - self.longest), e):
-                found = piece.get(w[s:e])
-                if found and ahead[s] and not (literal and MARK in w[max(s, 1 if spaced else 0):e]):
-                    arcs.append((s, found[0], ahead[s] * found[1]))
-            if not arcs or arcs[-1][0] != e - 1:    # no piece for the character itself
-                c = " " if spaced and e == 1 else w[e - 1]
-                arcs.append((e - 1, self._as_bytes(c), ahead[e - 1] * self.least))
-            ahead[e] = total = sum(a[2] for a in arcs)
-            run = 0.0
-            for s, i, weight in arcs[:-1]:
-                run += weight / total
-                self.cum.append(first + e + min(run, 0.999999))
-                self.ids.append(i)
-                self.back.append(first + s)
-            self.cum.append(first + e + 0.9999999)
-            self.ids.append(arcs[-1][1])
-            self.back.append(first + arcs[-1][0])
-        if ahead[n] < 1e-250:
-            raise ValueError("a word is too long for its weights")
-        return first + n
+            for k in range(min(e, most)):
+                weight[:, e - 1, k] *= ahead[:, e - 1 - k]
+            ahead[:, e] = weight[:, e - 1].sum(axis=1)
+        share = np.cumsum(weight / ahead[:, 1:, None], axis=2)
+        word, place, k = np.nonzero(weight > 0)
+        first = self.nodes_used + word * (n + 1)
+        self._room(len(word), g * (n + 1))
+        new = slice(self.arcs_used, self.arcs_used + len(word))
+        last = np.append((word[1:] != word[:-1]) | (place[1:] != place[:-1]), True)
+        run = share[word, place, k]
+        self.cum[new] = first + place + 1 + np.where(last, 0.9999999, np.minimum(run, 0.999999))
+        self.ids[new] = piece[word, place, k]
+        self.back[new] = first + place - k
+        begins = self.begins[self.nodes_used:self.nodes_used + g * (n + 1)].reshape(g, n + 1)
+        begins[:] = False
+        begins[:, 0] = True
+        for i, w in enumerate(words):
+            self.last[w] = self.nodes_used + i * (n + 1) + n
+        self.arcs_used += len(word)
+        self.nodes_used += g * (n + 1)
 
     def nodes(self, words: list[str]) -> np.ndarray:
-        last = self.last
-        if len(last) > _CACHE:
+        if len(self.last) > _CACHE:
             self.reset()
-            last = self.last
-        out = np.empty(len(words), dtype=np.int64)
-        for i, w in enumerate(words):
-            node = last.get(w)
-            if node is None:
-                node = last[w] = self.add(w)
-            out[i] = node
-        return out
+        last = self.last
+        by_length: dict[int, list[str]] = {}
+        for w in set(words).difference(last):
+            by_length.setdefault(len(w), []).append(w)
+        for n, new in by_length.items():
+            new.sort()                        # the table does not depend on hash order
+            for i in range(0, len(new), 2000):
+                self.add(new[i:i + 2000])
+        return np.fromiter(map(last.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def lattice(path: str, alpha: float) -> Lattice:
@@ -139,11 +175,15 @@ def lattice(path: str, alpha: float) -> Lattice:
     return _models[path, alpha]
 
 
+_WORD = re.compile(r" ?[^\W\d_]+| ?[^\w\s]+| ?\d+|(?s:.)")
+
+
 def _words(text: str) -> list[str]:
-    """A word per space of the text (one is put before it); long ones are cut."""
+    """The lattice's words: runs of letters, of digits, or of marks, each with
+    the space before it (one is put before the text); long ones are cut."""
     if not text:
         return []
-    out = [" " + p for p in text.split(" ")]
+    out = _WORD.findall(" " + text)
     if max(map(len, out)) > LONGEST:
         out = [w[i:i + LONGEST] for w in out for i in range(0, len(w), LONGEST)]
     return out
@@ -161,8 +201,7 @@ def sample(texts: list[str], keys: np.ndarray, lat: Lattice, seed: int) -> tuple
     ptr = np.concatenate([[0], np.cumsum(count)])
     doc = np.repeat(np.arange(len(texts)), count)
     stream = mix(mix(keys.view(np.uint64) ^ np.uint64(seed))[doc] + (np.arange(len(words)) - ptr[doc]).astype(np.uint64))
-    cum, ids, back = (np.frombuffer(a, dtype=d) for a, d in ((lat.cum, "f8"), (lat.ids, "i8"), (lat.back, "i8")))
-    begins = np.frombuffer(lat.start, dtype="i1") != 0
+    cum, ids, back, begins = lat.cum[:lat.arcs_used], lat.ids, lat.back, lat.begins
     order = np.argsort(node, kind="stable")     # neighbours in the table are looked up together
     at, stream = node[order], stream[order]
     length = np.zeros(len(words), dtype=np.int64)
@@ -182,17 +221,19 @@ def sample(texts: list[str], keys: np.ndarray, lat: Lattice, seed: int) -> tuple
     for k, (w, i) in enumerate(drawn):          # the last piece was drawn first
         out[place[w] + length[w] - 1 - k] = i
     first = place[ptr]
-    if (out < 0).any():                         # characters without a piece become byte pieces
-        runs = lat.run_bytes
+    odd = np.flatnonzero(out < 0)
+    if len(odd):                                # characters without a piece become byte pieces
+        codes, which = np.unique(-1 - out[odd], return_inverse=True)
+        runs = [lat.byte[list(chr(c).encode())] for c in codes]
         sizes = np.ones(len(out), dtype=np.int64)
-        odd = np.flatnonzero(out < 0)
-        sizes[odd] = [len(runs[-1 - i]) for i in out[odd]]
+        sizes[odd] = np.array([len(r) for r in runs])[which]
         moved = np.concatenate([[0], np.cumsum(sizes)])
         wide = np.repeat(out, sizes)
-        for j, i in zip(moved[odd], out[odd]):
-            wide[j:j + len(runs[-1 - i])] = runs[-1 - i]
+        for k, r in enumerate(runs):
+            at = moved[odd[which == k]]
+            for j, i in enumerate(r):
+                wide[at + j] = i
         out, first = wide, moved[first]
-    del cum, ids, back, begins                  # the arrays can grow again
     return out, first
 
 

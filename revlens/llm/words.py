@@ -153,3 +153,10 @@ def inside(ptr: np.ndarray, k: int) -> np.ndarray:
 def signed(h: np.ndarray) -> pa.Array:
     """Unsigned hashes as Spark longs."""
     return pa.array(h.view(np.int64))
+
+
+def set_digests(h: np.ndarray, ends: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``n`` entries that ends at ``ends``, whatever the order in it."""
+    run = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(mix(h ^ np.uint64(0xA0761D6478BD642F)), out=run[1:])
+    return mix(run[ends] - run[ends - n] + n.astype(np.uint64))
