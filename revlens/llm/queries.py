@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, ngram_join, packing, quality, sentencepiece_sampling, sharding, toxicity, warc
+from . import chat, fingerprints, ngram_join, packing, quality, sentencepiece_sampling, sharding, substring_dedup, toxicity, warc
 from .runtime import new_path
 
 _B = {}
@@ -49,6 +49,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@_query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.without_repeats(table(spark, sf_dir, "documents")))
+
+
 @_query
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
