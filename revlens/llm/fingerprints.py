@@ -8,7 +8,7 @@ least one is unchanged, so every pair meets in the table keyed by that block.
 Defined cases: a null text is empty; a text of fewer than three words is one
 term, one without words has fingerprint zero; equal texts have equal
 fingerprints; documents are ordered by descending id, a null id last, then by
-text, so ties and repeated rows have one order; a single document is its own
+a hash of the text, so ties and repeated rows have one order; a single document is its own
 next; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -100,9 +100,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     ship(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = [F.desc_nulls_last("doc_id"), F.desc("text")]
-    # Ranges are by id and a hash of the text, so copies of an id can be split.
-    dealt = own.repartitionByRange(task_count(spark), F.desc_nulls_last("doc_id"), F.desc("text")).sortWithinPartitions(*order)
+    # The sample that sets the ranges holds numbers only.
+    order = [F.desc_nulls_last("doc_id"), F.xxhash64("text").desc()]
+    dealt = own.repartitionByRange(task_count(spark), *order).sortWithinPartitions(*order)
     names = _RESULT + ["range", "is_first", "is_last", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
