@@ -39,6 +39,24 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _units(chunk: str) -> list[str]:
+    """A chunk cut where the tokenizer's pattern always cuts: around a line
+    break between other characters, and before a full stop or comma that ends
+    a line after a letter."""
+    lines = chunk.split("\n")
+    if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in [lines[0].lstrip(" "), *lines[1:]]):
+        return [chunk]
+    out = []
+    for i, x in enumerate(lines):
+        if i:
+            out.append("\n")
+        if x[-1:] in (".", ",") and x[-2:-1].isalpha():
+            out += [x[:-1], x[-1]]
+        else:
+            out.append(x)
+    return out
+
+
 class ChunkTokenizer:
     """Ids as little-endian bytes, chunk by chunk.  A single space between two
     other characters that are no white space always starts a new unit of the
@@ -72,6 +90,7 @@ class ChunkTokenizer:
                 chunks.append(None)
                 continue
             parts[1:] = [" " + p for p in parts[1:]]
+            parts = [q for p in parts for q in _units(p)]
             chunks.append(parts)
             for p in parts:
                 if p not in known:
