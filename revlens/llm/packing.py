@@ -39,24 +39,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _units(chunk: str) -> list[str]:
-    """A chunk cut where the tokenizer's pattern always cuts: around a line
-    break between other characters, and before a full stop or comma that ends
-    a line after a letter."""
-    lines = chunk.split("\n")
-    if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in [lines[0].lstrip(" "), *lines[1:]]):
-        return [chunk]
-    out = []
-    for i, x in enumerate(lines):
-        if i:
-            out.append("\n")
-        if x[-1:] in (".", ",") and x[-2:-1].isalpha():
-            out += [x[:-1], x[-1]]
-        else:
-            out.append(x)
-    return out
-
-
 class ChunkTokenizer:
     """Ids as little-endian bytes, chunk by chunk.  A single space between two
     other characters that are no white space always starts a new unit of the
@@ -77,30 +59,26 @@ class ChunkTokenizer:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         chunks: list[list[str] | None] = []
-        new: dict[str, None] = {}
+        new: set[str] = set()
         known = self.known
         if len(known) > _CACHE:
             known.clear()
         for text in texts:
-            parts = text.split(" ")
-            # No empty chunk, and none that begins or ends with white space.
-            whole = len(parts) < 2 or SPECIAL in text or not all(
-                p and not p[0].isspace() and not p[-1].isspace() for p in parts)
-            if whole:
+            words = text.split()
+            # White space that is single and inside: one more word than such characters.
+            if len(words) < 2 or len(text) - sum(map(len, words)) + 1 != len(words) or SPECIAL in text:
                 chunks.append(None)
                 continue
+            parts = text.split(" ")
             parts[1:] = [" " + p for p in parts[1:]]
-            parts = [q for p in parts for q in _units(p)]
             chunks.append(parts)
-            for p in parts:
-                if p not in known:
-                    new[p] = None
+            new.update(set(parts).difference(known))
         if new:
-            todo = list(new)
+            todo = sorted(new)
             for i in range(0, len(todo), 20_000):
                 known.update(zip(todo[i:i + 20_000], self._encode(todo[i:i + 20_000])))
         whole = iter(self._encode([t for t, c in zip(texts, chunks) if c is None]))
-        return [next(whole) if c is None else b"".join([known[p] for p in c]) for c in chunks]
+        return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in chunks]
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
