@@ -67,6 +67,8 @@ def main() -> None:
         # Production path: all outputs from checkpointed shared tables, written as parquet.
         import tempfile
         from revlens.plans.catalog import Feeds
+        from revlens.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="revlens-bench-ckpt-"))
         from revlens.plans.report import run_report
         out = tempfile.mkdtemp(prefix="revlens-bench-report-")
         t0 = time.perf_counter()

@@ -5,7 +5,6 @@ Layout:
   functions/  Column-level expressions (status rules, floor-day arithmetic, rounding, text)
   operators/  DataFrame -> DataFrame building blocks (cleaning, rollups, joins, cohort, forecast)
   plans/      the named query catalogue and its DuckDB oracle statements
-  streaming/  (the reference has no streaming; see its module docstring)
 """
 
 from revlens.session import DEFAULT_AS_OF, build_session, ensure_checkpoint_dir

@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 from revlens.plans.catalog import CsvFeeds, Feeds, query_names
 from revlens.plans.params import Params
 from revlens.plans.report import run_report
-from revlens.session import build_session
+from revlens.session import build_session, ensure_checkpoint_dir
 
 
 def _parse(argv=None) -> argparse.Namespace:
@@ -32,6 +32,7 @@ def _parse(argv=None) -> argparse.Namespace:
     ap.add_argument("--out", required=True, help="output directory (one parquet table per output)")
     ap.add_argument("--names", help="comma-separated output names (default: all available)")
     ap.add_argument("--as-of", help="reference time, e.g. 2024-01-31T12:00:00 (default: params)")
+    ap.add_argument("--checkpoint-dir", help="scratch folder of a local run; a cluster sets spark.checkpoint.dir")
     ap.add_argument("--master", help="Spark master for local runs (omit under spark-submit)")
     return ap.parse_args(argv)
 
@@ -40,6 +41,7 @@ def main(argv=None, spark: SparkSession | None = None) -> list[str]:
     args = _parse(argv)
     params = Params(as_of=datetime.fromisoformat(args.as_of)) if args.as_of else Params()
     spark = spark or build_session(args.master)
+    ensure_checkpoint_dir(spark, args.checkpoint_dir)
     if args.sf_dir:
         feeds = Feeds(spark, args.sf_dir, params)
     else:

@@ -63,7 +63,7 @@ def customer_free_cost(user_costs: DataFrame, invoice_12m: DataFrame) -> DataFra
         .when(F.col(f"_act_{SUFFIX[p]}") == 0, F.lit(E.INACTIVE)).alias(f"final_status_{SUFFIX[p]}")
         for p in ["hostingaddons", "hosting", "domain"]],
         *[f"total_free_service_cost_{SUFFIX[p]}" for p in ["hostingaddons", "hosting", "domain"]])
-    j = wide.join(invoice_12m.hint("shuffle_hash"), "userid", "full_outer")
+    j = wide.join(invoice_12m, "userid", "full_outer")
     costs = [f"total_free_service_cost_{SUFFIX[p]}" for p in ["hostingaddons", "hosting", "domain"]]
     micro = sum((F.coalesce(_micro(F.col(c)), F.lit(0.0)) for c in costs), F.lit(0.0))
     return j.select(
@@ -83,7 +83,7 @@ def customer_revenue_summary(revenue_long: DataFrame, invoice_revenue: DataFrame
         *[_per_product("active_services", p).alias(f"active_services_{SUFFIX[p]}") for p in prods],
         *[_per_product("revenue", p).alias(f"revenue_{SUFFIX[p]}") for p in prods],
         *[_per_product("future_revenue", p).alias(f"future_{SUFFIX[p]}") for p in prods])
-    j = wide.join(invoice_revenue.hint("shuffle_hash"), "userid", "full_outer")
+    j = wide.join(invoice_revenue, "userid", "full_outer")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     future_all = z("future_addon") + z("future_hosting") + z("future_domain")
     product_rev = z("revenue_addon") + z("revenue_hosting") + z("revenue_domain")
@@ -136,26 +136,32 @@ def active_clients(revenue_long: DataFrame) -> DataFrame:
                         F.count_if(F.col("n") > 0).alias("active_clients_corrected"))
 
 
+def annual_kpis(invoice_12m_exact: DataFrame, costed: DataFrame) -> DataFrame:
+    """The two annual KPIs of A10: trailing-year revenue and free-service
+    cost, from one union and one global aggregate."""
+    dec = "decimal(38,4)"
+    u = (invoice_12m_exact.select(F.col("revenue_12m").cast(dec).alias("r12"), F.lit(None).cast(dec).alias("fc"))
+         .unionByName(costed.select(F.lit(None).cast(dec).alias("r12"),
+                                    _micro(F.col("free_service_cost")).cast(dec).alias("fc"))))
+    agg = u.agg(F.sum("r12").alias("r12"), F.sum("fc").alias("fc"))
+    return agg.select(
+        F.coalesce(F.col("r12").cast("double"), F.lit(0.0)).alias("annual_revenue"),
+        (F.coalesce(F.col("fc").cast("double"), F.lit(0.0)) / F.lit(_MICRO)).alias("free_service_cost"))
+
+
 def kpis(invoice_12m_exact: DataFrame, costed: DataFrame, profit_exact: DataFrame,
          cost_per_ticket: float) -> DataFrame:
     """A10: annual revenue, free-service cost, revenue earned (rounded to a
-    whole unit, half-even) and profit, from one union and one global
-    aggregate."""
-    dec = "decimal(38,4)"
-    u = (invoice_12m_exact.select(F.lit("r12").alias("k"), F.col("revenue_12m").cast(dec).alias("v"))
-         .unionByName(costed.select(F.lit("fc").alias("k"),
-                                    _micro(F.col("free_service_cost")).cast(dec).alias("v")))
-         .unionByName(profit_exact.select(F.lit("rev").alias("k"), F.col("revenue").cast(dec).alias("v")))
-         .unionByName(profit_exact.select(F.lit("tix").alias("k"), F.col("tickets").cast(dec).alias("v"))))
-    s = lambda k: F.sum(F.when(F.col("k") == k, F.col("v")))
-    agg = u.agg(s("r12").alias("r12"), s("fc").alias("fc"), s("rev").alias("rev"), s("tix").alias("tix"))
+    whole unit, half-even) and profit; two one-row tables, stacked and folded."""
+    earned = profit_exact.agg(F.sum(F.col("revenue").cast("decimal(38,4)")).alias("rev"),
+                              F.sum(F.col("tickets").cast("decimal(38,4)")).alias("tix"))
     rev = F.coalesce(F.col("rev").cast("double"), F.lit(0.0))
-    return agg.select(
-        F.coalesce(F.col("r12").cast("double"), F.lit(0.0)).alias("annual_revenue"),
-        (F.coalesce(F.col("fc").cast("double"), F.lit(0.0)) / F.lit(_MICRO)).alias("free_service_cost"),
+    earned = earned.select(
         E.round_half_even(rev, 0).alias("revenue_earned"),
-        (rev - F.coalesce(F.col("tix").cast("double"), F.lit(0.0)) * F.lit(float(cost_per_ticket)))
-        .alias("profit"))
+        (rev - F.coalesce(F.col("tix").cast("double"), F.lit(0.0)) * F.lit(float(cost_per_ticket))).alias("profit"))
+    names = ["annual_revenue", "free_service_cost", "revenue_earned", "profit"]
+    both = annual_kpis(invoice_12m_exact, costed).unionByName(earned, allowMissingColumns=True)
+    return both.agg(*[F.max(n).alias(n) for n in names])
 
 
 def kpi_text(kpi: DataFrame, clients: DataFrame) -> DataFrame:

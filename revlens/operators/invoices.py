@@ -60,7 +60,7 @@ def revenue_12m_rows(invoices: DataFrame, as_of: datetime, **skew) -> DataFrame:
     stats = rows.groupBy("userid").agg(
         F.count(F.lit(1)).alias(ROWS_COL),
         F.sum(F.when(m12, F.coalesce(F.col("total"), _zero()))).alias("revenue_12m_user"))
-    joined = attach_key_stats(rows, stats, ["userid"], **skew)
+    joined = attach_key_stats(rows, stats, ["userid"], ["id"], **skew)
     _, m12, _ = _masks()
     return joined.select("id", "userid",
                          F.when(m12, F.col("revenue_12m_user")).cast("double").alias("revenue_12m"))
@@ -102,11 +102,10 @@ def profit_by_customer(invoices: DataFrame, tickets: DataFrame,
     """J7 + E12: invoice revenue ⟗ tickets, missing as 0, cost and profit.
 
     Both sides are already hash-partitioned by ``userid`` by their own
-    aggregates, so the full outer join adds no exchange; it is a hash join
-    built on the ticket side, so neither aggregate is sorted."""
+    aggregates, so the full outer join adds no exchange."""
     rev = invoice_revenue_by_user(invoices, exact)
     tix = tickets_by_user(tickets)
-    j = rev.join(tix.hint("shuffle_hash"), "userid", "full_outer")
+    j = rev.join(tix, "userid", "full_outer")
     tickets_c = F.coalesce(F.col("tickets"), F.lit(0)).cast("bigint")
     revenue_c = F.coalesce(F.col("revenue"), _zero() if exact else F.lit(0.0))
     cost = tickets_c.cast("double") * F.lit(float(cost_per_ticket))

@@ -5,29 +5,23 @@ The three service feeds are one table with a ``product`` column, so every
 operator runs once for all products, keyed by ``(product, userid)``.
 
 Design of the rollup (A1).  The payment of a row depends on the customer's
-earliest next date, so the textbook plan is a window over the customer
-followed by an aggregate — which puts a hot customer in one task.  Instead:
-
-1. ``groupBy(product, userid)`` with map-side partial aggregation gives the
-   earliest date and row count per customer (a small table);
-2. that table is joined back to the rows through the salted skew-safe join
-   (``operators.skew``), which spreads a hot customer over many tasks and
-   shuffles the service rows once;
-3. the rollup is one hash aggregate with map-side partial aggregation.
-
-No step ever buffers all rows of one customer in one task.
+earliest next date.  No row needs to learn that date: the rows are aggregated
+per ``(product, userid, next date)`` with both payments side by side, and on that
+table the customer's earliest date picks between them.  The service rows are
+read and shuffled once, as partial aggregates, so a customer with a third of
+all rows costs one row per date and map task.  Row-level outputs look the
+rollup up through ``operators.skew``.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions import expr as E
-from revlens.operators.clean import clean_keys
-from revlens.operators.skew import ROWS_COL, KeySalting
+from revlens.operators.skew import ROWS_COL, attach_key_stats
 
 SERVICE_KEYS = ["product", "userid"]
 PRODUCTS = ["domain", "hosting", "hostingaddons"]
@@ -37,10 +31,6 @@ REVENUE_STATUSES = {"domain": ["Active"], "hosting": ["Active", "Completed"],
 _EPOCH = datetime(1970, 1, 1)
 
 
-def clean_services(services: DataFrame) -> DataFrame:
-    return clean_keys(services)
-
-
 def with_final_status(services: DataFrame, as_of: datetime) -> DataFrame:
     """E1 for domains, E2 for hosting and add-ons."""
     nxt, term = F.col("nextinvoicedate"), F.col("termination_date")
@@ -67,26 +57,25 @@ def min_next_stats(services: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias(ROWS_COL), F.min("nextinvoicedate").alias("min_next"))
 
 
-def with_payment(services: DataFrame, salting: KeySalting | None = None, **skew) -> DataFrame:
-    """E4 per row: ``min_next`` of the customer attached through the
-    skew-safe join, then the first/recurring choice.  The rows keep their
-    ``_salt`` when a ``salting`` plan is passed (for a second lookup)."""
-    stats = min_next_stats(services)
-    ks = salting or KeySalting(stats, SERVICE_KEYS, **skew)
-    rows = ks.lookup(ks.salt_rows(services), stats)
-    if salting is None:
-        rows = rows.drop("_salt")
-    return rows.drop(ROWS_COL).withColumn(
+def _paid(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(
         "payment",
         E.payment(F.col("nextinvoicedate"), F.col("min_next"),
                   F.col("firstpaymentamount").cast("decimal(20,4)"),
                   F.col("recurringamount").cast("decimal(20,4)")))
 
 
-def _masks(as_of: datetime) -> tuple[Column, Column, Column]:
+def with_payment(services: DataFrame, **skew) -> DataFrame:
+    """E4 per row: ``min_next`` of the customer attached through the
+    skew-safe join, then the first/recurring choice."""
+    stats = min_next_stats(services)
+    return _paid(attach_key_stats(services, stats, SERVICE_KEYS, ["id"], **skew).drop(ROWS_COL))
+
+
+def _masks(as_of: datetime, payment: str | Column = "payment") -> tuple[Column, Column, Column]:
     """W2 (active service), W3 (future revenue), W4/W5 (revenue) row masks."""
     active = F.col("final_status") == E.ACTIVE
-    pay_pos = F.coalesce(F.col("payment") > 0, F.lit(False))
+    pay_pos = F.coalesce((F.col(payment) if isinstance(payment, str) else payment) > 0, F.lit(False))
     m_act = pay_pos & active
     m_fut = F.coalesce((F.col("nextinvoicedate") > E.ts_literal(as_of)) & active, F.lit(False))
     m_rev = pay_pos & _revenue_status_ok()
@@ -113,9 +102,31 @@ def rollup_rows(rows: DataFrame, as_of: datetime) -> DataFrame:
                       "active_services", "payment", "future_revenue", "revenue")
 
 
-def service_stats(services: DataFrame, as_of: datetime, **skew) -> DataFrame:
-    """A1 for all products: payment per row, then the per-customer rollup."""
-    return rollup_rows(with_payment(services, **skew), as_of)
+def service_stats(services: DataFrame, as_of: datetime) -> DataFrame:
+    """A1 for all products, from one pass over the rows: per customer and next
+    date the aggregates of both payments, then per customer the first payment's
+    on the earliest date and the recurring one's elsewhere (NULL dates too)."""
+    aggs, zero = [], F.lit(0).cast("decimal(20,4)")
+    for kind, amount in (("first", "firstpaymentamount"), ("rec", "recurringamount")):
+        pay = F.col(amount).cast("decimal(20,4)")
+        m_act, m_fut, m_rev = _masks(as_of, pay)
+        aggs += [F.count_if(m_act).alias(f"act_{kind}"), F.max(pay).alias(f"max_{kind}"),
+                 F.sum(F.when(m_fut, F.coalesce(pay, zero))).alias(f"fut_{kind}"),
+                 F.sum(F.when(m_rev, pay)).alias(f"rev_{kind}")]
+    by_date = services.groupBy(*SERVICE_KEYS, "nextinvoicedate").agg(
+        F.count(F.lit(1)).alias("n"), F.max((F.col("final_status") == E.ACTIVE).cast("int")).alias("act"), *aggs)
+    earliest = F.min("nextinvoicedate").over(Window.partitionBy(*SERVICE_KEYS))
+    by_date = by_date.withColumn("earliest", earliest)
+
+    def chosen(name: str) -> Column:
+        return E.payment(F.col("nextinvoicedate"), F.col("earliest"), F.col(f"{name}_first"), F.col(f"{name}_rec"))
+
+    out = by_date.groupBy(*SERVICE_KEYS).agg(
+        F.sum("n").alias(ROWS_COL), F.max("act").alias("any_active"), F.min("earliest").alias("min_next"),
+        F.nullif(F.sum(chosen("act")), F.lit(0)).alias("active_services"), F.max(chosen("max")).alias("payment"),
+        F.sum(chosen("fut")).alias("future_revenue"), F.sum(chosen("rev")).alias("revenue"))
+    return out.select(*SERVICE_KEYS, ROWS_COL, "min_next", status_from_flag(F.col("any_active")),
+                      "active_services", "payment", "future_revenue", "revenue")
 
 
 def status_from_flag(any_active: Column) -> Column:
@@ -136,13 +147,10 @@ def rollup_output(stats: DataFrame) -> DataFrame:
 
 def services_with_stats(services: DataFrame, as_of: datetime, **skew) -> DataFrame:
     """Row-level services with payment and their customer's rollup attached
-    (the group-broadcast columns W1–W5), both through the skew-safe join."""
-    ks = KeySalting(min_next_stats(services), SERVICE_KEYS, **skew)
-    rows = with_payment(services, salting=ks)
-    stats = rollup_rows(rows.drop("_salt"), as_of).select(
-        *SERVICE_KEYS, "active_services", "future_revenue", "revenue")
-    # The rows are already partitioned by (keys, _salt): only the stats side moves.
-    return ks.lookup(rows, stats).drop("_salt")
+    (the group-broadcast columns W1–W5), by one skew-safe lookup."""
+    stats = service_stats(services, as_of).select(
+        *SERVICE_KEYS, ROWS_COL, "min_next", "active_services", "future_revenue", "revenue")
+    return _paid(attach_key_stats(services, stats, SERVICE_KEYS, ["id"], **skew).drop(ROWS_COL))
 
 
 def masked_values(rows: DataFrame, as_of: datetime) -> DataFrame:

@@ -6,26 +6,19 @@ if one customer holds a third of the rows, that task holds a third of the job.
 Here per-key statistics are first computed with ``groupBy`` (map-side partial
 aggregation, so a hot key costs nothing extra), then joined back to the rows:
 
-* a key with more than ``rows_per_salt`` rows (about one task's worth) is
-  *hot*.  The hot-key list keeps the ``max_hot`` largest such keys, so its
-  size is bounded by a constant and it is broadcast; any further large key is
-  still joined exactly, through the ordinary shuffle;
-* a hot key with ``n_k`` rows gets ``s_k = min(max_salts, ceil(n_k /
-  rows_per_salt))`` salts.  Its rows get a salt in ``[0, s_k)`` (a hash of
-  the row content) and its statistics row is replicated ``s_k`` times; other
-  keys use salt 0.  The replicated side therefore has at most ``#keys +
-  N / rows_per_salt + max_hot`` rows for ``N`` rows in total;
-* the join on ``(keys, salt)`` spreads a hot key over ``s_k`` tasks while the
-  other keys shuffle as usual.
-
-This is the shape of Spark's own adaptive skew-join rule (an absolute size
-threshold, the skewed side split, the other side replicated), applied where
-that rule cannot act: the statistics side is an aggregate that is already
-partitioned by the key, so it is not a shuffle stage.
-
-The salt is a pure function of the row content, so a recomputed task after an
-executor loss sends every row to the same place, and filters above the join
-still push down through it.
+* a key is *hot* when it holds more than one ``shares``-th of all rows, so
+  there are fewer than ``shares`` hot keys whatever the data: the broadcast of
+  the hot-key list is bounded by arithmetic, without a limit;
+* a hot key with the share ``f`` of the rows gets ``ceil(f * shares)`` salts:
+  its rows are spread by a hash of row columns and its statistics row is
+  replicated as often (at most ``2 * shares`` more rows in total); other keys
+  use salt 0;
+* the join on ``(keys, salt)`` is null-safe and left to Spark's own choice of
+  physical join.
+
+The rule has no absolute size, so it acts alike at every scale.  The salt is a
+pure function of the row, so a recomputed task after an executor loss sends
+every row to the same place, and filters still push down through it.
 """
 
 from __future__ import annotations
@@ -36,71 +29,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_COL = "_rows"
-_SALT = "_salt"
-_NSALT = "_nsalt"
-
-DEFAULT_ROWS_PER_SALT = 1_000_000
-DEFAULT_MAX_HOT = 1000
-
-
-def default_max_salts(spark) -> int:
-    """A key cannot spread over more tasks than the join has partitions: the
-    shuffle partition count, or AQE's initial count when the cluster sets it."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
-    if initial:
-        n = max(n, int(initial))
-    return max(n, 2)
+SHARES = 1000
 
 
 class KeySalting:
-    """The salting plan of one key space: which keys are hot and how many
-    salts each gets.  Built from one-row-per-key ``stats`` carrying
-    ``_rows``; reusable for several joins over the same rows, so a second
-    lookup join reuses the ``(keys, _salt)`` partitioning of the first."""
+    """Which keys are hot and how many salts each gets.  Built from
+    one-row-per-key ``stats`` carrying ``_rows``."""
 
-    def __init__(self, stats: DataFrame, keys: Sequence[str],
-                 rows_per_salt: int = DEFAULT_ROWS_PER_SALT, max_hot: int = DEFAULT_MAX_HOT,
-                 max_salts: int | None = None):
+    def __init__(self, stats: DataFrame, keys: Sequence[str], shares: int = SHARES):
         self.keys = list(keys)
-        if max_salts is None:
-            max_salts = default_max_salts(stats.sparkSession)
-        n_salt = F.least(F.lit(max_salts), F.ceil(F.col(ROWS_COL) / F.lit(float(rows_per_salt))))
-        # The largest keys first; the limit is the proven bound of the broadcast.
-        self.hot = (stats.where(F.col(ROWS_COL) > F.lit(rows_per_salt))
-                    .orderBy(F.desc(ROWS_COL), *self.keys)
-                    .limit(max_hot)
-                    .select(*self.keys, n_salt.cast("int").alias(_NSALT)))
-
-    def salt_rows(self, rows: DataFrame) -> DataFrame:
-        """``rows`` plus ``_salt``: a hash of the row's content modulo the
-        key's salt count for hot keys, 0 for the rest.  The hash is a pure
-        function of the row (deterministic, so Catalyst still pushes filters
-        through it and a recomputed task salts identically); exact duplicate
-        rows share a salt."""
-        tagged = rows.join(F.broadcast(self.hot), self.keys, "left")
-        row_hash = F.xxhash64(*[F.col(c) for c in rows.columns])
-        salt = F.when(F.col(_NSALT).isNotNull(), F.pmod(row_hash, F.col(_NSALT))).otherwise(F.lit(0))
-        return tagged.withColumn(_SALT, salt.cast("int")).drop(_NSALT)
+        total = stats.agg(F.sum(ROWS_COL)).scalar()
+        share = F.col(ROWS_COL) * F.lit(shares) / total
+        self.hot = stats.where(share > 1).select(
+            *[F.col(k).alias(f"_hot_{k}") for k in self.keys], F.ceil(share).cast("int").alias("_nsalt"))
+
+    def _tagged(self, df: DataFrame) -> DataFrame:
+        on = F.lit(True)
+        for k in self.keys:
+            on = on & df[k].eqNullSafe(F.col(f"_hot_{k}"))
+        return df.join(F.broadcast(self.hot), on, "left").drop(*[f"_hot_{k}" for k in self.keys])
+
+    def salt_rows(self, rows: DataFrame, salt_by: Sequence[str]) -> DataFrame:
+        """``rows`` plus ``_salt``: a hash of the columns ``salt_by`` modulo the
+        key's salt count for hot keys, 0 for the rest."""
+        salt = F.when(F.col("_nsalt").isNotNull(), F.pmod(F.xxhash64(*salt_by), F.col("_nsalt"))).otherwise(F.lit(0))
+        return self._tagged(rows).withColumn("_salt", salt.cast("int")).drop("_nsalt")
 
     def fan_out(self, stats: DataFrame) -> DataFrame:
         """One copy of each hot key's statistics row per salt."""
-        return (stats.join(F.broadcast(self.hot), self.keys, "left")
-                .withColumn(_SALT, F.explode(F.when(F.col(_NSALT).isNotNull(),
-                                                    F.sequence(F.lit(0), F.col(_NSALT) - 1))
-                                             .otherwise(F.array(F.lit(0)))))
-                .drop(_NSALT))
-
-    def lookup(self, salted_rows: DataFrame, stats: DataFrame) -> DataFrame:
-        """Left-join per-key ``stats`` onto rows that carry ``_salt``.  The
-        statistics side is built into a hash table per task (one row per key
-        and salt, so a task holds about #keys / #tasks entries) and the rows
-        stream through it: no sort of the row side."""
-        return salted_rows.join(self.fan_out(stats).hint("shuffle_hash"), self.keys + [_SALT], "left")
+        salts = F.sequence(F.lit(0), F.coalesce(F.col("_nsalt"), F.lit(1)) - 1)
+        return self._tagged(stats).withColumn("_salt", F.explode(salts)).drop("_nsalt")
 
 
-def attach_key_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], **salting) -> DataFrame:
+def attach_key_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], salt_by: Sequence[str],
+                     shares: int = SHARES) -> DataFrame:
     """Left-join one-row-per-key ``stats`` (which must carry ``_rows``, the
-    row count of the key in ``rows``) onto ``rows``, salting hot keys."""
-    ks = KeySalting(stats, keys, **salting)
-    return ks.lookup(ks.salt_rows(rows), stats).drop(_SALT)
+    row count of the key in ``rows``) onto ``rows``; hot keys are spread by a
+    hash of the row columns ``salt_by``."""
+    ks = KeySalting(stats, keys, shares)
+    right = ks.fan_out(stats).withColumnsRenamed({k: f"_key_{k}" for k in [*ks.keys, "_salt"]})
+    on = F.col("_salt") == F.col("_key__salt")
+    for k in ks.keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return ks.salt_rows(rows, salt_by).join(right, on, "left").drop("_salt", *[f"_key_{k}" for k in [*ks.keys, "_salt"]])

@@ -49,7 +49,7 @@ class Feeds:
     # Derived tables shared by many outputs (materialized once by the report runner).
     def service_stats(self) -> DataFrame:
         """A1 rollup per (product, userid), money as exact decimals."""
-        return services.service_stats(self.services(), self.p.as_of, **self.p.skew)
+        return services.service_stats(self.services(), self.p.as_of)
 
     def costed(self) -> DataFrame:
         """Service rows with E5–E9 cost columns."""
@@ -343,6 +343,11 @@ def _q_active_clients(f: Feeds):
     return customers.active_clients(_revenue_long(f))
 
 
+def _annual_kpis(f: Feeds):
+    """The two KPIs of A10 that need neither tickets nor profit."""
+    return customers.annual_kpis(invoices.invoice_12m_by_user(f.invoices(), f.p.as_of, exact=True), _costed(f))
+
+
 def _kpis(f: Feeds):
     return customers.kpis(invoices.invoice_12m_by_user(f.invoices(), f.p.as_of, exact=True),
                           _costed(f),
@@ -362,12 +367,12 @@ def _q_kpi_text(f: Feeds):
 
 @query("annual_metric_table")
 def _q_metric_table(f: Feeds):
-    return customers.annual_metric_table(_kpis(f))
+    return customers.annual_metric_table(_annual_kpis(f))
 
 
 @query("acquisition_cost")
 def _q_acquisition(f: Feeds):
-    return customers.acquisition_cost(_kpis(f), f.p.acquisition_multiplier, f.p.operational_cost)
+    return customers.acquisition_cost(_annual_kpis(f), f.p.acquisition_multiplier, f.p.operational_cost)
 
 
 # ---------------------------------------------------------------- cohort

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from datetime import datetime
 
 from pyspark.sql import SparkSession
@@ -40,22 +39,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession, local_dir: str | None = None) -> str:
     """Return the checkpoint directory the cluster names in
-    ``spark.checkpoint.dir`` and register it with the context.  Only a local
-    (test) session without that setting gets a private scratch folder; on a
-    cluster a machine-local folder would not survive executor loss, so an
-    unset directory is an error there."""
+    ``spark.checkpoint.dir`` and register it with the context.  A session of a
+    local master without that setting can be given ``local_dir``; otherwise an
+    unset directory is an error, as a machine-local folder would not survive
+    the loss of an executor."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if local_dir is None or not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
-    local = tempfile.mkdtemp(prefix="revlens-ckpt-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    spark.conf.set("spark.checkpoint.dir", local_dir)
+    spark.sparkContext.setCheckpointDir(local_dir)
+    return local_dir
 
 
 def recommended_shuffle_partitions(input_bytes: int, target_bytes: int = 256 << 20,

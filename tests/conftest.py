@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from datetime import datetime
 
 import pytest
@@ -15,7 +16,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("local[4]", shuffle_partitions=4, app_name="revlens-tests")
-    ensure_checkpoint_dir(s)
+    ensure_checkpoint_dir(s, tempfile.mkdtemp(prefix="revlens-ckpt-"))
     yield s
     s.stop()
 

@@ -52,7 +52,8 @@ def feeds(spark):
 def test_every_query_runs_on_csv_feeds(feeds):
     outs = run_on_feeds(feeds)
     for name, df in outs.items():
-        assert df.count() >= 0, name
+        # the fixture has no sales in the default finance years
+        assert df.count() > 0 or name.startswith("finance_"), name
 
 
 def test_csv_values(feeds):

@@ -4,7 +4,7 @@ a pruned column set."""
 
 import re
 
-import __spark_entry__ as entry
+from revlens.plans.catalog import catalogue
 from conftest import SF_SMALL
 
 FULL_WIDTH = {"lineitem": 11, "orders": 6, "events": 6, "part": 6, "customer": 5}
@@ -14,7 +14,7 @@ SMALL_TABLE_AGGREGATES = {"hw_forecast", "hw_fitted", "growth_projection"}
 
 
 def test_plan_properties(spark):
-    for name, q in entry.queries().items():
+    for name, q in catalogue().items():
         plan = q(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         bad = ["BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
                "CartesianProduct", "BroadcastNestedLoopJoin"]
@@ -30,7 +30,7 @@ def test_finance_filters_reach_the_parquet_scan(spark):
     old = spark.conf.get("spark.sql.maxMetadataStringLength")
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     try:
-        plans = {n: entry.queries()[n](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        plans = {n: catalogue()[n](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
                  for n in ("finance_monthly_long", "finance_sales_by_unit", "finance_yearly_by_account")}
     finally:
         spark.conf.set("spark.sql.maxMetadataStringLength", old)
@@ -41,3 +41,17 @@ def test_finance_filters_reach_the_parquet_scan(spark):
     pushed = re.search(r"lineitem\.parquet\].*?PushedFilters: \[([^\]]*)\]",
                        plans["finance_yearly_by_account"]).group(1)
     assert "l_linestatus" in pushed and "l_returnflag" in pushed, pushed
+
+
+def test_rollups_read_the_service_rows_once(spark):
+    """One lineitem scan, no hot-key broadcast and no forced hash join."""
+    for name in ("domain_rollup", "hosting_rollup", "customer_totals", "product_revenue_long", "revenue_by_product_status"):
+        plan = catalogue()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"l_orderkey#\d+L?,.*parquet", plan)) == 1, (name, plan)
+        assert "shuffle_hash" not in plan and "rightHint" not in plan, name
+
+
+def test_annual_kpis_read_no_tickets(spark):
+    for name in ("annual_metric_table", "acquisition_cost"):
+        plan = catalogue()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "events.parquet" not in plan, name

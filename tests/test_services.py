@@ -70,16 +70,15 @@ def _brute(rows):
     return out
 
 
-@pytest.mark.parametrize("skew", [{}, {"rows_per_salt": 5, "max_salts": 50}])
-def test_rollup_matches_brute_force(spark, skew):
+def test_rollup_matches_brute_force(spark):
     rows = _random_rows()
     df = services.with_final_status(spark.createDataFrame(rows, SCHEMA), AS_OF)
     got = {(r.product, r.userid): (r.final_status, r.active_services, r.payment, r.future_revenue, r.revenue)
-           for r in services.rollup_output(services.service_stats(df, AS_OF, **skew)).collect()}
+           for r in services.rollup_output(services.service_stats(df, AS_OF)).collect()}
     assert got == _brute(rows)
 
 
-@pytest.mark.parametrize("skew", [{}, {"rows_per_salt": 5, "max_salts": 64}])
+@pytest.mark.parametrize("skew", [{}, {"shares": 7}])
 def test_row_level_masks_match_brute_force(spark, skew):
     rows = _random_rows(seed=11)
     df = services.with_final_status(spark.createDataFrame(rows, SCHEMA), AS_OF)
@@ -147,21 +146,16 @@ def test_unknown_cycle_cost_is_null_and_skipped(spark):
 
 
 def test_hot_key_is_spread_over_salts(spark):
-    """A key with a third of the rows is split over ~P/3 salts; the joined
-    result is the plain left join."""
-    from revlens.operators.skew import attach_key_stats
-    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k", "id")
+    """A key with a third of the rows is split over its share of salts, a null
+    key is a key, and the joined result is the plain null-safe left join."""
+    from revlens.operators.skew import KeySalting, attach_key_stats
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 WHEN id = 1 THEN NULL ELSE id END AS k", "id")
     stats = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_rows"), F.min("id").alias("first_id"))
-    joined = attach_key_stats(rows, stats, ["k"], rows_per_salt=100, max_salts=30)
-    assert joined.count() == 3000
-    assert joined.where("k = 0").agg(F.min("first_id")).first()[0] == 0
-    plain = rows.join(stats, ["k"], "left")
-    assert sorted(map(tuple, joined.select("k", "id", "first_id").collect())) == \
-        sorted(map(tuple, plain.select("k", "id", "first_id").collect()))
-    # the hot key is split over ceil(1000 / 100) = 10 salts; every other key is cold
-    from revlens.operators.skew import KeySalting
-    ks = KeySalting(stats, ["k"], rows_per_salt=100, max_salts=30)
+    joined = attach_key_stats(rows, stats, ["k"], ["id"], shares=30)
+    want = sorted(((None, 1, 1) if i == 1 else (0, i, 0) if i % 3 == 0 else (i, i, i) for i in range(3000)), key=repr)
+    assert sorted(map(tuple, joined.select("k", "id", "first_id").collect()), key=repr) == want
+    ks = KeySalting(stats, ["k"], 30)
     assert [tuple(r) for r in ks.hot.collect()] == [(0, 10)]
-    salts = ks.salt_rows(rows).groupBy("k").agg(F.countDistinct("_salt").alias("n"))
+    salts = ks.salt_rows(rows, ["id"]).groupBy("k").agg(F.countDistinct("_salt").alias("n"))
     assert {r.k: r.n for r in salts.where("k = 0").collect()} == {0: 10}
     assert salts.where("k != 0 AND n != 1").count() == 0
