@@ -31,7 +31,7 @@ from .words import _LOWER, Texts, mix, slices
 
 GRAM = 5
 BUCKETS = 1 << 20
-SAMPLE, SAMPLE_BYTES = 6_000, 24 << 20
+SAMPLE, SAMPLE_BYTES = 4_000, 16 << 20
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?\n")] = True
 
