@@ -1,4 +1,4 @@
-"""Key coercion (F2): text -> number with failures as NULL, like a lenient
+"""Key coercion (F2): text -> exact number with failures as NULL, like a lenient
 numeric conversion; numeric columns pass through unchanged."""
 
 from __future__ import annotations
@@ -7,22 +7,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-# Java's double parser accepts a trailing type suffix ("1d", "2.5f");
-# a lenient numeric conversion of text does not, so such tokens are rejected.
-_SUFFIXED_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[dDfF]\s*$"
+# Type of a key read from text: 20 whole digits hold every 64-bit id, and no two ids merge as
+# they would in DOUBLE above 2^53.
+KEY_TYPE = "decimal(28,8)"
+# Decimal numbers only: hex, type suffixes ("1d") and infinities are no keys.
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def coerce_numeric_key(df: DataFrame, name: str) -> Column:
     """Expression for column ``name`` coerced to a number (NULL on failure,
-    NaN -> NULL)."""
+    NaN -> NULL).  Text becomes ``KEY_TYPE``; a number that it cannot hold
+    exactly (more than 20 whole or 8 fractional digits) fails the job, as
+    rounding could merge two customers."""
     field = df.schema[name]
     c = F.col(name)
     if isinstance(field.dataType, NumericType):
         return F.when(~F.isnan(c.cast("double")), c) if _is_fractional(field.dataType) else c
-    text = c.cast("string")
-    parsed = text.try_cast("double")
-    parsed = F.when(text.rlike(_SUFFIXED_NUMBER), F.lit(None).cast("double")).otherwise(parsed)
-    return F.when(~F.isnan(parsed), parsed)
+    text = F.trim(c.cast("string"))
+    return F.when(text.rlike(_NUMBER), exact_decimal(text, KEY_TYPE, f"key {name}"))
+
+
+def exact_decimal(text: Column, target: str, what: str) -> Column:
+    """``text`` as ``target`` decimal; a value that is no number, or that the
+    type cannot hold exactly, raises an error naming it."""
+    value, wide = text.try_cast(target), text.try_cast("decimal(38,18)")
+    lossy = text.isNotNull() & (value.isNull() | F.coalesce(wide != value, F.lit(False)))
+    return F.when(lossy, F.raise_error(F.concat(F.lit(f"{what} does not fit {target}: "), text)).cast(target)) \
+        .otherwise(value)
 
 
 def _is_fractional(dt) -> bool:

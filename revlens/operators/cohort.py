@@ -65,7 +65,7 @@ def annual_cohort(spark: SparkSession, invoices: DataFrame, years: Sequence[int]
     per_user = uy.groupBy("userid").agg(F.min("first_paid").alias("first_paid"),
                                         F.max("last_paid").alias("last_paid"))
     rng = spark.range(lo, hi + 1).select(F.col("id").cast("int").alias("year"))
-    dec = "decimal(38,2)"
+    dec = "decimal(38,4)"
     tidy = (rng.select("year", F.lit("range").alias("k"), F.lit(None).cast(dec).alias("v"))
             .unionByName(uy.where(in_range).select(F.col("year").cast("int").alias("year"),
                                                    F.lit("uy").alias("k"), F.col("amount").cast(dec).alias("v")))
@@ -134,10 +134,11 @@ FORECAST_METRICS = ["subscribers", "additions", "disengagement", "revenue", "arp
 
 
 def forecast_table_long(forecast: DataFrame) -> DataFrame:
-    """The metric x year table in long form (year, metric, value),
-    missing values kept."""
+    """The metric x year table in long form (year, metric, value), missing
+    values kept, with the value as grouped text of two places (E17)."""
     wide = forecast.select("year", *[F.col(m).cast("double").alias(m) for m in FORECAST_METRICS])
-    return wide.unpivot("year", FORECAST_METRICS, "metric", "value")
+    long = wide.unpivot("year", FORECAST_METRICS, "metric", "value")
+    return long.withColumn("value_text", E.money_text(F.col("value"), ""))
 
 
 def rate_bands(forecast: DataFrame) -> DataFrame:

@@ -109,7 +109,8 @@ def customer_totals(revenue_long: DataFrame) -> DataFrame:
 
 def highest_revenue_per_customer(revenue_long: DataFrame) -> DataFrame:
     """The highest product revenue of a customer and its product (first
-    product in domain, hosting, add-on order on ties)."""
+    product in domain, hosting, add-on order on ties).  Missing revenues are
+    skipped; a customer without any has NULL for both."""
     rank = F.when(F.col("product") == "domain", 0).when(F.col("product") == "hosting", 1).otherwise(2)
     # Revenue has 4 decimals, so revenue * 10^5 + (2 - rank) orders by revenue first and
     # then by product order, as one fixed-width key (keeps max_by hash-based).
@@ -119,7 +120,7 @@ def highest_revenue_per_customer(revenue_long: DataFrame) -> DataFrame:
         F.max_by(rank, key).alias("_rank"))
     return best.select("userid", "highest_revenue",
                        F.when(F.col("_rank") == 0, "domain").when(F.col("_rank") == 1, "hosting")
-                       .otherwise("hostingaddons").alias("product"))
+                       .when(F.col("_rank") == 2, "hostingaddons").alias("product"))
 
 
 def revenue_by_product_status(revenue_long: DataFrame) -> DataFrame:

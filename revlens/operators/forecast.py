@@ -76,10 +76,13 @@ def _fold(ys: Column, m: int) -> Column:
     return F.aggregate(ys, init, step)
 
 
-def holt_winters(series: DataFrame, years: Sequence[int], m: int = 2, horizon: int = 3) -> DataFrame:
+def holt_winters(series: DataFrame, years: Sequence[int], m: int = 2) -> DataFrame:
     """Fit every series of ``(series, year, y)``; one row per series with the
-    chosen parameters, final state and fitted values."""
+    chosen parameters, final state and fitted values.  Fewer years than two
+    seasons are an error."""
     years = sorted(years)
+    if len(years) < 2 * m:
+        raise ValueError(f"{len(years)} years are too few for two seasons of {m}")
     per_series = series.groupBy("series").agg(
         F.map_from_entries(F.collect_list(F.struct("year", "y"))).alias("_m"))
     ys = F.transform(F.array(*[F.lit(y) for y in years]),
@@ -87,7 +90,6 @@ def holt_winters(series: DataFrame, years: Sequence[int], m: int = 2, horizon: i
     grid = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.lit(z).alias("g"))
                      for x, y, z in product(GRID, GRID, GRID)])
     expanded = (per_series.select("series", ys.alias("ys"))
-                .where(F.size("ys") >= 2 * m)
                 .select("series", "ys", F.explode(grid).alias("_p"))
                 .select("series", "ys", F.col("_p.a").alias("_alpha"), F.col("_p.b").alias("_beta"),
                         F.col("_p.g").alias("_gamma")))

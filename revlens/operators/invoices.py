@@ -14,7 +14,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import DecimalType, IntegralType
 
 from revlens.functions import expr as E
 from revlens.operators.skew import ROWS_COL, attach_key_stats
@@ -29,11 +29,17 @@ def _money(c, exact: bool):
 
 
 def row_order(df: DataFrame):
-    """Explicit input order of the invoice feed, ``(date NULLS FIRST, id)``.
-    For integral ids it is one DECIMAL(38,0) key, date micros * 10^20 +
-    (id + 2^63), so that ``min_by`` stays in the hash aggregate; other id
-    types (a text feed coerced to DOUBLE) use the struct ordering."""
-    if not isinstance(df.schema["id"].dataType, IntegralType):
+    """Explicit input order of the invoice feed, ``(date NULLS FIRST, id)``, as
+    one DECIMAL(38,0) key, so that ``min_by`` stays in the hash aggregate:
+    date micros * 10^20 + (id + 2^63) for integral ids; for the ids of a text
+    feed (``KEY_TYPE``, whose dates are whole days) days * 10^29 + id * 10^8.
+    Any other id type uses the struct ordering."""
+    id_type = df.schema["id"].dataType
+    if id_type == DecimalType(28, 8):
+        days = F.coalesce(F.unix_date(F.col("date").cast("date")), F.lit(-(10 ** 8))).cast("decimal(38,0)")
+        units = (F.col("id") * F.lit(10 ** 8).cast("decimal(9,0)")).cast("decimal(38,0)")
+        return (days * F.lit(str(10 ** 29)).cast("decimal(38,0)") + units).cast("decimal(38,0)")
+    if not isinstance(id_type, IntegralType):
         return F.struct(F.col("date"), F.col("id"))
     micros = F.timestamp_diff("MICROSECOND", E.ts_literal(datetime(1970, 1, 1)), F.col("date"))
     micros = F.coalesce(micros, F.lit(-(10 ** 17))).cast("decimal(38,0)")

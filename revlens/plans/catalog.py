@@ -13,7 +13,7 @@ from revlens.functions import expr as E
 from revlens.operators import clean, cohort, customers, finance, forecast, invoices, services
 from revlens.plans.params import DEFAULT, Params
 from revlens.sources import feeds as feeds_mod
-from revlens.sources import tables
+from revlens.sources import exports, tables
 
 
 class Feeds:
@@ -46,6 +46,12 @@ class Feeds:
     def raw_services(self) -> DataFrame:
         return tables.service_feed(self.spark, self.sf_dir)
 
+    def typed_feed(self, feed: str) -> DataFrame:
+        """One billing export from its text to a cleaned,
+        typed feed.  Here the export is the driver's table written as text."""
+        raw = exports.EXPORTS[feed](self.spark, self.sf_dir)
+        return clean.clean_keys(feeds_mod.text_feed(raw, feed))
+
     # Derived tables shared by many outputs (materialized once by the report runner).
     def service_stats(self) -> DataFrame:
         """A1 rollup per (product, userid), money as exact decimals."""
@@ -65,10 +71,11 @@ class CsvFeeds(Feeds):
     hosting, hostingaddon, ticket) and optionally the wide finance sheet."""
 
     def __init__(self, spark: SparkSession, paths: dict[str, str], finance_path: str | None = None,
-                 params: Params = DEFAULT, fmt: str = "csv", on_bad_date: str = "raise"):
+                 params: Params = DEFAULT, fmt: str = "csv", on_bad_date: str = "raise",
+                 on_bad_money: str = "raise"):
         super().__init__(spark, "", params)
-        self._feeds = feeds_mod.load_feeds(spark, paths, fmt, on_bad_date)
-        self._finance_path, self._fmt = finance_path, fmt
+        self._feeds = feeds_mod.load_feeds(spark, paths, fmt, on_bad_date, on_bad_money)
+        self._finance_path, self._fmt, self._on_bad_money = finance_path, fmt, on_bad_money
 
     def invoices(self) -> DataFrame:
         return clean.clean_keys(self._feeds["invoice"])
@@ -85,11 +92,14 @@ class CsvFeeds(Feeds):
     def finance(self, **source_filters) -> DataFrame:
         if not self._finance_path:
             raise FileNotFoundError("no finance sheet given")
-        return feeds_mod.read_finance(self.spark, self._finance_path, self._fmt)
+        return feeds_mod.read_finance(self.spark, self._finance_path, self._fmt, self._on_bad_money)
 
     def customers(self) -> DataFrame | None:
         return None
 
+    def typed_feed(self, feed: str) -> DataFrame:
+        return clean.clean_keys(self._feeds[feed])
+
 
 def run_on_feeds(feeds: Feeds, names: list[str] | None = None) -> dict[str, DataFrame]:
     """Build the named outputs (default: all) over one set of feeds."""
@@ -132,6 +142,22 @@ def _q_clean_services(f: Feeds):
     return clean.clean_keys(f.raw_services()).select("product", "id", "userid", "nextinvoicedate")
 
 
+def _typed(f: Feeds, feed: str, money: list[str]) -> DataFrame:
+    df = f.typed_feed(feed)
+    return df.select(*[(F.col(c).cast("string") if c in ("id", "userid") else
+                        F.col(c).cast("double") if c in money else F.col(c)).alias(c) for c in df.columns])
+
+
+@query("typed_invoices")
+def _q_typed_invoices(f: Feeds):
+    return _typed(f, "invoice", ["total"])
+
+
+@query("typed_hosting")
+def _q_typed_hosting(f: Feeds):
+    return _typed(f, "hosting", ["firstpaymentamount", "recurringamount"])
+
+
 @query("paid_invoices_only")
 def _q_paid(f: Feeds):
     return clean.paid_only(f.invoices()).select(
@@ -330,7 +356,7 @@ def _q_customer_totals(f: Feeds):
 
 @query("highest_revenue_per_customer")
 def _q_highest(f: Feeds):
-    return customers.highest_revenue_per_customer(_revenue_long(f))
+    return customers.highest_revenue_per_customer(f.service_stats())
 
 
 @query("revenue_by_product_status")
@@ -428,7 +454,7 @@ def _train_years(f: Feeds):
 
 def _hw_fit(f: Feeds):
     series = forecast.revenue_series(f.invoices(), f.customers(), _train_years(f))
-    return forecast.holt_winters(series, _train_years(f), f.p.hw_season, f.p.hw_horizon)
+    return forecast.holt_winters(series, _train_years(f), f.p.hw_season)
 
 
 def _hw_forecast(f: Feeds, rounded: bool = True):

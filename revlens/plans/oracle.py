@@ -126,6 +126,27 @@ def oracle_statements(p: Params = DEFAULT) -> dict[str, str]:
     q: dict[str, str] = {}
     q["clean_keys_invoices"] = W("inv") + "SELECT id, userid, date, status, CAST(total AS DOUBLE) AS total FROM inv"
     q["clean_keys_services"] = W("svc0") + "SELECT product, id, userid, nextinvoicedate FROM svc0"
+    key = ("CAST(CAST(CASE WHEN {k} % 11 = 5 THEN {k} + 9007199254740992 ELSE {k} END AS DECIMAL(28,8)) "
+           "+ CASE WHEN {k} % 11 = 6 THEN 0.5 ELSE 0 END AS DECIMAL(28,8))::VARCHAR AS id, "
+           "CAST(o_custkey AS DECIMAL(28,8))::VARCHAR AS userid")
+    valid = "{k} % 11 NOT IN (2, 3, 4) AND o_custkey % 7 NOT IN (0, 1)"
+    q["typed_invoices"] = f"""SELECT {key.format(k='o_orderkey')},
+  CASE WHEN o_orderkey % 13 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS date,
+  CASE o_orderstatus WHEN 'F' THEN 'Paid' WHEN 'O' THEN 'Unpaid' WHEN 'P' THEN 'Cancelled' END AS status,
+  CASE WHEN o_orderkey % 17 <> 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS total
+FROM orders WHERE {valid.format(k='o_orderkey')}"""
+    q["typed_hosting"] = f"""SELECT {key.format(k='l_orderkey')},
+  CASE WHEN l_quantity <> 50 THEN CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) END AS nextinvoicedate,
+  CASE WHEN l_returnflag = 'R' THEN CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) END AS termination_date,
+  CAST(NULL AS DOUBLE) AS firstpaymentamount,
+  CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2))) AS DECIMAL(18,4))
+       AS DOUBLE) AS recurringamount,
+  CASE WHEN l_orderkey % 5 <> 0 THEN
+    CASE l_linenumber WHEN 1 THEN 'Monthly' WHEN 2 THEN 'Quarterly' WHEN 3 THEN 'Semi-Annually' WHEN 4 THEN 'Annually'
+         WHEN 5 THEN 'Biennially' WHEN 6 THEN 'Triennially' WHEN 7 THEN 'One Time' END END AS billingcycle,
+  CASE WHEN l_linestatus = 'O' THEN 'Active' WHEN l_returnflag = 'N' THEN 'Completed' ELSE 'Cancelled' END AS status
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WHERE l_partkey % 3 = 1 AND {valid.format(k='l_orderkey')}"""
     q["paid_invoices_only"] = W("inv") + (
         "SELECT id, userid, date, CAST(total AS DOUBLE) AS total FROM inv WHERE status = 'Paid'")
     for name, prod in [("domain_status", "domain"), ("hosting_status", "hosting"),
@@ -185,8 +206,8 @@ def _user_cost_sql(prod: str) -> str:
   FROM svc_cost WHERE product = '{prod}') WHERE rn = 1"""
 
 
-def _inv12_sql() -> str:
-    return """SELECT userid, CAST(revenue_12m AS DOUBLE) AS revenue_12m, in_12m FROM (
+def _inv12_sql(revenue: str = "CAST(revenue_12m AS DOUBLE)") -> str:
+    return f"""SELECT userid, {revenue} AS revenue_12m, in_12m FROM (
   SELECT *, row_number() OVER (PARTITION BY userid ORDER BY revenue_12m DESC NULLS LAST,
                                 date NULLS FIRST, id) AS rn
   FROM (SELECT *, CASE WHEN m THEN sum(CASE WHEN m THEN coalesce(total, 0) END) OVER (PARTITION BY userid) END
@@ -195,8 +216,8 @@ def _inv12_sql() -> str:
 WHERE rn = 1"""
 
 
-def _invrev_sql() -> str:
-    return """SELECT userid, paid_invoices, CAST(revenue AS DOUBLE) AS revenue FROM (
+def _invrev_sql(revenue: str = "CAST(revenue AS DOUBLE)") -> str:
+    return f"""SELECT userid, paid_invoices, {revenue} AS revenue FROM (
   SELECT *, row_number() OVER (PARTITION BY userid ORDER BY paid_invoices DESC NULLS LAST,
                                 date NULLS FIRST, id) AS rn
   FROM (SELECT *,
@@ -207,14 +228,6 @@ def _invrev_sql() -> str:
 WHERE rn = 1"""
 
 
-def _invrev_dec_sql() -> str:
-    return _invrev_sql().replace("CAST(revenue AS DOUBLE) AS revenue", "revenue")
-
-
-def _inv12_dec_sql() -> str:
-    return _inv12_sql().replace("CAST(revenue_12m AS DOUBLE) AS revenue_12m", "revenue_12m")
-
-
 def customer_ctes(p: Params) -> str:
     months = ", ".join(f"y{y}" for y in p.years)
     return f"""roll AS (
@@ -235,8 +248,8 @@ ucost AS (
       row_number() OVER (PARTITION BY product, userid
                          ORDER BY final_status, nextinvoicedate NULLS LAST, lagging_cycles) AS rn
     FROM svc_cost) WHERE rn = 1),
-inv12u AS ({_inv12_dec_sql()}),
-invrevu AS ({_invrev_dec_sql()}),
+inv12u AS ({_inv12_sql("revenue_12m")}),
+invrevu AS ({_invrev_sql("revenue")}),
 tixu AS (SELECT userid, count(*) AS tickets FROM tix GROUP BY userid),
 profit AS (
   SELECT coalesce(r.userid, t.userid) AS userid, coalesce(r.revenue, 0) AS revenue,
@@ -326,30 +339,26 @@ def more_statements(p: Params = DEFAULT) -> dict[str, str]:
     q["product_revenue_long"] = cust + """SELECT product, userid, final_status, active_services,
   CAST(payment AS DOUBLE) AS payment, CAST(future_revenue AS DOUBLE) AS future_revenue,
   CAST(revenue AS DOUBLE) AS revenue FROM rollf"""
-    q["customer_free_cost"] = cust + """, a AS (SELECT * FROM ucost WHERE product = 'hostingaddons'),
-h AS (SELECT * FROM ucost WHERE product = 'hosting'),
-d AS (SELECT * FROM ucost WHERE product = 'domain'),
-s1 AS (SELECT coalesce(a.userid, h.userid) AS userid, a.final_status AS final_status_addon,
-              h.final_status AS final_status_hosting, a.total_free_service_cost AS total_free_service_cost_addon,
-              h.total_free_service_cost AS total_free_service_cost_hosting
-       FROM a FULL OUTER JOIN h ON a.userid = h.userid),
-s2 AS (SELECT coalesce(s1.userid, d.userid) AS userid, final_status_addon, final_status_hosting,
-              d.final_status AS final_status_domain, total_free_service_cost_addon,
-              total_free_service_cost_hosting, d.total_free_service_cost AS total_free_service_cost_domain
-       FROM s1 FULL OUTER JOIN d ON s1.userid = d.userid),
-s3 AS (SELECT coalesce(s2.userid, i.userid) AS userid, final_status_addon, final_status_hosting,
-              final_status_domain, total_free_service_cost_addon, total_free_service_cost_hosting,
-              total_free_service_cost_domain, CAST(i.revenue_12m AS DOUBLE) AS revenue_12m, i.in_12m
-       FROM s2 FULL OUTER JOIN inv12u i ON s2.userid = i.userid)
+    q["customer_free_cost"] = cust.rstrip("\n") + """,
+w AS (SELECT userid,
+  max(final_status) FILTER (product = 'hostingaddons') AS final_status_addon,
+  max(final_status) FILTER (product = 'hosting') AS final_status_hosting,
+  max(final_status) FILTER (product = 'domain') AS final_status_domain,
+  max(total_free_service_cost) FILTER (product = 'hostingaddons') AS total_free_service_cost_addon,
+  max(total_free_service_cost) FILTER (product = 'hosting') AS total_free_service_cost_hosting,
+  max(total_free_service_cost) FILTER (product = 'domain') AS total_free_service_cost_domain
+  FROM ucost GROUP BY userid),
+s3 AS (SELECT coalesce(w.userid, i.userid) AS userid, w.* EXCLUDE (userid),
+              CAST(i.revenue_12m AS DOUBLE) AS revenue_12m, i.in_12m
+       FROM w FULL OUTER JOIN inv12u i ON w.userid = i.userid)
 SELECT *, (0.0::DOUBLE
    + coalesce(round_even(total_free_service_cost_addon * 1000000.0::DOUBLE, 0), 0.0::DOUBLE)
    + coalesce(round_even(total_free_service_cost_hosting * 1000000.0::DOUBLE, 0), 0.0::DOUBLE)
    + coalesce(round_even(total_free_service_cost_domain * 1000000.0::DOUBLE, 0), 0.0::DOUBLE))
    / 1000000.0::DOUBLE AS free_service_cost_all_products
-FROM s3""".replace("\n, a AS", "\n, a AS")
-    q["customer_free_cost"] = q["customer_free_cost"].replace(customer_ctes(p) + "\n, a AS",
-                                                              customer_ctes(p) + ",\na AS")
-    q["customer_revenue_summary"] = cust + """, a AS (SELECT * FROM roll WHERE product = 'hostingaddons'),
+FROM s3"""
+    q["customer_revenue_summary"] = cust.rstrip("\n") + """,
+a AS (SELECT * FROM roll WHERE product = 'hostingaddons'),
 h AS (SELECT * FROM roll WHERE product = 'hosting'),
 d AS (SELECT * FROM roll WHERE product = 'domain'),
 s1 AS (SELECT coalesce(a.userid, h.userid) AS userid,
@@ -373,13 +382,12 @@ SELECT userid,
     AS revenue_all_products,
   CAST(coalesce(r_a, 0) + coalesce(r_h, 0) + coalesce(r_d, 0) AS DOUBLE) AS revenue_all_products_corrected
 FROM s3"""
-    q["customer_revenue_summary"] = q["customer_revenue_summary"].replace(
-        customer_ctes(p) + "\n, a AS", customer_ctes(p) + ",\na AS")
     q["customer_totals"] = cust + """SELECT userid, CAST(sum(active_services) AS BIGINT) AS active_services,
   CAST(sum(payment) AS DOUBLE) AS payment, CAST(sum(future_revenue) AS DOUBLE) AS future_revenue,
   CAST(sum(revenue) AS DOUBLE) AS revenue FROM rollf GROUP BY userid"""
-    q["highest_revenue_per_customer"] = cust + """SELECT userid, CAST(revenue AS DOUBLE) AS highest_revenue, product
-FROM (SELECT *, row_number() OVER (PARTITION BY userid ORDER BY revenue DESC, product) AS rn FROM rollf)
+    q["highest_revenue_per_customer"] = cust + """SELECT userid, CAST(revenue AS DOUBLE) AS highest_revenue,
+  CASE WHEN revenue IS NOT NULL THEN product END AS product
+FROM (SELECT *, row_number() OVER (PARTITION BY userid ORDER BY revenue DESC NULLS LAST, product) AS rn FROM roll)
 WHERE rn = 1"""
     q["revenue_by_product_status"] = cust + """SELECT product, final_status, CAST(sum(revenue) AS DOUBLE) AS revenue
 FROM rollf GROUP BY product, final_status"""
@@ -390,13 +398,10 @@ FROM rollf GROUP BY product, final_status"""
 FROM kpi k, clients c"""
     q["annual_metric_table"] = cust + """SELECT 'Annual Revenue' AS metric, annual_revenue AS value FROM kpi
 UNION ALL SELECT 'Free Service Cost' AS metric, free_service_cost AS value FROM kpi"""
-    q["acquisition_cost"] = cust + f"""SELECT annual_revenue, free_service_cost,
+    q["acquisition_cost"] = cust + f"""SELECT *, '$ ' || format('{{:,.2f}}', acquisition_cost) AS acquisition_text
+FROM (SELECT annual_revenue, free_service_cost,
   {_r(f'(annual_revenue - free_service_cost - {float(p.operational_cost)}::DOUBLE) * {float(p.acquisition_multiplier)}::DOUBLE', 2)}
-    AS acquisition_cost FROM kpi"""
-    q["acquisition_cost"] = (q["acquisition_cost"].replace("SELECT annual_revenue, free_service_cost,",
-                                                           "SELECT *, '$ ' || format('{:,.2f}', acquisition_cost) AS "
-                                                           "acquisition_text FROM (SELECT annual_revenue, "
-                                                           "free_service_cost,", 1) + ")")
+    AS acquisition_cost FROM kpi)"""
 
     coh = _with(p, "inv").rstrip("\n") + ",\n" + cohort_ctes(p) + "\n"
     ycast = ", ".join(f"CAST(y{y} AS DOUBLE) AS y{y}" for y in p.years)
@@ -414,7 +419,8 @@ UNION ALL SELECT 'Free Service Cost' AS metric, free_service_cost AS value FROM
                "forecast_subscribers", "forecast_revenue", "variance", "var_rate"]
     q["forecast_table_long"] = coh.rstrip("\n") + f""",
 fcd AS (SELECT year, {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in metrics)} FROM fc)
-SELECT year, metric, value FROM fcd UNPIVOT INCLUDE NULLS (value FOR metric IN ({', '.join(metrics)}))"""
+SELECT year, metric, value, format('{{:,.2f}}', value) AS value_text
+FROM fcd UNPIVOT INCLUDE NULLS (value FOR metric IN ({', '.join(metrics)}))"""
     q["rate_bands"] = coh + """SELECT year, growth_rate, churn_rate,
   CASE WHEN coalesce(growth_rate < 0.1, false) THEN 'red' ELSE 'green' END AS growth_band,
   CASE WHEN coalesce(churn_rate < 0.05, false) THEN 'green' ELSE 'red' END AS churn_band FROM fc"""

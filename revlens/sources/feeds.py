@@ -14,6 +14,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.functions.keys import exact_decimal
+
 # The text tokens a lenient CSV reader treats as missing.
 MISSING_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -21,20 +23,23 @@ MISSING_TOKENS = [
     "nan", "null",
 ]
 
+# Money of every text feed: four decimals, the scale of all exact sums downstream.
+MONEY = "decimal(18,4)"
+
 # Columns each feed contributes, with the type they are converted to after
 # cleaning.  Keys stay text here; clean_keys coerces them.
 FEED_COLUMNS = {
     "invoice": {"id": "string", "userid": "string", "date": "date", "status": "string",
-                "total": "decimal(18,2)"},
+                "total": MONEY},
     "domain": {"id": "string", "userid": "string", "nextinvoicedate": "date",
-               "firstpaymentamount": "decimal(18,2)", "recurringamount": "decimal(18,4)",
+               "firstpaymentamount": MONEY, "recurringamount": MONEY,
                "status": "string"},
     "hosting": {"id": "string", "userid": "string", "nextinvoicedate": "date",
-                "termination_date": "date", "firstpaymentamount": "decimal(18,2)",
-                "amount": "decimal(18,4)", "billingcycle": "string", "domainstatus": "string"},
+                "termination_date": "date", "firstpaymentamount": MONEY,
+                "amount": MONEY, "billingcycle": "string", "domainstatus": "string"},
     "hostingaddon": {"id": "string", "userid": "string", "nextinvoicedate": "date",
-                     "termination_date": "date", "firstpaymentamount": "decimal(18,2)",
-                     "recurring": "decimal(18,4)", "billingcycle": "string", "status": "string"},
+                     "termination_date": "date", "firstpaymentamount": MONEY,
+                     "recurring": MONEY, "billingcycle": "string", "status": "string"},
     "ticket": {"id": "string", "userid": "string"},
 }
 
@@ -76,21 +81,34 @@ def parse_date(c: Column, on_bad_date: str = "raise") -> Column:
     return F.to_timestamp_ntz(c, F.lit("yyyy-M-d"))
 
 
-def type_feed(df: DataFrame, feed: str, on_bad_date: str = "raise") -> DataFrame:
+def parse_money(c: Column, what: str, on_bad_money: str = "raise") -> Column:
+    """Money text to an exact decimal.  ``'raise'`` fails the job on text that
+    is no number or does not fit exactly; ``'round'`` rounds to four places
+    and maps text that is no number to NULL."""
+    return c.try_cast(MONEY) if on_bad_money == "round" else exact_decimal(c, MONEY, what)
+
+
+def type_feed(df: DataFrame, feed: str, on_bad_date: str = "raise", on_bad_money: str = "raise") -> DataFrame:
     """Apply the feed's target types to a text projection."""
     out = []
     for c, t in FEED_COLUMNS[feed].items():
         col = F.col(c)
         if t == "date":
             col = parse_date(col, on_bad_date)
-        elif t != "string":
-            col = col.try_cast(t)
+        elif t == MONEY:
+            col = parse_money(col, f"{feed}.{c}", on_bad_money)
         out.append(col.alias(FEED_RENAMES.get(feed, {}).get(c, c)))
     return df.select(*out)
 
 
+def text_feed(raw: DataFrame, feed: str, on_bad_date: str = "raise", on_bad_money: str = "raise") -> DataFrame:
+    """A feed from a table of text columns: missing tokens, lenient
+    projection, target types."""
+    return type_feed(lenient_project(null_tokens(raw), FEED_COLUMNS[feed]), feed, on_bad_date, on_bad_money)
+
+
 def read_feed(spark: SparkSession, path: str, feed: str, fmt: str = "csv",
-              on_bad_date: str = "raise") -> DataFrame:
+              on_bad_date: str = "raise", on_bad_money: str = "raise") -> DataFrame:
     """Read one billing export.  A missing path is an error."""
     if not path:
         raise FileNotFoundError(f"no path given for feed {feed!r}")
@@ -100,16 +118,16 @@ def read_feed(spark: SparkSession, path: str, feed: str, fmt: str = "csv",
     else:
         raw = spark.read.format(fmt).load(path)
         raw = raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns])
-    return type_feed(lenient_project(null_tokens(raw), FEED_COLUMNS[feed]), feed, on_bad_date)
+    return text_feed(raw, feed, on_bad_date, on_bad_money)
 
 
 def load_feeds(spark: SparkSession, paths: dict[str, str], fmt: str = "csv",
-               on_bad_date: str = "raise") -> dict[str, DataFrame]:
+               on_bad_date: str = "raise", on_bad_money: str = "raise") -> dict[str, DataFrame]:
     """All five feeds; every one of them is required."""
     missing = [f for f in FEED_COLUMNS if not paths.get(f)]
     if missing:
         raise FileNotFoundError(f"missing feed paths: {missing}")
-    return {f: read_feed(spark, paths[f], f, fmt, on_bad_date) for f in FEED_COLUMNS}
+    return {f: read_feed(spark, paths[f], f, fmt, on_bad_date, on_bad_money) for f in FEED_COLUMNS}
 
 
 SERVICE_COLUMNS = ["product", "id", "userid", "nextinvoicedate", "termination_date",
@@ -147,7 +165,7 @@ FINANCE_MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun",
                   "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 
-def read_finance(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_finance(spark: SparkSession, path: str, fmt: str = "csv", on_bad_money: str = "raise") -> DataFrame:
     """S3: the wide finance sheet (Scenario, business_unit, Account, Year,
     Jan..Dec).  Months are money, kept as exact decimals."""
     if fmt == "csv":
@@ -156,10 +174,11 @@ def read_finance(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
         raw = spark.read.format(fmt).load(path)
     raw = null_tokens(raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns]))
     cols = {"Scenario": "string", "business_unit": "string", "Account": "string", "Year": "int"}
-    cols.update({m: "decimal(18,2)" for m in FINANCE_MONTHS})
+    cols.update({m: MONEY for m in FINANCE_MONTHS})
     projected = lenient_project(raw, cols)
     return projected.select(*[
-        (F.col(c) if t == "string" else F.col(c).try_cast(t)).alias(c) for c, t in cols.items()
+        (F.col(c) if t == "string" else parse_money(F.col(c), c, on_bad_money) if t == MONEY
+         else F.col(c).try_cast(t)).alias(c) for c, t in cols.items()
     ])
 
 
@@ -168,10 +187,5 @@ def write_result(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "
     df.write.mode(mode).format(fmt).save(path)
 
 
-def preview(df: DataFrame, n: int = 20) -> DataFrame:
-    """The on-screen preview of the reference; the limit is the feature."""
-    return df.limit(n)
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

@@ -8,6 +8,7 @@ import pytest
 
 from revlens.plans.catalog import CsvFeeds, run_on_feeds
 from revlens.sources.feeds import FINANCE_MONTHS
+from test_plans import SMALL_TABLE_AGGREGATES
 
 FILES = {
     "invoice": "id,userid,date,status,total\n"
@@ -89,3 +90,10 @@ def test_csv_edge_rows(feeds):
     rate = {(r.product, r.id): r.cycle_rate for r in outs["cycle_rate"].collect()}
     assert rate[("hosting", 4.0)] is None                     # flagged, unknown cycle
     assert rate[("hosting", 3.0)] == 1.0                      # 365 / 365 days
+
+
+def test_text_feeds_aggregate_by_hash(feeds):
+    for name, df in run_on_feeds(feeds).items():
+        if name not in SMALL_TABLE_AGGREGATES:
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan, name

@@ -3,6 +3,8 @@ and the truncating growth projection."""
 
 from itertools import product
 
+import pytest
+
 from revlens.operators import forecast
 
 GRID = (0.1, 0.3, 0.5, 0.7, 0.9)
@@ -33,7 +35,7 @@ def _loop_fit(ys, m):
 def test_holt_winters_matches_loop(spark):
     series = {"A": [100.0, 140.0, 120.0, 170.0, 150.0, 205.0],
               "B": [10.0, 30.0, 12.0, 33.0, 11.0, 35.0, 14.0],
-              "C": [5.0, 6.0, 7.0]}                     # too short for two seasons: skipped
+              "C": [5.0, 6.0, 7.0]}                     # too short for two seasons
     years = {k: list(range(2000, 2000 + len(v))) for k, v in series.items()}
     rows = [(k, y, v) for k, vs in series.items() for y, v in zip(years[k], vs)]
     df = spark.createDataFrame(rows, "series string, year int, y double")
@@ -49,7 +51,8 @@ def test_holt_winters_matches_loop(spark):
                                   years[name][-1], m=2, horizon=3, rounded=False).collect()
         expect = [level + h * trend + season[(h - 1) % 2] for h in (1, 2, 3)]
         assert [round(r.forecast, 9) for r in sorted(fc, key=lambda r: r.step)] == [round(x, 9) for x in expect]
-    assert forecast.holt_winters(df.where(df.series == "C"), years["C"], m=2).count() == 0
+    with pytest.raises(ValueError):
+        forecast.holt_winters(df.where(df.series == "C"), years["C"], m=2)
 
 
 def test_growth_projection_truncates_each_year(spark):

@@ -1,4 +1,4 @@
-"""The production runner materializes shared feeds via checkpoint() and
+"""The production runner materializes shared feeds as Parquet and
 writes outputs that equal the lazily computed queries."""
 
 import tempfile
