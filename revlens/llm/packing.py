@@ -18,6 +18,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from .runtime import ship, task_count, written
 CAPACITY = 2048
 END_ID = 1
 SPECIAL = "<|endoftext|>"
-_CACHE = 400_000
+_CACHE = 1_000_000
 _tokenizers: dict[str, "ChunkTokenizer"] = {}
 
 
@@ -54,11 +55,14 @@ class ChunkTokenizer:
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
+        return [array("I", e.ids).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        chunks: list[list[str] | None] = []
+        """The first chunk of each text is encoded, the others, all of which
+        begin with a space, are looked up by what follows it."""
+        heads: list[str] = []
+        tails: list[list[str]] = []
         new: set[str] = set()
         known = self.known
         if len(known) > _CACHE:
@@ -66,19 +70,19 @@ class ChunkTokenizer:
         for text in texts:
             words = text.split()
             # White space that is single and inside: one more word than such characters.
-            if len(words) < 2 or len(text) - sum(map(len, words)) + 1 != len(words) or SPECIAL in text:
-                chunks.append(None)
+            if len(words) < 2 or len(text) - len("".join(words)) + 1 != len(words) or SPECIAL in text:
+                heads.append(text)
+                tails.append([])
                 continue
             parts = text.split(" ")
-            parts[1:] = [" " + p for p in parts[1:]]
-            chunks.append(parts)
+            heads.append(parts.pop(0))
+            tails.append(parts)
             new.update(set(parts).difference(known))
-        if new:
-            todo = sorted(new)
-            for i in range(0, len(todo), 20_000):
-                known.update(zip(todo[i:i + 20_000], self._encode(todo[i:i + 20_000])))
-        whole = iter(self._encode([t for t, c in zip(texts, chunks) if c is None]))
-        return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in chunks]
+        todo = list(new)
+        for i in range(0, len(todo), 20_000):
+            some = todo[i:i + 20_000]
+            known.update(zip(some, self._encode([" " + p for p in some])))
+        return [head + b"".join(map(known.__getitem__, tail)) for head, tail in zip(self._encode(heads), tails)]
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
