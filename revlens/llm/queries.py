@@ -41,7 +41,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"), radius=fingerprints.NEAR)
 
 
 @_query

@@ -240,6 +240,42 @@ def test_fingerprints(docs, empty):
     assert len(rows) == docs.count() and fingerprints.fingerprint_documents(empty).count() == 0
 
 
+def test_near_copies_count_each_other(spark, monkeypatch):
+    def edits(seed, n):   # n words replaced, spread over the text
+        w = prose(seed, 200).split()
+        for k in range(n):
+            w[(k * 37 + 11) % 200] = f"new{k}"
+        return " ".join(w)
+
+    texts = [edits(seed, n) for seed in (21, 22, 23) for n in (0, 1, 2, 3)] + [prose(s, 200) for s in range(31, 36)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [_shingles(t, 3) for t in texts]
+    # The registered query with its own radius, over these texts and with every row as a query row.
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    monkeypatch.setattr(fingerprints, "fingerprint_documents",
+                        lambda d, f=fingerprints.fingerprint_documents, **k: f(d, every=1, **k))
+    for r in queries.queries()["op4_fingerprints"](spark, "").collect():
+        near = [j for j, s in enumerate(sets) if j != r.doc_id and len(s & sets[r.doc_id]) >= 0.9 * len(s | sets[r.doc_id])]
+        far = [j for j, s in enumerate(sets) if len(s & sets[r.doc_id]) < 0.5 * len(s | sets[r.doc_id])]
+        assert len(near) <= r.n_near < len(texts) - len(far) and (r.doc_id >= 12 or near)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 9, 20])
+def test_block_tables_miss_no_pair(spark, radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2, (12, 1, 128), dtype=np.uint8)
+    flips = np.zeros((12, radius + 3, 128), dtype=np.uint8)
+    for g in range(12):
+        for k in range(radius + 3):
+            flips[g, k, rng.choice(128, k, replace=False)] = 1
+    lanes = np.packbits((base ^ flips).reshape(-1, 128), axis=1).view(np.int64)
+    df = spark.createDataFrame([tuple(map(int, x)) for x in lanes], "lane0 long, lane1 long")
+    got = [tuple(r) for r in fingerprints.within_radius(df, df, radius).collect()]
+    rows = collections.Counter(tuple(map(int, x)) for x in lanes)
+    distance = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b))
+    assert sorted(got) == sorted(a + b + (n,) for a in rows for b, n in rows.items() if distance(a, b) <= radius)
+
+
 def test_toxicity_learns_from_document_labels(spark, empty):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
