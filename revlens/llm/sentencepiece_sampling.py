@@ -1,7 +1,8 @@
 """SentencePiece encoding with sampled segmentations, and decoding (operator 3).
 
-The piece lattice of a text is cut before every space and between letters,
-digits and marks, so it is a chain of small lattices, one per word.  Forward filtering sums, for every place of a
+The piece lattice of a text is cut between two characters that stand side by
+side in no piece of the loaded vocabulary, so no piece crosses a cut and the
+text's lattice is a chain of small lattices, here called words.  Forward filtering sums, for every place of a
 word, the weight of all segmentations up to it; backward sampling draws the
 last piece by those sums, then the piece before it, and so on.  The draws are
 hashes of (seed, row key, place), so a row always gets the same segmentation.
@@ -15,12 +16,13 @@ become byte pieces, so decoding gives back every text exactly.
 Defined cases: a null or empty text has no pieces and decodes to the empty
 text; equal rows get equal samples, equal texts under other keys their own; a
 null key is a key; an empty table gives an empty result; other columns are
-ignored.  A very long word is cut into runs of at most ``LONGEST`` characters.
+ignored.  A word of more than ``LONGEST`` characters is not cut: it is filtered
+in blocks that overlap by the longest piece, and its blocks are filtered again
+from their stored beginnings, last to first, for the draws.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +35,8 @@ from .runtime import ship
 from .words import mix, slices
 
 MARK = "\u2581"
-LONGEST = 64
+LONGEST = 64            # weights of longer words would underflow
+_BLOCK = 4096
 _CACHE = 400_000
 _SLICE = 2 << 20
 _models: dict[tuple[str, float], "Lattice"] = {}
@@ -53,8 +56,7 @@ class Lattice:
 
     A node is a place of a word; its arcs are the pieces that end there, with
     running shares of the forward weight.  ``node + share`` ascends over the
-    whole table, so one search finds the drawn arc of any number of nodes.  A
-    word is a string whose first character is a space if one precedes it."""
+    whole table, so one search finds the drawn arc of any number of nodes."""
 
     def __init__(self, path: str, alpha: float) -> None:
         import sentencepiece
@@ -69,8 +71,7 @@ class Lattice:
                 self.byte[texts[i][0]] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 texts[i] = name.replace(MARK, " ").encode()
-                if MARK not in name[1:]:
-                    found.append((name, i, (1.0 - sp.get_score(i)) ** -alpha))
+                found.append((name, i, (1.0 - sp.get_score(i)) ** -alpha))
         self.longest = max(len(f[0]) for f in found)
         self.least = min(f[2] for f in found)
         key = np.array([int(self._hash(np.array([[ord(c) for c in f[0]]]))[len(f[0]) - 1][0, 0]) for f in found], dtype=np.uint64)
@@ -79,6 +80,12 @@ class Lattice:
         self.weight = np.array([f[2] for f in found])[order]
         if (self.key[1:] == self.key[:-1]).any():
             raise ValueError("two pieces share a hash")
+        pairs = {(ord(a), ord(b)) for f in found for a, b in zip(f[0].replace(MARK, " "), f[0].replace(MARK, " ")[1:])}
+        self.pairs = np.array(sorted(a << 32 | b for a, b in pairs), dtype=np.int64)
+        self.common = np.zeros((256, 256), dtype=bool)     # the pairs of small codes
+        for a, b in pairs:
+            if a < 256 and b < 256:
+                self.common[a, b] = True
         self.sizes = np.array([len(t) for t in texts])
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -109,15 +116,13 @@ class Lattice:
                 new[:used] = old[:used]
                 setattr(self, name, new)
 
-    def add(self, words: list[str]) -> None:
-        """Filter the lattices of new words of one length forward."""
-        g, n = len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(g, n).astype(np.int64)
-        codes[codes == ord(MARK)] = _LITERAL
-        spaced = codes[:, 0] == 32          # a word holds no other space
-        codes[spaced, 0] = ord(MARK)
+    def _arcs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight and id of the piece of k + 1 characters that ends at each place of each row."""
+        g, n = codes.shape
+        plain = codes
+        codes = np.where(codes == ord(MARK), _LITERAL, np.where(codes == 32, ord(MARK), codes))
         most = min(n, self.longest)
-        weight = np.zeros((g, n, most))      # of the piece of k + 1 characters that ends at a place
+        weight = np.zeros((g, n, most))
         piece = np.zeros((g, n, most), dtype=np.int64)
         for k, h in enumerate(self._hash(codes)):
             at = np.searchsorted(self.key, h)
@@ -127,10 +132,82 @@ class Lattice:
             piece[:, k:, k] = self.id[at]
         # A character without a piece is its bytes; the id tells the character.
         none = weight[:, :, 0] == 0
-        plain = np.where(codes == _LITERAL, ord(MARK), codes)
-        plain[spaced, 0] = 32
         piece[:, :, 0] = np.where(none, -1 - plain, piece[:, :, 0])
         weight[:, :, 0] = np.where(none, self.least, weight[:, :, 0])
+        return weight, piece
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text, before which a space is put."""
+        if not text:
+            return []
+        text = " " + text
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        a, b = codes[:-1], codes[1:]
+        joined = self.common[np.minimum(a, 255), np.minimum(b, 255)]
+        far = np.flatnonzero((a > 254) | (b > 254))
+        if len(far):
+            pair = a[far].astype(np.int64) << 32 | b[far].astype(np.int64)
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            joined[far] = self.pairs[at] == pair
+        cuts = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(text)]
+        return [text[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def draw_long(self, word: str, stream: int) -> np.ndarray:
+        """A sampled segmentation of a word of any length, in memory for one
+        block and the sums at the blocks' beginnings."""
+        codes = np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        n, most = len(codes), self.longest
+
+        def block(lo: int, before: list[float]) -> tuple[list, list[float]]:
+            """Arcs (k, share, id) that end at each place of a block; ``before``
+            are the sums of the ``most`` places up to ``lo``, in one scale."""
+            hi, back = min(lo + _BLOCK, n), max(0, lo - most)
+            weight, piece = self._arcs(codes[None, back:hi])
+            weight, piece = weight[0, lo - back:], piece[0, lo - back:]
+            which, ks = np.nonzero(weight)
+            w, ids, ks = weight[which, ks].tolist(), piece[which, ks].tolist(), ks.tolist()
+            ptr = np.searchsorted(which, np.arange(hi - lo + 1)).tolist()
+            ahead = list(before)             # ahead[-1 - k]: the sum k + 1 characters before the place's end
+            arcs = []
+            for e in range(hi - lo):
+                here = [(ks[j], w[j] * ahead[-1 - ks[j]], ids[j]) for j in range(ptr[e], ptr[e + 1])]
+                arcs.append(here)
+                ahead.append(sum(x[1] for x in here))
+                if ahead[-1] < 1e-100 or ahead[-1] > 1e100:    # only ratios count
+                    scale = 1 / ahead[-1]
+                    ahead[-most:] = [x * scale for x in ahead[-most:]]
+            return arcs, ahead[-most:]
+
+        begins = [[0.0] * (most - 1) + [1.0]]
+        for lo in range(0, n - _BLOCK, _BLOCK):
+            begins.append(block(lo, begins[-1])[1])
+        drawn, at, step = [], n, 0
+        for i in range(len(begins) - 1, -1, -1):
+            lo = i * _BLOCK
+            arcs = block(lo, begins[i])[0] if at > lo else []
+            draws = mix(np.uint64(stream) + np.arange(step, step + max(0, at - lo), dtype=np.uint64) * _BASE)
+            draws = ((draws >> np.uint64(11)) * 2.0 ** -53).tolist()
+            first = step
+            while at > lo:
+                here = arcs[at - lo - 1]
+                left = draws[step - first] * sum(x[1] for x in here)
+                for k, share, piece in here:
+                    left -= share
+                    if left < 0:
+                        break
+                else:                        # rounding: the last arc with a share
+                    k, share, piece = next(x for x in reversed(here) if x[1] > 0)
+                drawn.append(piece)
+                at -= k + 1
+                step += 1
+        return np.array(drawn[::-1], dtype=np.int64)
+
+    def add(self, words: list[str]) -> None:
+        """Filter the lattices of new words of one length forward."""
+        g, n = len(words), len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(g, n).astype(np.int64)
+        weight, piece = self._arcs(codes)
+        most = weight.shape[2]
         ahead = np.zeros((g, n + 1))
         ahead[:, 0] = 1.0
         for e in range(1, n + 1):
@@ -160,6 +237,7 @@ class Lattice:
             self.reset()
         last = self.last
         by_length: dict[int, list[str]] = {}
+        last[""] = -1                         # a word that is too long for the table
         for w in set(words).difference(last):
             by_length.setdefault(len(w), []).append(w)
         for n, new in by_length.items():
@@ -175,36 +253,29 @@ def lattice(path: str, alpha: float) -> Lattice:
     return _models[path, alpha]
 
 
-_WORD = re.compile(r" ?[^\W\d_]+| ?[^\w\s]+| ?\d+|(?s:.)")
-
-
-def _words(text: str) -> list[str]:
-    """The lattice's words: runs of letters, of digits, or of marks, each with
-    the space before it (one is put before the text); long ones are cut."""
-    if not text:
-        return []
-    out = _WORD.findall(" " + text)
-    if max(map(len, out)) > LONGEST:
-        out = [w[i:i + LONGEST] for w in out for i in range(0, len(w), LONGEST)]
-    return out
-
-
 def sample(texts: list[str], keys: np.ndarray, lat: Lattice, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts, one after the other, and where each begins."""
     words: list[str] = []
     count = np.zeros(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
-        w = _words(t)
+        w = lat.words(t)
         count[i] = len(w)
         words += w
-    node = lat.nodes(words)
+    long = [i for i, w in enumerate(words) if len(w) > LONGEST]
+    node = lat.nodes(["" if len(w) > LONGEST else w for w in words] if long else words)
     ptr = np.concatenate([[0], np.cumsum(count)])
     doc = np.repeat(np.arange(len(texts)), count)
     stream = mix(mix(keys.view(np.uint64) ^ np.uint64(seed))[doc] + (np.arange(len(words)) - ptr[doc]).astype(np.uint64))
     cum, ids, back, begins = lat.cum[:lat.arcs_used], lat.ids, lat.back, lat.begins
     order = np.argsort(node, kind="stable")     # neighbours in the table are looked up together
-    at, stream = node[order], stream[order]
     length = np.zeros(len(words), dtype=np.int64)
+    runs_of_long = [lat.draw_long(words[i], int(stream[i])) for i in long] if long else []
+    if long:
+        short = node[order] >= 0
+        order = order[short]
+    at, stream = node[order], stream[order]
+    for i, r in zip(long, runs_of_long):
+        length[i] = len(r)
     drawn = []
     step = 0
     while len(order):
@@ -220,6 +291,8 @@ def sample(texts: list[str], keys: np.ndarray, lat: Lattice, seed: int) -> tuple
     out = np.empty(place[-1], dtype=np.int64)
     for k, (w, i) in enumerate(drawn):          # the last piece was drawn first
         out[place[w] + length[w] - 1 - k] = i
+    for i, r in zip(long, runs_of_long):
+        out[place[i]:place[i + 1]] = r
     first = place[ptr]
     odd = np.flatnonzero(out < 0)
     if len(odd):                                # characters without a piece become byte pieces

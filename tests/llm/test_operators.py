@@ -214,6 +214,55 @@ def test_sampling_follows_the_weights():
     assert abs(share - seen) < 0.05
 
 
+def _share_of_each(lat, text):
+    """Every segmentation of a text (with a space before it) and its probability, by recursion over all pieces."""
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_sampling.default_model())
+    weight = dict(zip(lat.id.tolist(), lat.weight.tolist()))
+    pieces = {sp.id_to_piece(i).replace("\u2581", " "): i for i in weight}
+
+    def paths(rest):
+        if not rest:
+            yield (), 1.0
+        for k in range(1, len(rest) + 1):
+            if (i := pieces.get(rest[:k])) is not None:
+                for p, w in paths(rest[k:]):
+                    yield (i, *p), weight[i] * w
+        if rest and rest[0] not in pieces:
+            for p, w in paths(rest[1:]):
+                yield (*lat.byte[list(rest[0].encode())].tolist(), *p), lat.least * w
+
+    all_paths = dict(paths(" " + text))
+    return {p: w / sum(all_paths.values()) for p, w in all_paths.items()}
+
+
+@pytest.mark.parametrize("text", ["a_{b", "__x_", "if:\n    y", "a;\r\n)\r", "\u4e2d\u56fd\u4eba", "a    b"])
+@pytest.mark.parametrize("longest", [64, 1])
+def test_sampling_is_over_the_whole_lattice(text, longest, monkeypatch):
+    monkeypatch.setattr(sentencepiece_sampling, "LONGEST", longest)
+    monkeypatch.setattr(sentencepiece_sampling, "_BLOCK", 4096 if longest > 1 else 2)
+    lat = sentencepiece_sampling.lattice(sentencepiece_sampling.default_model(), 1.0)
+    want = _share_of_each(lat, text)
+    n = 6000
+    ids, first = sentencepiece_sampling.sample([text] * n, np.arange(n), lat, 5)
+    seen = collections.Counter(tuple(ids[a:b].tolist()) for a, b in zip(first[:-1], first[1:]))
+    assert set(seen) <= set(want)
+    for p, w in want.items():
+        assert abs(seen[p] / n - w) < 5 * (w * (1 - w) / n) ** 0.5 + 1e-3
+
+
+def test_no_piece_is_out_of_reach_and_long_runs_are_whole():
+    lat = sentencepiece_sampling.lattice(sentencepiece_sampling.default_model(), 1.0)
+    for i in lat.id.tolist():
+        name = lat.bytes[lat.starts[i]:lat.starts[i] + lat.sizes[i]].tobytes().decode()
+        assert any(name in w for w in lat.words("\n" + name + "\n")), name
+    run = "=" * 20_000
+    ids, first = sentencepiece_sampling.sample([run, "x"], np.arange(2), lat, 0)
+    assert sentencepiece_sampling.decode(ids, first, lat) == [run, "x"]
+    place = np.cumsum(lat.sizes[ids[:first[1]]]) - 1
+    assert not set(range(64, 20_000, 64)) <= set(place.tolist())     # pieces cross the former cuts
+
+
 def test_literal_marks_and_odd_characters_survive():
     lat = sentencepiece_sampling.lattice(sentencepiece_sampling.default_model(), 1.0)
     texts = ["a▁b  c", "日本 \U0001F600\n x", "<s> <0x41> </s>", " lead", "x" * 500, ""]
