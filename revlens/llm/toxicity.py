@@ -6,12 +6,14 @@ weights are trained from document labels alone; the sentence scores then say
 which sentences offend.
 
 Training reads a bounded, hash-ordered sample of labelled documents
-(``sample`` rows, ``sample_bytes`` of text); scoring reads every whole text.
+(``sample`` rows, ``sample_bytes`` of text, single texts of up to 1/64 of that);
+scoring reads every whole text.
 
 Defined cases: a null or empty text has one empty sentence and a low score;
 equal texts get equal scores; a labelled row with a null label is not trained
 on; without any toxic or any clean label, every score is the share of toxic
-labels (0 without labels); empty tables give empty results; other columns are
+labels (0 without labels); a class that has labelled documents but none in the
+sample is an error; empty tables give empty results; other columns are
 ignored (a stage passes them through).
 """
 
@@ -32,6 +34,7 @@ from .words import _LOWER, Texts, mix, slices
 GRAM = 5
 BUCKETS = 1 << 20
 SAMPLE, SAMPLE_BYTES = 4_000, 16 << 20
+SAMPLE_SHARE = 64     # a training text has at most this part of the bytes
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?\n")] = True
 
@@ -148,16 +151,26 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from at most ``sample`` labelled documents outside the held-out
-    fold, and ``sample_bytes`` of their text."""
+    fold, and ``sample_bytes`` of their text.  A text of more than a
+    ``SAMPLE_SHARE``-th of the bytes is passed over and the next in order taken, so no text ends
+    the sample for those after it."""
     chosen = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-              .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(
-        F.broadcast(chosen), "doc_id")                       # at most ``sample`` rows
-    by_hash = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = rows.withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(by_hash))
-    rows = rows.where(F.col("bytes") <= sample_bytes).limit(sample).select("text", "toxic").collect()
+              .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.withColumn("hash", F.xxhash64("text"))
+    labelled = texts.select("doc_id", "hash", F.octet_length("text").cast("long").alias("size")).join(chosen, "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("hash")]
+    first = (labelled.where(F.col("size") <= sample_bytes // SAMPLE_SHARE).distinct().orderBy(*order).limit(sample)
+             .withColumn("bytes", F.sum("size").over(Window.orderBy(*order)))      # at most ``sample`` rows of numbers
+             .where(F.col("bytes") <= sample_bytes).select("doc_id", "hash", "toxic"))
+    rows = texts.join(F.broadcast(first), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).orderBy(*order)
+    rows = rows.select("text", "toxic").collect()
     texts, toxic = [r["text"] for r in rows], [r["toxic"] for r in rows]
+    if len(set(toxic)) < 2:
+        missing = {r["toxic"] for r in labelled.select("toxic").distinct().collect()} - set(toxic)
+        if missing:
+            raise ValueError(f"labelled documents of class {sorted(missing)} exist, but none is in the training sample "
+                             f"of {len(rows)} documents; raise sample or sample_bytes")
     return fit(pa.array(texts, pa.large_string()), np.array(toxic, dtype=np.int64))
 
 

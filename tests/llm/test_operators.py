@@ -341,6 +341,20 @@ def test_toxicity_learns_from_document_labels(spark, empty):
     assert toxicity.score_documents(docs, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_a_long_text_does_not_end_the_training_sample(spark):
+    from pyspark.sql import functions as F
+    bad, good = "they called him a stupid fool. ", "the weather is mild today. "
+    rows = [(i, (good + bad if i % 3 == 0 else good) * 3, int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    first = df.where(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).first().doc_id
+    long = df.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit(good), 1000)).otherwise(F.col("text")))
+    model = toxicity.train(long, df.select("doc_id", "toxic"), sample_bytes=20_000)
+    score = toxicity.scores(pa.array([good + bad, good]), model)
+    assert score[0] > 0.7 > score[1]
+    with pytest.raises(ValueError):
+        toxicity.train(df, df.select("doc_id", "toxic"), sample_bytes=64)
+
+
 def test_noisy_or_finds_the_sentence():
     bad, good = "they called him a stupid fool.", "the weather is mild today."
     texts = pa.array([f"{good} {bad} {good}" if i % 3 == 0 else f"{good} {good}" for i in range(60)])
