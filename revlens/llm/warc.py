@@ -4,7 +4,9 @@ The writer stores one gzip member per record.  Records with equal payloads are
 found by digest; the one with the largest id is the response, the others are
 revisits that name it.  The reader checks every member; after a damaged one it
 searches for the next gzip header or version line that starts a valid record,
-goes on from there and logs the byte gap.
+goes on from there and logs the byte gap.  Inside a member of several records
+it does the same over the inflated bytes, and it keeps the whole records
+before the place where a member stops inflating or fails its checks.
 
 Defined cases: a null payload is empty; a null url becomes ``urn:page:ID``;
 equal payloads with equal ids (repeated rows) are one response and are each
@@ -156,46 +158,75 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     return headers, data[begin:end], end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at ``at`` and where it ends, if its checks hold."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """The gzip member at ``at`` as far as it inflates, where that ends, and whether its checks hold."""
     d = zlib.decompressobj(31)
     out, k = [], at
     try:
         while not d.eof and k < len(data):
             out.append(d.decompress(data[k:k + _FEED]))
             k += _FEED
-    except zlib.error:
-        return None
-    return (b"".join(out), min(k, len(data)) - len(d.unused_data)) if d.eof else None
+    except zlib.error:     # again up to the failing feed, and that one byte by byte
+        d = zlib.decompressobj(31)
+        out = [d.decompress(data[i:i + _FEED]) for i in range(at, k, _FEED)]
+        try:
+            while k < len(data) and not d.eof:
+                out.append(d.decompress(data[k:k + 1]))
+                k += 1
+        except zlib.error:
+            return b"".join(out), k, False
+    return b"".join(out), min(k, len(data)) - len(d.unused_data), d.eof
+
+
+def _records(inner: bytes, offset: int, size: int) -> Iterator[Read]:
+    """Whole records of inflated bytes; a gap between them has the offset of
+    its member and its size in inflated bytes."""
+    k, gap = 0, None
+    while k < len(inner):
+        if got := _parse(inner, k):
+            if gap is not None:
+                yield Read(offset, k - gap, None, b"")
+                gap = None
+            yield Read(offset, size, got[0], got[1])
+            k = got[2]
+        else:
+            gap = k if gap is None else gap
+            k = inner.find(b"WARC/1.", k + 1)
+            k = len(inner) if k < 0 else k
+    if gap is not None:
+        yield Read(offset, len(inner) - gap, None, b"")
 
 
 def salvage(data: bytes) -> Iterator[Read]:
-    """Records of an archive, and the gaps between them that hold none."""
+    """Records of an archive, and the gaps between them that hold none.  Of a
+    damaged member the whole records before the damage are kept; their digests
+    tell whether they are intact."""
     at, gap = 0, None
+    behind, kept = 0, []      # records kept of a damaged member, and where it stopped inflating
     starts = re.compile(re.escape(_GZIP) + b"|WARC/1\\.")
     while at < len(data):
         found: list[Read] = []
         end = at
         if data.startswith(_GZIP, at):
-            if member := _inflate(data, at):
-                inner, end = member
-                k = 0
-                while k < len(inner) and (got := _parse(inner, k)):
-                    found.append(Read(at, end - at, got[0], got[1]))
-                    k = got[2]
-                if k < len(inner) or not found:
-                    # A valid member with a damaged record: keep what came before.
-                    if found:
-                        if gap is not None:
-                            yield Read(gap, at - gap, None, b"")
-                            gap = None
-                        yield from found
-                    yield Read(at, end - at, None, b"")
-                    at = end
-                    continue
+            inner, stop, whole = _inflate(data, at)
+            found = list(_records(inner, at, stop - at))
+            if not any(r.headers for r in found):
+                found = [Read(at, stop - at, None, b"")] if whole else []
+            if not whole:
+                found = [r for r in found if r.headers]
+                if found:
+                    if gap is not None:
+                        yield Read(gap, at - gap, None, b"")
+                    yield from found
+                    gap, behind, kept = at, stop, [(r.headers, r.block) for r in found]
+                    found = []
+            else:
+                end = stop
         elif got := _parse(data, at):
-            end = got[2]
-            found.append(Read(at, end - at, got[0], got[1]))
+            # Stored (uncompressed) blocks of a damaged member show its records once more.
+            if at >= behind or (got[0], got[1]) not in kept:
+                end = got[2]
+                found.append(Read(at, end - at, got[0], got[1]))
         if found:
             if gap is not None:
                 yield Read(gap, at - gap, None, b"")

@@ -426,6 +426,33 @@ def test_salvage_after_damage(packed):
     assert [r.headers for r in warc.salvage(b"rubbish")] == [None]
 
 
+@pytest.mark.parametrize("damage", ["record", "crc", "end", "block"])
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_inside_one_member(damage, level):
+    import gzip
+    rng = np.random.default_rng(4)
+    parts = [warc.record(i, "http://x", rng.bytes(3000).hex(), "D", None) for i in range(40)]
+    if damage == "record":
+        parts[2] = parts[2].replace(b"Content-Length: ", b"Content-Length: 9", 1)
+    data = gzip.compress(b"".join(parts), level)
+    cut = len(data) // 2
+    if damage == "crc":
+        data = data[:-8] + b"\x00" * 8
+    elif damage == "end":
+        data = data[:cut]
+    elif damage == "block":
+        data = data[:cut] + b"\xff" * 400 + data[cut + 400:]
+    got = list(warc.salvage(data))
+    ids = [int(re.search(r"page:(\d+)", r.headers["warc-record-id"])[1]) for r in got if r.headers]
+    assert any(r.headers is None for r in got) and len(ids) == len(set(ids))
+    if damage == "record":
+        assert ids == [i for i in range(40) if i != 2] and [r.size for r in got if r.headers is None] == [len(parts[2])]
+    elif damage == "crc":
+        assert ids == list(range(40))
+    else:
+        assert ids[:18] == list(range(18))
+
+
 def test_sharding(docs, empty, spark):
     rows = sharding.shard(docs, new_path(spark, "map"), shards=3, slots=64).collect()
     places = collections.defaultdict(list)
