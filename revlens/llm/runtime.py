@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +69,28 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, giving what it held back to the system when the
+    task ends: Python workers live on between tasks and stages."""
+    def with_end(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+    return with_end
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):       # no glibc: nothing to trim
+        pass
+
+
 def task_count(spark: SparkSession) -> int:
     """Partitions that the session gives a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
