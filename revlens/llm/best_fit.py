@@ -138,10 +138,9 @@ def local_bins(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
                 block = []
         if block:
             yield packed()
-        tokenizer(path).forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, node long, bin long, offset long")
+        tidy(run, keep_chunks=True), "doc_id long, piece int, start long, length long, ids_crc32 long, node long, bin long, offset long")
 
 
 def useful(bins: DataFrame, rounds: int, capacity: int) -> DataFrame:

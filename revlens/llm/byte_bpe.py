@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 from array import array
 
+import numpy as np
+
 SPECIAL = "<|endoftext|>"
 # Bound of the looked-up chunks of a worker, by an estimate of their bytes.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 160 << 20
 _ENTRY = 230        # key and value objects and their place in the table
-_tokenizers: dict[str, "ChunkTokenizer"] = {}
+_tokenizers: dict[str, "ChunkTokenizer"] = {}     # of this worker, for its next task of the same kind
 
 
 def default_tokenizer() -> str:
@@ -31,6 +33,9 @@ class ChunkTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)     # ids that begin with a space
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.limit = cache_bytes // 2
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -40,6 +45,16 @@ class ChunkTokenizer:
         return [array("I", e.ids).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part after a space: of all in one text, cut before the
+        ids that begin with a space, since parts hold none."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = np.flatnonzero(self.spaced[ids])
+        if len(at) != len(parts) or at[0] != 0:
+            return self._encode([" " + p for p in parts])
+        raw, ends = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
+        return [raw[a:z] for a, z in zip(ends, ends[1:])]
+
     def _learn(self, new: set[str]) -> None:
         known, older = self.known, self.older
         todo = []
@@ -50,9 +65,9 @@ class ChunkTokenizer:
             else:
                 known[part] = ids
                 self.size += _ENTRY + len(part) + len(ids)
-        for i in range(0, len(todo), 5_000):
-            some = todo[i:i + 5_000]
-            ids = self._encode([" " + p for p in some])
+        for i in range(0, len(todo), 2_000):
+            some = todo[i:i + 2_000]
+            ids = self._encode_parts(some)
             known.update(zip(some, ids))
             self.size += _ENTRY * len(some) + sum(map(len, some)) + sum(map(len, ids))
 
@@ -87,3 +102,9 @@ def tokenizer(path: str) -> ChunkTokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = ChunkTokenizer(path)
     return _tokenizers[path]
+
+
+def forget() -> None:
+    """Drop the chunks of this worker."""
+    for t in _tokenizers.values():
+        t.forget()

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import ship, written
+from .runtime import ship, tidy, written
 from .words import Texts, gram_hashes, inside, mix, set_digests, slices, span_hashes, split
 
 COUNTED = 1 << 17      # words, and shingles, whose counts order the shingles
@@ -148,7 +148,7 @@ def counted_order(texts: DataFrame, rule: Rule) -> Order:
             if held[kind]:
                 yield counted(kind)
 
-    sums = written(texts.select("text").mapInArrow(run, "kind int, h long, n long")
+    sums = written(texts.select("text").mapInArrow(tidy(run), "kind int, h long, n long")
                    .groupBy("kind", "h").agg(F.sum("n").alias("n")), "counts")
     out = []
     for kind in (0, 1):     # two tables of fixed size
@@ -200,7 +200,7 @@ def with_sets(texts: DataFrame, rule: Rule, order: Order) -> DataFrame:
                                               pa.array(bits.reshape(-1).view(np.int64)))],
                     names=["doc_id", "n", "cid", "gid", "prefix", "bits"])
 
-    return texts.mapInArrow(run, "doc_id long, n long, cid long, gid long, prefix array<long>, bits array<long>")
+    return texts.mapInArrow(tidy(run), "doc_id long, n long, cid long, gid long, prefix array<long>, bits array<long>")
 
 
 def whole_sets(texts: DataFrame, rule: Rule) -> DataFrame:
@@ -216,7 +216,7 @@ def whole_sets(texts: DataFrame, rule: Rule) -> DataFrame:
                 right = pa.array(cid == wanted)
                 yield pa.RecordBatch.from_arrays([pa.array(wanted).filter(right), sets.filter(right)], names=["cid", "shingles"])
 
-    return texts.mapInArrow(run, "cid long, shingles array<long>")
+    return texts.mapInArrow(tidy(run), "cid long, shingles array<long>")
 
 
 def _need(rule: Rule, n1: Column, n2: Column) -> Column:

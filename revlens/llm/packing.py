@@ -18,7 +18,6 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,69 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import ship, task_count, written
+from .byte_bpe import ChunkTokenizer, default_tokenizer, tokenizer  # noqa: F401
+from .runtime import ship, task_count, tidy, written
 
 CAPACITY = 2048
 END_ID = 1
-SPECIAL = "<|endoftext|>"
-_CACHE = 1_000_000
-_tokenizers: dict[str, "ChunkTokenizer"] = {}
-
-
-def default_tokenizer() -> str:
-    import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-class ChunkTokenizer:
-    """Ids as little-endian bytes, chunk by chunk.  A single space between two
-    other characters that are no white space always starts a new unit of the
-    tokenizer's pattern, so a text is the sum of its chunks and frequent chunks
-    are looked up.  Texts with other white space next to a space, or with a
-    special token's string, are encoded whole."""
-
-    def __init__(self, path: str) -> None:
-        import os
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The first chunk of each text is encoded, the others, all of which
-        begin with a space, are looked up by what follows it."""
-        heads: list[str] = []
-        tails: list[list[str]] = []
-        new: set[str] = set()
-        known = self.known
-        if len(known) > _CACHE:
-            known.clear()
-        for text in texts:
-            words = text.split()
-            # White space that is single and inside: one more word than such characters.
-            if len(words) < 2 or len(text) - len("".join(words)) + 1 != len(words) or SPECIAL in text:
-                heads.append(text)
-                tails.append([])
-                continue
-            parts = text.split(" ")
-            heads.append(parts.pop(0))
-            tails.append(parts)
-            new.update(set(parts).difference(known))
-        todo = list(new)
-        for i in range(0, len(todo), 20_000):
-            some = todo[i:i + 20_000]
-            known.update(zip(some, self._encode([" " + p for p in some])))
-        return [head + b"".join(map(known.__getitem__, tail)) for head, tail in zip(self._encode(heads), tails)]
-
-
-def tokenizer(path: str) -> ChunkTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = ChunkTokenizer(path)
-    return _tokenizers[path]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -127,7 +68,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
                 yield cut(ids, texts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.col("text").cast("string").alias("text")).mapInArrow(run, fields)
+                       F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, keep_chunks=True), fields)
 
 
 def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -208,7 +149,7 @@ def pack(pieces_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             offset += c * length
         first_sequence += times
     tables = {k: np.array(v, dtype=np.int64) for k, v in uses.items()}
-    shared = spark.sparkContext.broadcast(tables)   # at most capacity patterns, each of few lengths
+    shared = spark.sparkContext.broadcast(tables)   # patterns of few lengths; about capacity times a logarithm of the largest count
     names = ranked.columns
     at_length, at_rank = names.index("length"), names.index("rank")
     ship(spark)
@@ -231,7 +172,7 @@ def pack(pieces_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 names=[n for n in names if n != "rank"] + ["sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInArrow(run, schema + ", sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), schema + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

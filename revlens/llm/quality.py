@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .runtime import ship, written
+from .runtime import ship, tidy, written
 from .words import gram_hashes, inside, mix, slices, span_hashes, split
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -102,7 +102,7 @@ def counted(docs: DataFrame, keep: list[str], text: str = "text", prefix: str =
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in range(len(keep))] + [pa.array(c[x]) for x in COUNTS], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def base_failed(prefix: str = "") -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -69,13 +70,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` for mapInArrow, giving what it held back to the system when the
-    task ends: Python workers live on between tasks and stages."""
-    def with_end(batches: Iterator) -> Iterator:
+def tidy(run: Callable[[Iterator], Iterator], keep_chunks: bool = False) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow in a Python worker that lives on between tasks
+    and stages: what an earlier stage looked up is dropped first (unless this
+    one looks up the same), and freed memory goes back to the system at the end."""
+    def with_ends(batches: Iterator) -> Iterator:
+        chunks = sys.modules.get("revlens.llm.byte_bpe")
+        if chunks is not None and not keep_chunks:
+            chunks.forget()
+            release()
         yield from run(batches)
         release()
-    return with_end
+    return with_ends
 
 
 def release() -> None:

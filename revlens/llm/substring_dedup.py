@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .fm_index import FMIndex
-from .runtime import ship, written
+from .runtime import ship, tidy, written
 from .words import gram_hashes, slices, span_hashes, split
 
 WINDOW, GRAM = 20, 8
@@ -87,7 +87,7 @@ def _routed(named: DataFrame, window: int) -> DataFrame:
                      pa.array((start - w.ptr[doc[start]]).astype(np.int32)), pa.array(count.astype(np.int32))],
                     names=["key", "did", "tid", "start", "n"])
 
-    return named.mapInArrow(run, "key long, did long, tid long, start int, n int")
+    return named.mapInArrow(tidy(run), "key long, did long, tid long, start int, n int")
 
 
 def _cut(joined: DataFrame, window: int) -> DataFrame:
@@ -126,7 +126,7 @@ def _cut(joined: DataFrame, window: int) -> DataFrame:
             if out[0]:
                 yield _batch(out, names)
 
-    return joined.mapInArrow(run, "key long, did long, tid long, start int, n int, words string")
+    return joined.mapInArrow(tidy(run), "key long, did long, tid long, start int, n int, words string")
 
 
 def _batch(out: tuple[list, ...], names: list[str]) -> pa.RecordBatch:
@@ -247,7 +247,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, columns: list[str] |
                     + [pa.array(np.diff(w.ptr)), pa.array(before[w.ptr[1:]] - before[w.ptr[:-1]]),
                        pa.array(kept, pa.binary()).cast(pa.string())], names=names)
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidy(run), schema)
 
 
 def digest(out: DataFrame) -> DataFrame:

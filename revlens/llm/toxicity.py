@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .runtime import ship
+from .runtime import ship, tidy
 from .words import _LOWER, Texts, mix, slices
 
 GRAM = 5
@@ -188,7 +188,7 @@ def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays(b.columns + [pa.array(scores(b.column(at), m))], names=columns + [name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def offending(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -212,7 +212,7 @@ def offending(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
                         names=["doc_id", "start", "score"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, start long, score double")
+        tidy(run), "doc_id long, start long, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
