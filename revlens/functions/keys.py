@@ -3,6 +3,9 @@ numeric conversion; numeric columns pass through unchanged."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -14,6 +17,13 @@ KEY_TYPE = "decimal(28,8)"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` evaluated once, however often ``f`` names it: an
+    expression given to several places is else copied into each of them, by
+    every projection and pushed filter that it passes."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def coerce_numeric_key(df: DataFrame, name: str) -> Column:
     """Expression for column ``name`` coerced to a number (NULL on failure,
     NaN -> NULL).  Text becomes ``KEY_TYPE``; a number that it cannot hold
@@ -23,17 +33,32 @@ def coerce_numeric_key(df: DataFrame, name: str) -> Column:
     c = F.col(name)
     if isinstance(field.dataType, NumericType):
         return F.when(~F.isnan(c.cast("double")), c) if _is_fractional(field.dataType) else c
-    text = F.trim(c.cast("string"))
-    return F.when(text.rlike(_NUMBER), exact_decimal(text, KEY_TYPE, f"key {name}"))
+    return bound(F.trim(c.cast("string")), lambda t: F.when(is_number(t), exact_decimal(t, KEY_TYPE, f"key {name}")))
+
+
+def is_number(text: Column) -> Column:
+    return text.rlike(_NUMBER)
 
 
 def exact_decimal(text: Column, target: str, what: str) -> Column:
     """``text`` as ``target`` decimal; a value that is no number, or that the
     type cannot hold exactly, raises an error naming it."""
-    value, wide = text.try_cast(target), text.try_cast("decimal(38,18)")
-    lossy = text.isNotNull() & (value.isNull() | F.coalesce(wide != value, F.lit(False)))
-    return F.when(lossy, F.raise_error(F.concat(F.lit(f"{what} does not fit {target}: "), text)).cast(target)) \
-        .otherwise(value)
+    error = F.lit(f"{what} does not fit {target}: ")
+    # Plain numbers of few digits are the common case and need no test.
+    return bound(text, lambda t: F.when(t.rlike(plain_number(target)), t.cast(target)).when(
+        t.isNotNull(), bound(t.try_cast(target), lambda value: F.when(
+            inexact(t, value), F.raise_error(F.concat(error, t)).cast(target)).otherwise(value))))
+
+
+def plain_number(target: str) -> str:
+    """Pattern of the numbers without exponent that ``target`` holds exactly."""
+    precision, scale = map(int, re.findall(r"\d+", target))
+    return rf"^[+-]?[0-9]{{1,{precision - scale}}}(\.[0-9]{{1,{scale}}})?$"
+
+
+def inexact(text: Column, value: Column) -> Column:
+    """Whether ``text`` is no number, or not exactly the decimal ``value``."""
+    return text.isNotNull() & (value.isNull() | F.coalesce(text.try_cast("decimal(38,18)") != value, F.lit(False)))
 
 
 def _is_fractional(dt) -> bool:

@@ -2,9 +2,9 @@
 subscribers/additions/churn/revenue/ARPU A5–A9, the year-aligned table J8,
 the lag W11, growth/churn/forecast T1–T5, the long form R6 and rate bands E18.
 
-Plan shape: paid invoices are reduced once to one row per (customer, year)
-with map-side partial aggregation; everything after that works on per-customer
-or per-year tables.  The year-ordered window (lag) runs over the per-year
+Plan shape: paid invoices are read once and reduced to one fixed-width row per
+customer with map-side partial aggregation; everything after that works on
+per-customer or per-year tables.  The year-ordered window (lag) runs over the per-year
 table — as many rows as years — so a single window partition is bounded.
 """
 
@@ -52,27 +52,38 @@ def user_years(invoices: DataFrame) -> DataFrame:
         F.min("date").alias("first_paid"), F.max("date").alias("last_paid"))
 
 
+def customer_years(invoices: DataFrame, years: Sequence[int]) -> DataFrame:
+    """Paid invoices reduced to one fixed-width row per customer: the sum of
+    each year of the range (NULL without a paid invoice) and the first and
+    last paid date."""
+    paid = paid_only(invoices).withColumn("year", F.year("date"))
+    return paid.groupBy("userid").agg(
+        *[F.sum(F.when(F.col("year") == y, _amount())).alias(f"y{y}") for y in years],
+        F.min("date").alias("first_paid"), F.max("date").alias("last_paid"))
+
+
 def annual_cohort(spark: SparkSession, invoices: DataFrame, years: Sequence[int],
                   rounded: bool = True) -> DataFrame:
     """One row per year of the range or of any signup/signoff year —
     subscribers (customers whose year sum is > 0), additions (signups),
     disengagement (signoffs), revenue and ARPU.  Subscribers/revenue/ARPU are
     NULL outside the range, additions/disengagement NULL where none (Q9).
-    ``rounded`` applies the reference's 2-place rounding."""
-    uy = user_years(invoices)
+    ``rounded`` applies the reference's 2-place rounding.
+
+    The invoices are read once: a customer's row is stacked into its years, its
+    signup and its signoff, which the per-year aggregate counts."""
     lo, hi = min(years), max(years)
-    in_range = F.col("year").between(lo, hi)
-    per_user = uy.groupBy("userid").agg(F.min("first_paid").alias("first_paid"),
-                                        F.max("last_paid").alias("last_paid"))
     rng = spark.range(lo, hi + 1).select(F.col("id").cast("int").alias("year"))
     dec = "decimal(38,4)"
-    tidy = (rng.select("year", F.lit("range").alias("k"), F.lit(None).cast(dec).alias("v"))
-            .unionByName(uy.where(in_range).select(F.col("year").cast("int").alias("year"),
-                                                   F.lit("uy").alias("k"), F.col("amount").cast(dec).alias("v")))
-            .unionByName(per_user.select(F.year("first_paid").alias("year"), F.lit("add").alias("k"),
-                                         F.lit(None).cast(dec).alias("v")))
-            .unionByName(per_user.select(F.year("last_paid").alias("year"), F.lit("dis").alias("k"),
-                                         F.lit(None).cast(dec).alias("v")))
+    none = F.lit(None).cast(dec)
+
+    def event(year: Column, kind: str, value: Column) -> Column:
+        return F.struct(year.cast("int").alias("year"), F.lit(kind).alias("k"), value.alias("v"))
+
+    events = [F.when(F.col(f"y{y}").isNotNull(), event(F.lit(y), "uy", F.col(f"y{y}").cast(dec))) for y in range(lo, hi + 1)]
+    events += [event(F.year("first_paid"), "add", none), event(F.year("last_paid"), "dis", none)]
+    stacked = customer_years(invoices, range(lo, hi + 1)).select(F.inline(F.array_compact(F.array(*events))))
+    tidy = (rng.select("year", F.lit("range").alias("k"), none.alias("v")).unionByName(stacked)
             .where(F.col("year").isNotNull()))
     k = F.col("k")
     has_range = F.max(k == "range")

@@ -3,8 +3,8 @@ per-customer keep-first rewrites D2/D3/D4, and the profit table J7.
 
 The keep-first operators of the reference (sort, then drop duplicates) are
 re-expressed as one conditional aggregate per customer; where the reference
-falls back to "the first input row", the feed's row order is made explicit as
-``(date, id)`` and picked with ``min_by``.  All are plain ``groupBy`` with
+falls back to "the first input row", the feed's row order (its place in the CSV
+files, or ``(date, id)`` for tables, which have none) is picked with ``min_by``.  All are plain ``groupBy`` with
 map-side partial aggregation, so a hot customer does not concentrate work.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql.types import DecimalType, IntegralType
 
 from revlens.functions import expr as E
 from revlens.operators.skew import ROWS_COL, attach_key_stats
+from revlens.sources.csv_files import ORDER
 
 
 def _zero():
@@ -33,7 +34,10 @@ def row_order(df: DataFrame):
     one DECIMAL(38,0) key, so that ``min_by`` stays in the hash aggregate:
     date micros * 10^20 + (id + 2^63) for integral ids; for the ids of a text
     feed (``KEY_TYPE``, whose dates are whole days) days * 10^29 + id * 10^8.
-    Any other id type uses the struct ordering."""
+    Any other id type uses the struct ordering.  A feed whose reader gives the
+    place of a row in its files is in that order."""
+    if ORDER in df.columns:
+        return F.col(ORDER)
     id_type = df.schema["id"].dataType
     if id_type == DecimalType(28, 8):
         days = F.coalesce(F.unix_date(F.col("date").cast("date")), F.lit(-(10 ** 8))).cast("decimal(38,0)")

@@ -4,6 +4,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from revlens.functions import expr as E
 from revlens.operators import clean, cohort, customers, finance, forecast, invoices, services
 from revlens.plans.params import DEFAULT, Params
+from revlens.session import ensure_checkpoint_dir
 from revlens.sources import feeds as feeds_mod
 from revlens.sources import exports, tables
+from revlens.sources.csv_files import ORDER
 
 
 class Feeds:
@@ -43,15 +46,35 @@ class Feeds:
         """Customer dimension for per-segment forecast series."""
         return tables.read_table(self.spark, self.sf_dir, "customer")
 
+    def raw_invoices(self) -> DataFrame:
+        return tables.invoice_feed(self.spark, self.sf_dir)
+
     def raw_services(self) -> DataFrame:
         return tables.service_feed(self.spark, self.sf_dir)
 
+    def raw_tickets(self) -> DataFrame:
+        return tables.ticket_feed(self.spark, self.sf_dir)
+
     def typed_feed(self, feed: str) -> DataFrame:
         """One billing export from its text to a cleaned,
         typed feed.  Here the export is the driver's table written as text."""
         raw = exports.EXPORTS[feed](self.spark, self.sf_dir)
         return clean.clean_keys(feeds_mod.text_feed(raw, feed))
 
+    def text_feeds(self) -> dict[str, DataFrame]:
+        """Typed feeds before cleaning, by name."""
+        return {**{n: feeds_mod.text_feed(export(self.spark, self.sf_dir), n) for n, export in exports.EXPORTS.items()},
+                "ticket": tables.ticket_feed(self.spark, self.sf_dir)}
+
+    def faulty_invoices(self) -> DataFrame:
+        """An invoice export as text, with faults in it."""
+        return exports.faulty_invoice_export(self.spark, self.sf_dir)
+
+    def csv_invoices(self) -> DataFrame:
+        """The typed invoices of a folder of CSV files."""
+        folder = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/invoice-csv-{uuid.uuid4().hex}"
+        return feeds_mod.read_feed(self.spark, exports.write_invoice_csv(self.spark, self.sf_dir, folder), "invoice")
+
     # Derived tables shared by many outputs (materialized once by the report runner).
     def service_stats(self) -> DataFrame:
         """A1 rollup per (product, userid), money as exact decimals."""
@@ -72,9 +95,10 @@ class CsvFeeds(Feeds):
 
     def __init__(self, spark: SparkSession, paths: dict[str, str], finance_path: str | None = None,
                  params: Params = DEFAULT, fmt: str = "csv", on_bad_date: str = "raise",
-                 on_bad_money: str = "raise"):
+                 on_bad_money: str = "raise", multi_line: bool = False):
         super().__init__(spark, "", params)
-        self._feeds = feeds_mod.load_feeds(spark, paths, fmt, on_bad_date, on_bad_money)
+        self._feeds = feeds_mod.load_feeds(spark, paths, fmt, on_bad_date, on_bad_money, multi_line)
+        self._paths, self._multi_line = paths, multi_line
         self._finance_path, self._fmt, self._on_bad_money = finance_path, fmt, on_bad_money
 
     def invoices(self) -> DataFrame:
@@ -92,27 +116,46 @@ class CsvFeeds(Feeds):
     def finance(self, **source_filters) -> DataFrame:
         if not self._finance_path:
             raise FileNotFoundError("no finance sheet given")
-        return feeds_mod.read_finance(self.spark, self._finance_path, self._fmt, self._on_bad_money)
+        return feeds_mod.read_finance(self.spark, self._finance_path, self._fmt, self._on_bad_money, self._multi_line)
 
     def customers(self) -> DataFrame | None:
         return None
 
     def typed_feed(self, feed: str) -> DataFrame:
-        return clean.clean_keys(self._feeds[feed])
+        return clean.clean_keys(self._feeds[feed].drop(ORDER))
+
+    def raw_invoices(self) -> DataFrame:
+        return self._feeds["invoice"]
+
+    def raw_tickets(self) -> DataFrame:
+        return self._feeds["ticket"]
+
+    def text_feeds(self) -> dict[str, DataFrame]:
+        return dict(self._feeds)
+
+    def faulty_invoices(self) -> DataFrame:
+        return feeds_mod.read_raw(self.spark, self._paths["invoice"], feeds_mod.FEED_COLUMNS["invoice"], self._fmt,
+                                  self._multi_line)
+
+    def csv_invoices(self) -> DataFrame:
+        return self._feeds["invoice"]
 
 
 def run_on_feeds(feeds: Feeds, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """Build the named outputs (default: all) over one set of feeds."""
-    return {n: _REGISTRY[n](feeds) for n in (names or list(_REGISTRY))}
+    """Build the named outputs (default: all that a report has) over one set of feeds."""
+    return {n: _REGISTRY[n](feeds) for n in (names or [n for n in _REGISTRY if n not in _CHECKS])}
 
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Callable[[Feeds], DataFrame]] = {}
+_CHECKS: set[str] = set()       # queries on the reading itself, not outputs of a report
 
 
-def query(name: str):
+def query(name: str, check: bool = False):
     def deco(fn):
         _REGISTRY[name] = fn
+        if check:
+            _CHECKS.add(name)
         return fn
     return deco
 
@@ -158,6 +201,35 @@ def _q_typed_hosting(f: Feeds):
     return _typed(f, "hosting", ["firstpaymentamount", "recurringamount"])
 
 
+@query("csv_invoices", check=True)
+def _q_csv_invoices(f: Feeds):
+    df = clean.clean_keys(f.csv_invoices())
+    return df.select(F.col("id").cast("bigint").alias("id"), F.col("userid").cast("bigint").alias("userid"), "date", "status",
+                     F.col("total").cast("double").alias("total"))
+
+
+@query("cleaning_counts", check=True)
+def _q_cleaning_counts(f: Feeds):
+    out = None
+    for name, df in f.text_feeds().items():
+        part = clean.cleaning_counts(df).select(F.lit(name).alias("feed"), "rule", "n_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("invoice_rejects", check=True)
+def _q_invoice_rejects(f: Feeds):
+    found = feeds_mod.rejects(feeds_mod.judged_feed(f.faulty_invoices(), "invoice"))
+    return found.select("id", "userid", "date", "status", F.col("total").cast("double").alias("total"), "column", "value", "reason")
+
+
+@query("invoice_sound_rows", check=True)
+def _q_invoice_sound(f: Feeds):
+    df = clean.clean_keys(feeds_mod.sound_rows(feeds_mod.judged_feed(f.faulty_invoices(), "invoice")))
+    return df.select(F.col("id").cast("bigint").alias("id"), F.col("userid").cast("bigint").alias("userid"), "date", "status",
+                     F.col("total").cast("double").alias("total"))
+
+
 @query("paid_invoices_only")
 def _q_paid(f: Feeds):
     return clean.paid_only(f.invoices()).select(

@@ -147,6 +147,35 @@ FROM orders WHERE {valid.format(k='o_orderkey')}"""
   CASE WHEN l_linestatus = 'O' THEN 'Active' WHEN l_returnflag = 'N' THEN 'Completed' ELSE 'Cancelled' END AS status
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 WHERE l_partkey % 3 = 1 AND {valid.format(k='l_orderkey')}"""
+    q["csv_invoices"] = W("inv") + (
+        "SELECT id, userid, CASE WHEN id % 2 = 0 THEN date_trunc('day', date) END AS date, status, "
+        "CAST(total AS DOUBLE) AS total FROM inv")
+    dirty = ("CASE WHEN {k} % 11 = 2 THEN 'null id' WHEN {k} % 11 IN (3, 4) THEN 'id is no number' "
+             "WHEN o_custkey % 7 = 0 THEN 'userid is no number' WHEN o_custkey % 7 = 1 THEN 'zero userid' ELSE 'kept' END")
+    q["cleaning_counts"] = f"""SELECT feed, rule, count(*) AS n_rows FROM (
+  SELECT 'invoice' AS feed, {dirty.format(k='o_orderkey')} AS rule FROM orders
+  UNION ALL SELECT 'hosting', {dirty.format(k='l_orderkey')} FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    WHERE l_partkey % 3 = 1
+  UNION ALL SELECT 'ticket', CASE WHEN event_id IS NULL THEN 'null id' WHEN user_id IS NULL THEN 'null userid'
+    WHEN user_id = 0 THEN 'zero userid' ELSE 'kept' END FROM events WHERE event_type = 'error')
+GROUP BY feed, rule"""
+    faulty = """WITH raw AS (
+  SELECT CASE WHEN o_orderkey % 31 = 0 THEN o_orderkey || '.123456789' ELSE o_orderkey::VARCHAR END AS id,
+    o_custkey::VARCHAR AS userid, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS day, o_orderkey AS n,
+    CASE o_orderstatus WHEN 'F' THEN 'Paid' WHEN 'O' THEN 'Unpaid' WHEN 'P' THEN 'Cancelled' END AS status,
+    CAST(o_totalprice AS DECIMAL(18,2)) AS amount
+  FROM orders),
+judged AS (
+  SELECT *, CASE WHEN n % 19 <> 0 THEN day END AS date,
+    CASE WHEN n % 23 <> 0 AND n % 29 <> 0 THEN CAST(amount AS DOUBLE) END AS total FROM raw)
+"""
+    q["invoice_rejects"] = faulty + """SELECT id, userid, date, status, total, 'id' AS column, id AS value,
+  'does not fit decimal(28,8)' AS reason FROM judged WHERE n % 31 = 0
+UNION ALL SELECT id, userid, date, status, total, 'date', '2000-13-45', 'is no date (yyyy-M-d)' FROM judged WHERE n % 19 = 0
+UNION ALL SELECT id, userid, date, status, total, 'total', CASE WHEN n % 23 = 0 THEN 'abc' ELSE amount || '567' END,
+  'does not fit decimal(18,4)' FROM judged WHERE n % 23 = 0 OR n % 29 = 0"""
+    q["invoice_sound_rows"] = faulty + """SELECT n AS id, CAST(userid AS BIGINT) AS userid, date, status, total FROM judged
+WHERE n % 31 <> 0 AND n % 19 <> 0 AND n % 23 <> 0 AND n % 29 <> 0 AND userid <> '0'"""
     q["paid_invoices_only"] = W("inv") + (
         "SELECT id, userid, date, CAST(total AS DOUBLE) AS total FROM inv WHERE status = 'Paid'")
     for name, prod in [("domain_status", "domain"), ("hosting_status", "hosting"),

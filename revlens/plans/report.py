@@ -14,8 +14,11 @@ from __future__ import annotations
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from revlens.operators import clean
+from revlens.operators.services import with_final_status
 from revlens.plans.catalog import Feeds, run_on_feeds
 from revlens.session import ensure_checkpoint_dir
 from revlens.sources.feeds import write_result
@@ -29,6 +32,7 @@ class MaterializedFeeds(Feeds):
         super().__init__(base.spark, base.sf_dir, base.p)
         self._base = base
         self._done: dict[str, DataFrame] = {}
+        self._seen: dict[str, Observation] = {}
         self._folder = f"{ensure_checkpoint_dir(base.spark).rstrip('/')}/report-{uuid.uuid4().hex}"
 
     def _materialize(self, name: str, build) -> DataFrame:
@@ -38,17 +42,43 @@ class MaterializedFeeds(Feeds):
             self._done[name] = self.spark.read.schema(df.schema).parquet(path)
         return self._done[name]
 
+    def _cleaned(self, name: str, raw: DataFrame) -> DataFrame:
+        """The cleaned feed, with its rows counted by rule as it is written."""
+        df, self._seen[name] = clean.clean_keys_observed(raw, name)
+        return df
+
+    def cleaning(self) -> list[tuple[str, str, int]]:
+        """Feed, rule and rows of every feed written so far; ``rows`` came in,
+        ``kept`` went out, the others are the rows that each rule dropped."""
+        return [(name, rule, n) for name, seen in self._seen.items() for rule, n in seen.get.items()]
+
     def invoices(self) -> DataFrame:
-        return self._materialize("invoices", self._base.invoices)
+        return self._materialize("invoices", lambda: self._cleaned("invoices", self._base.raw_invoices()))
 
     def services(self) -> DataFrame:
-        return self._materialize("services", self._base.services)
+        return self._materialize("services", lambda: with_final_status(
+            self._cleaned("services", self._base.raw_services()), self.p.as_of))
+
+    def raw_invoices(self) -> DataFrame:
+        return self._base.raw_invoices()
 
     def raw_services(self) -> DataFrame:
         return self._base.raw_services()   # one reader
 
+    def raw_tickets(self) -> DataFrame:
+        return self._base.raw_tickets()
+
+    def text_feeds(self) -> dict[str, DataFrame]:
+        return self._base.text_feeds()
+
+    def faulty_invoices(self) -> DataFrame:
+        return self._base.faulty_invoices()
+
+    def csv_invoices(self) -> DataFrame:
+        return self._base.csv_invoices()
+
     def tickets(self) -> DataFrame:
-        return self._materialize("tickets", self._base.tickets)
+        return self._materialize("tickets", lambda: self._cleaned("tickets", self._base.raw_tickets()))
 
     def finance(self, **source_filters) -> DataFrame:
         return self._materialize("finance", self._base.finance)
@@ -74,7 +104,8 @@ def run_report(feeds: Feeds, out_dir: str, names: list[str] | None = None,
     The shared tables are written first (in this thread); the writes are
     then submitted as concurrent Spark jobs from ``parallel_jobs`` driver
     threads, so small outputs overlap their scheduling instead of queueing.
-    Nothing but job handles passes through the driver."""
+    Nothing but job handles passes through the driver.  How many rows each
+    cleaning rule dropped is written as ``_cleaning`` (feed, rule, n_rows)."""
     shared = MaterializedFeeds(feeds)
     outputs = run_on_feeds(shared, names)
 
@@ -84,6 +115,34 @@ def run_report(feeds: Feeds, out_dir: str, names: list[str] | None = None,
         return name
 
     if parallel_jobs <= 1:
-        return [write(item) for item in outputs.items()]
-    with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
-        return list(pool.map(write, outputs.items()))
+        done = [write(item) for item in outputs.items()]
+    else:
+        with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
+            done = list(pool.map(write, outputs.items()))
+    counts = feeds.spark.createDataFrame(shared.cleaning(), "feed string, rule string, n_rows long")
+    write_result(counts.coalesce(1), f"{out_dir.rstrip('/')}/_cleaning", mode)
+    return done
+
+
+MANIFEST = "manifest"
+
+
+def publish_report(feeds: Feeds, out_dir: str, names: list[str] | None = None, parallel_jobs: int = 4) -> str:
+    """A report that its readers see as a whole: all outputs go to a folder of
+    their own, and one manifest row, written last, makes it the current one.  A
+    run that dies half way leaves no row, so the former outputs stay current."""
+    run = uuid.uuid4().hex
+    out_dir = out_dir.rstrip("/")
+    done = run_report(feeds, f"{out_dir}/run-{run}", names, "errorifexists", parallel_jobs)
+    row = feeds.spark.createDataFrame([(run, done)], "run string, outputs array<string>")
+    write_result(row.withColumn("published", F.current_timestamp()).coalesce(1), f"{out_dir}/{MANIFEST}", "append")
+    return run
+
+
+def read_published(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
+    """Output ``name`` of the report published last."""
+    out_dir = out_dir.rstrip("/")
+    last = spark.read.parquet(f"{out_dir}/{MANIFEST}").orderBy(F.desc("published"), F.desc("run")).first()
+    if name not in last["outputs"]:
+        raise KeyError(f"the current report has no output {name!r}")
+    return spark.read.parquet(f"{out_dir}/run-{last['run']}/{name}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from datetime import datetime
 
 from pyspark.sql import SparkSession
@@ -39,22 +40,25 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+_own_folders: dict[str, str] = {}       # of local applications without the setting
+
+
 def ensure_checkpoint_dir(spark: SparkSession, local_dir: str | None = None) -> str:
-    """Return the checkpoint directory the cluster names in
-    ``spark.checkpoint.dir`` and register it with the context.  A session of a
-    local master without that setting can be given ``local_dir``; otherwise an
-    unset directory is an error, as a machine-local folder would not survive
-    the loss of an executor."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    if local_dir is None or not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
-    spark.conf.set("spark.checkpoint.dir", local_dir)
-    spark.sparkContext.setCheckpointDir(local_dir)
-    return local_dir
+    """The folder the cluster names in ``spark.checkpoint.dir``, registered with
+    the context.  Where that is unset, a local session uses ``local_dir``, or
+    a folder of its own (tests), for all of its life; on a cluster it is an
+    error, as a machine-local folder would not survive the loss of an executor."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
+        app = context.applicationId
+        if local_dir is not None or app not in _own_folders:
+            _own_folders[app] = local_dir or tempfile.mkdtemp(prefix="revlens-checkpoint-")
+        folder = _own_folders[app]
+    context.setCheckpointDir(folder)
+    return folder
 
 
 def recommended_shuffle_partitions(input_bytes: int, target_bytes: int = 256 << 20,

@@ -63,3 +63,35 @@ def hosting_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EXPORTS = {"invoice": invoice_export, "hosting": hosting_export}
+
+
+def faulty_invoice_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The invoice export with faults that typing cannot take: dates that are
+    none, money that is no number or has too many places, ids with more places
+    than a key holds.  A row can have several."""
+    inv = tables.invoice_feed(spark, sf_dir).select("id", "userid", "date", "status", "total")
+    n = F.col("id")
+
+    def text(c: str) -> Column:
+        return F.col(c).cast("string")
+
+    return inv.select(
+        F.when(n % 31 == 0, F.concat(text("id"), F.lit(".123456789"))).otherwise(text("id")).alias("id"),
+        text("userid").alias("userid"),
+        F.when(n % 19 == 0, F.lit("2000-13-45")).otherwise(_date_text(F.col("date"), "")).alias("date"), "status",
+        F.when(n % 23 == 0, F.lit("abc")).when(n % 29 == 0, F.concat(text("total"), F.lit("567"))).otherwise(text("total")).alias("total"))
+
+
+def write_invoice_csv(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """The invoices as CSV files of two headers: the files of odd ids list
+    their columns in another order and have no date.  The notes hold quotes
+    and commas."""
+    inv = tables.invoice_feed(spark, sf_dir).select(
+        F.col("id").cast("string").alias("id"), F.col("userid").cast("string").alias("userid"),
+        _date_text(F.col("date"), "NULL").alias("date"), "status", F.col("total").cast("string").alias("total"),
+        F.concat(F.lit('Pa "'), F.col("id"), F.lit('", id')).alias("notes"))
+    odd = F.pmod(F.col("id").cast("bigint"), F.lit(2)) == 1
+    for part, columns in ((inv.where(~odd), ["id", "userid", "date", "status", "total", "notes"]),
+                          (inv.where(odd), ["notes", "userid", "total", "id", "status"])):
+        part.select(*columns).write.mode("append").options(header="true", escape='"').csv(folder)
+    return folder

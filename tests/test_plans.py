@@ -10,6 +10,7 @@ from conftest import SF_SMALL
 FULL_WIDTH = {"lineitem": 11, "orders": 6, "events": 6, "part": 6, "customer": 5}
 # The Holt-Winters fit gathers each series' yearly points (collect_list) and picks the best
 # grid point with a struct-ordered min_by; both run on (series x 125) rows after aggregation.
+ORDER_COLUMNS = {"o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice"}   # of 6
 SMALL_TABLE_AGGREGATES = {"hw_forecast", "hw_fitted", "growth_projection"}
 
 
@@ -55,3 +56,19 @@ def test_annual_kpis_read_no_tickets(spark):
     for name in ("annual_metric_table", "acquisition_cost"):
         plan = catalogue()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "events.parquet" not in plan, name
+
+
+def test_cohort_reads_the_invoices_once(spark):
+    """One orders scan, of the columns that cleaning and the cohort need."""
+    metrics = [n for n, q in catalogue().items() if n.startswith(("yearly_", "cohort_", "annual_cohort", "lagged_", "rate_bands"))]
+    for name in ["annual_cohort", "cohort_forecast", *metrics]:
+        plan = catalogue()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        scans = re.findall(r"FileScan parquet \[([^\]]*)\].*?/orders\.parquet\]", plan)
+        assert [{c.split("#")[0] for c in x.split(",")} <= ORDER_COLUMNS for x in scans] == [True], (name, scans)
+
+
+def test_typing_text_does_not_copy_its_expressions(spark):
+    """A key's text is evaluated once in the projection and once in the filter."""
+    for name in ("typed_invoices", "typed_hosting"):
+        plan = catalogue()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(plan) < 14_000 and plan.count("raise_error") <= 8, (name, len(plan), plan.count("raise_error"))
