@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import default_tokenizer, tokenizer
+from .byte_bpe import CACHE_BYTES, default_tokenizer, tokenizer
 from .runtime import ship, tidy, written
 
 CAPACITY = 2048
@@ -91,7 +91,8 @@ class Bins:
         return bin_, self.capacity - room
 
 
-def local_bins(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def local_bins(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID,
+               cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """The pieces of all texts with ``node`` (their partition), ``bin`` and
     ``offset`` in it."""
     ship(docs.sparkSession)
@@ -101,7 +102,7 @@ def local_bins(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
         ids, texts, size = [], [], 0
 
         def cut() -> Iterator[tuple[int, int, int, int, int]]:
-            for doc_id, raw in zip(ids, tokenizer(path).ids(texts)):
+            for doc_id, raw in zip(ids, tokenizer(path, cache_bytes).ids(texts)):
                 raw += end
                 for k, (s, n) in enumerate(cuts(len(raw) // 4, capacity)):
                     yield doc_id, k, s, n, zlib.crc32(memoryview(raw)[4 * s:4 * (s + n)])
@@ -169,10 +170,11 @@ def merge(bins: DataFrame, capacity: int) -> DataFrame:
     return up.groupBy("node").applyInArrow(run, "node long, bin long, host long, shift long, fill long")
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
+                   cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Every piece of every text with its place: ``doc_id, piece, start,
     length, ids_crc32, sequence_id, offset``."""
-    pieces = written(local_bins(docs, path or default_tokenizer(), capacity), "best_fit_pieces")
+    pieces = written(local_bins(docs, path or default_tokenizer(), capacity, cache_bytes=cache_bytes), "best_fit_pieces")
     fills = pieces.groupBy("node", "bin").agg(F.sum("length").alias("fill"))
     nodes = (pieces.agg(F.max("node")).first()[0] or 0) + 1
     rounds = 0

@@ -71,36 +71,49 @@ class ChunkTokenizer:
             known.update(zip(some, ids))
             self.size += _ENTRY * len(some) + sum(map(len, some)) + sum(map(len, ids))
 
+    def _apart(self, text: str) -> bool:
+        """Whether all white space in a text is single and inside."""
+        if text.isprintable():              # no white space but spaces
+            return bool(text) and "  " not in text and text[0] != " " and text[-1] != " " and " " in text
+        words = text.split()
+        return len(words) > 1 and len(text) - len("".join(words)) + 1 == len(words)
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """The first chunk of each text is encoded, the others, all of which
         begin with a space, are looked up by what follows it."""
-        heads: list[str] = []
-        tails: list[list[str]] = []
-        new: set[str] = set()
         if self.size > self.limit:
             self.known, self.older, self.size = {}, self.known, 0
         known = self.known
+        heads: list[str] = []
+        tails: list[list] = []              # ids of each chunk, or the chunk itself where they are not known yet
+        new: set[str] = set()
+        unknown: list[int] = []
         for text in texts:
-            words = text.split()
-            # White space that is single and inside: one more word than such characters.
-            if len(words) < 2 or len(text) - len("".join(words)) + 1 != len(words) or SPECIAL in text:
+            if SPECIAL in text or not self._apart(text):
                 heads.append(text)
                 tails.append([])
                 continue
             parts = text.split(" ")
             heads.append(parts.pop(0))
-            tails.append(parts)
-            new.update(set(parts).difference(known))
+            found = list(map(known.get, parts))
+            if None in found:
+                found = [p if i is None else i for p, i in zip(parts, found)]
+                new.update([p for p in found if p.__class__ is str])
+                unknown.append(len(tails))
+            tails.append(found)
         self._learn(new)
-        return [head + b"".join(map(known.__getitem__, tail)) for head, tail in zip(self._encode(heads), tails)]
+        for t in unknown:
+            tails[t] = [known[p] if p.__class__ is str else p for p in tails[t]]
+        return [head + b"".join(tail) for head, tail in zip(self._encode(heads), tails)]
 
     def forget(self) -> None:
         self.known, self.older, self.size = {}, {}, 0
 
 
-def tokenizer(path: str) -> ChunkTokenizer:
+def tokenizer(path: str, cache_bytes: int = CACHE_BYTES) -> ChunkTokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = ChunkTokenizer(path)
+    _tokenizers[path].limit = cache_bytes // 2
     return _tokenizers[path]
 
 

@@ -25,23 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import ChunkTokenizer, default_tokenizer, tokenizer  # noqa: F401
+from .byte_bpe import CACHE_BYTES, ChunkTokenizer, default_tokenizer, tokenizer  # noqa: F401
 from .runtime import ship, task_count, tidy, written
 
 CAPACITY = 2048
 END_ID = 1
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False,
+           cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``) of the
-    pieces of every text."""
+    pieces of every text.  A worker keeps ``cache_bytes`` of looked-up chunks."""
     ship(docs.sparkSession)
     fields = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def cut(doc_ids: list, texts: list[str]) -> pa.RecordBatch:
         out: tuple[list, ...] = ([], [], [], [], [], [])
-        for doc_id, ids in zip(doc_ids, tokenizer(path).ids(texts)):
+        for doc_id, ids in zip(doc_ids, tokenizer(path, cache_bytes).ids(texts)):
             ids += end
             n = len(ids) // 4
             for s in range(0, n, capacity):
@@ -175,8 +176,9 @@ def pack(pieces_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(tidy(run), schema + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
+                   cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Every piece of every document with its place: ``doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset``."""
-    stored = written(pieces(docs, path or default_tokenizer(), capacity), "pieces")
+    stored = written(pieces(docs, path or default_tokenizer(), capacity, cache_bytes=cache_bytes), "pieces")
     return pack(stored, capacity).withColumn("length", F.col("length").cast("long"))

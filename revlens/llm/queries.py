@@ -13,6 +13,8 @@ from . import (best_fit, chat, fingerprints, merkle, ngram_join, packing, period
 from .runtime import new_path
 
 _B = {}
+# Looked-up chunks of a worker where a query does nothing but tokenize and pack.
+CHUNK_BYTES = 320 << 20
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -31,7 +33,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.pack_documents(table(spark, sf_dir, "documents"))
+    out = packing.pack_documents(table(spark, sf_dir, "documents"), cache_bytes=CHUNK_BYTES)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -143,7 +145,7 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = best_fit.pack_documents(table(spark, sf_dir, "documents"))
+    out = best_fit.pack_documents(table(spark, sf_dir, "documents"), cache_bytes=CHUNK_BYTES)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
