@@ -51,9 +51,8 @@ def main():
           "re-planning; shuffles counted once per distinct exchange).\n")
     print("How to read it: the broadcasts in the service queries are the orders side of lineitem ⋈ orders "
           "(chosen by Spark's own size check; at scale it becomes a sort-merge join) and the hot-key list "
-          "of the salted lookup (a top-1000 limit, the only explicit broadcast). Service queries read "
-          "lineitem in up to three pruned projections (hot-key counts, min-date statistics, rows; see "
-          "README, known limit). Aggregates are hash-based except the Holt-Winters pick over series x "
+          "of the salted lookup (fewer than 1000 keys by arithmetic). Row-level service queries read lineitem "
+          "twice (statistics, rows), rollups once, the cohort reads orders once. Aggregates are hash-based except the Holt-Winters pick over series x "
           "grid rows. No plan contains a cartesian product, nested-loop join or Python evaluation "
           "(checked by tests/test_plans.py).\n")
     print("| query | shuffles | broadcasts | joins | aggregates | parquet scans (table: columns read, pushed filters) |")
