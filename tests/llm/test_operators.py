@@ -483,7 +483,7 @@ def test_slot_map_versions_and_rebalancing(spark):
 def test_queries_equal_their_sql(spark):
     import duckdb
     con = duckdb.connect()
-    for t in ("conversations", "pages"):
+    for t in ("conversations", "documents", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, SF_SMALL).toPandas().astype(object)
