@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import ship, tidy, written
+from .runtime import plainly_named, ship, tidy, written
 from .words import Texts, gram_hashes, inside, mix, set_digests, slices, span_hashes, split
 
 COUNTED = 1 << 17      # words, and shingles, whose counts order the shingles
@@ -326,9 +326,13 @@ def join_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group, one row per
-    id, with the same columns; a row without an id stays."""
-    kept = join_documents(docs, rule).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """The rows of ``docs`` whose id is the least of its group, with the same
+    columns; of rows equal in id and text one stays.  Different texts under one
+    id stay or go together, as groups are known by id; a row without an id has
+    none, so of those only copies of the text go."""
+    rows, renamed = plainly_named(docs, ("doc_id", "text"))
+    kept = join_documents(rows, rule).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = written(kept, "kept")
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    stay = rows.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*rows.columns)
+    stay = stay.unionByName(rows.where("doc_id is null")).withColumn("__text", F.xxhash64("text"))
+    return renamed(stay.dropDuplicates(["doc_id", "__text"]))

@@ -3,7 +3,8 @@
 Rules on counts of a text vote good (1), bad (-1) or abstain (0).  The votes
 are counted by pattern; expectation maximisation over the pattern counts (at
 most 3 to the number of rules) estimates how each rule votes on good and on bad
-documents, and a document is kept when the posterior probability of being good
+documents: a rule that blames much and alone is overruled, one that blames
+little or agrees with others is believed.  A document is kept when the posterior probability of being good
 is at least a half.  No labels are read.
 
 Defined cases: a null text has no words; texts without words fail the base
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .runtime import ship, tidy, written
+from .runtime import plainly_named, ship, tidy, written
 from .words import gram_hashes, inside, mix, slices, span_hashes, split
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -137,55 +138,68 @@ def vote_pattern(prefix: str = "") -> Column:
 
 
 N_RULES = 4
-# Prior chance of a bad vote on good (1) and on bad (0) documents, and of a good
-# document.  Priors weigh a share of all documents, so they act alike at every
-# size: a rule hardly ever blames a good document, and a defect shows in few rules.
-_BLAME = {1: 0.002, 0: 0.4}
-_BLAME_WEIGHT = {1: 1.0, 0: 0.05}
-_GOOD, _GOOD_WEIGHT = 0.85, 0.2
-
-
-def fit(patterns: dict[int, int], rounds: int = 200) -> dict[int, float]:
+# What is known before the votes are seen.  A poor document has one defect, which
+# its own rule shows; one kind of defect is expected in about this share of all
+# documents, with the weight of as many documents as there are, so the model acts
+# alike at every size.  A rule that alone blames more than twice that share is
+# therefore overruled, unless other rules agree with it.
+_DEFECT, _SHOWN = 0.06, 0.9
+# Chance of a bad vote of a rule that does not show the document's defect, on good
+# (1) and poor (0) documents, held by the weight of a few documents only.
+_BLAME, _BLAME_WEIGHT = {1: 0.002, 0: 0.1}, 10.0
+
+
+def fit(patterns: dict[int, int], rounds: int = 5000) -> dict[int, float]:
     """Posterior probability of a good document for every vote pattern.
 
-    A rule's vote on a class is bad with a chance that is estimated; otherwise
-    it is good or none, with chances estimated around those in the whole corpus."""
+    The classes are the good documents and one per rule, of the documents with
+    the defect that this rule shows.  How often a rule blames documents without its
+    defect, how often it praises the others, and the classes' shares are estimated."""
     votes = np.array(list(product(range(3), repeat=N_RULES)))
     count = np.array([patterns.get(i, 0) for i in range(len(votes))], dtype=float)
     total = max(count.sum(), 1.0)
     seen = np.array([np.bincount(votes[:, r], count, 3) for r in range(N_RULES)])
     praise = (seen[:, 2] + 0.5) / (seen[:, 1] + seen[:, 2] + 1.0)
-    share = _GOOD
+    share = np.array([1 - N_RULES * _DEFECT] + [_DEFECT] * N_RULES)
     blame = {k: np.full(N_RULES, p) for k, p in _BLAME.items()}
     praises = {k: praise.copy() for k in (0, 1)}
-    good = np.zeros(len(votes))
+    shows = np.eye(N_RULES, dtype=bool)
+    member = np.zeros((N_RULES + 1, len(votes)))
     for _ in range(rounds):
-        like = {}
-        for k in (0, 1):
-            chance = np.stack([blame[k], (1 - blame[k]) * (1 - praises[k]), (1 - blame[k]) * praises[k]], axis=1)
-            like[k] = sum(np.log(chance[r][votes[:, r]]) for r in range(N_RULES))
-        odds = like[0] - like[1] + math.log(1 - share) - math.log(share)
-        new = 1 / (1 + np.exp(np.clip(odds, -500, 500)))
-        done, good = np.abs(new - good).max() < 1e-9, new
+        like = np.zeros_like(member)
+        for c in range(N_RULES + 1):
+            k = int(c == 0)
+            bad = blame[k] if k else np.where(shows[c - 1], _SHOWN, blame[k])
+            chance = np.stack([bad, (1 - bad) * (1 - praises[k]), (1 - bad) * praises[k]], axis=1)
+            like[c] = math.log(share[c]) + sum(np.log(chance[r][votes[:, r]]) for r in range(N_RULES))
+        like = np.exp(like - like.max(axis=0))
+        new = like / like.sum(axis=0)
+        done, member = np.abs(new - member).max() < 1e-9, new
         if done:
             break
-        for k, p in ((1, good), (0, 1 - good)):
-            mass = count * p
-            seen = np.array([np.bincount(votes[:, r], mass, 3) for r in range(N_RULES)])
-            w = _BLAME_WEIGHT[k] * total
-            blame[k] = (seen[:, 0] + w * _BLAME[k]) / (mass.sum() + w)
-            praises[k] = (seen[:, 2] + total * praise) / (seen[:, 1] + seen[:, 2] + total)
-        share = float((count @ good + _GOOD_WEIGHT * total * _GOOD) / (total * (1 + _GOOD_WEIGHT)))
-    return {i: float(good[i]) for i in range(len(votes))}
-
-
-def judged(counts: DataFrame, prefix: str = "") -> DataFrame:
-    """``counts`` (a stored table) with ``{prefix}posterior`` and ``{prefix}kept``."""
-    spark = counts.sparkSession
+        mass = member * count
+        for k in (1, 0):
+            # Poor documents tell of a rule's blame where the rule does not show their defect.
+            told = [mass[0] if k else mass[1:][~shows[r]].sum(axis=0) for r in range(N_RULES)]
+            of = np.array([np.bincount(votes[:, r], told[r], 3) for r in range(N_RULES)])
+            blame[k] = (of[:, 0] + _BLAME_WEIGHT * _BLAME[k]) / (of.sum(axis=1) + _BLAME_WEIGHT)
+            praises[k] = (of[:, 2] + total * praise) / (of[:, 1] + of[:, 2] + total)
+        share[1:] = (mass[1:].sum(axis=1) / total + _DEFECT) / 2
+        share[0] = 1 - share[1:].sum()
+    return {i: float(p) for i, p in enumerate(member[0])}
+
+
+def learn(counts: DataFrame, prefix: str = "") -> dict[int, float]:
+    """The model of a table of counts."""
+    seen = counts.groupBy(vote_pattern(prefix).alias("pattern")).count().collect()   # at most 3 ** 4 rows
+    return fit({r["pattern"]: r["count"] for r in seen})
+
+
+def judged(counts: DataFrame, posterior: dict[int, float], prefix: str = "") -> DataFrame:
+    """``counts`` with ``{prefix}base_failed``, ``{prefix}posterior`` and ``{prefix}kept``."""
     p = f"{prefix}pattern"
     voted = counts.withColumn(p, vote_pattern(prefix))
-    seen = {r[p]: r["count"] for r in voted.groupBy(p).count().collect()}   # at most 3 ** 4 rows
-    model = spark.createDataFrame(list(fit(seen).items()), f"`{p}` int, `{prefix}posterior` double")
+    model = counts.sparkSession.createDataFrame(list(posterior.items()), f"`{p}` int, `{prefix}posterior` double")
     failed = base_failed(prefix)
     return (voted.join(F.broadcast(model), p)                               # 81 rows
             .withColumn(f"{prefix}base_failed", failed)
@@ -195,11 +209,14 @@ def judged(counts: DataFrame, prefix: str = "") -> DataFrame:
 def score_quality(docs: DataFrame) -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, ``posterior`` and ``kept`` of
     every document."""
-    return judged(written(counted(docs, ["doc_id"]), "quality_counts"))
+    counts = written(counted(docs, ["doc_id"]), "quality_counts")
+    return judged(counts, learn(counts))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is kept, with the same columns."""
-    columns = docs.columns
-    stored = written(counted(docs, columns, prefix="__q_"), "quality_counts")
-    return judged(stored, "__q_").where("__q_kept").select(*[F.col(f"`{c}`") for c in columns])
+    """The rows of ``docs`` whose text is kept, with the same columns.  The
+    texts are counted twice, for the model and for the verdict, and never stored
+    with their counts."""
+    rows, renamed = plainly_named(docs, ("text",))
+    model = learn(counted(rows, []))
+    return renamed(judged(counted(rows, rows.columns, prefix="__q_"), model, "__q_").where("__q_kept"))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own_folders: dict[str, str] = {}       # of local applications without spark.checkpoint.dir
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -25,8 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
-        found = tempfile.mkdtemp(prefix="revlens-llm-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="revlens-llm-")
+        found = _own_folders[app]
     return found.rstrip("/")
 
 
@@ -97,6 +100,14 @@ def release() -> None:
         pass
 
 
+def plainly_named(docs: DataFrame, known: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns outside ``known`` named by their place, so that
+    no name of theirs (dots and quotes included) meets one of an operator's, and
+    the function that gives a result with all these columns its names back."""
+    names = [c if c in known else f"other_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda out: out.select(*names).toDF(*docs.columns)
+
+
 def task_count(spark: SparkSession) -> int:
     """Partitions that the session gives a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .fm_index import FMIndex
-from .runtime import ship, tidy, written
+from .runtime import plainly_named, ship, tidy, written
 from .words import gram_hashes, slices, span_hashes, split
 
 WINDOW, GRAM = 20, 8
@@ -258,10 +258,11 @@ def digest(out: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the same columns, repeated passages gone from the text;
     untouched texts stay as they are, and ``n_chars``, if there is one, follows."""
-    columns = docs.columns
-    out = without_repeats(docs, window, columns)
+    rows, renamed = plainly_named(docs, ("doc_id", "text", "n_chars"))
+    columns = rows.columns
+    out = without_repeats(rows, window, columns)
     touched = F.col("__n_removed") > 0
     new = {"text": F.when(touched, F.col("__kept")).otherwise(F.col("text"))}
     if "n_chars" in columns:
         new["n_chars"] = F.when(touched, F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns])
+    return renamed(out.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns]))

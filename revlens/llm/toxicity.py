@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .runtime import ship, tidy
+from .runtime import plainly_named, ship, tidy
 from .words import _LOWER, Texts, mix, slices
 
 GRAM = 5
@@ -225,5 +225,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with the same columns."""
-    scored = with_score(docs, train(docs, labels), "__toxicity__")
-    return scored.where(F.col("__toxicity__") < threshold).drop("__toxicity__")
+    rows, renamed = plainly_named(docs, ("doc_id", "text"))
+    return renamed(with_score(rows, train(rows, labels), "__toxicity__").where(F.col("__toxicity__") < threshold))
