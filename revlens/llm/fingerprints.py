@@ -5,7 +5,12 @@ limit (longer runs are rarer); their 128-bit hashes vote on signed bits.  Block
 tables find all fingerprints within a Hamming radius r: every block has an
 allowance of changed bits, and the allowances are so dealt that a pair within
 the radius keeps to that of one block at least; a query looks its block up in
-that table under every change within the allowance, so every pair meets.
+that table under every change within the allowance, so every pair meets.  The
+number of tables follows the number of rows: more rows ask for fewer and wider
+blocks, so that a block's key stays selective.  By the model of ``tables_for``
+with radius 20 a query row costs about 2,600 probes and candidates among 2^18
+rows, 38,000 among 2^24 and 460,000 among 2^30: it grows as about the 0.6th
+power of the rows, not in proportion.
 
 The query's radius ``NEAR`` is the expected distance at Jaccard similarity 0.8
 of the terms, 20 of 128 bits; the default ``RADIUS`` of the functions finds
@@ -40,7 +45,8 @@ TERM, BITS, HEAVIEST = 3, 128, 24
 RADIUS = 3     # nearly exact copies
 SIMILAR = 0.8
 NEAR = math.ceil(BITS * math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi)   # 20; the cosine of sets of Jaccard J is 2J/(1+J)
-TABLES = 7
+TABLES = range(2, 11)
+MASKS = 1 << 20    # most changes that are broadcast, 16 MB
 _SIGN = np.where(np.arange(256)[:, None] >> np.arange(8)[None, :] & 1, 1.0, -1.0)
 
 
@@ -172,13 +178,30 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     return rows.where("not is_last").select(*_RESULT).unionByName(ends)
 
 
-def _allowances(r: int) -> list[int]:
-    """Changed bits allowed in each block.  Each is one more in sum to r + 1,
+def _allowances(r: int, n: int) -> list[int]:
+    """Changed bits allowed in each of n blocks.  Each is one more in sum to r + 1,
     so a pair within r cannot exceed all of them (-1: the block is not used)."""
-    n = max(2, min(TABLES, r + 1))
     return [(r + 1 - n) // n + (i < (r + 1 - n) % n) for i in range(n)]
 
 
+def _probes(r: int, n: int) -> list[tuple[int, int]]:
+    """Width of each used block and the number of changes within its allowance."""
+    return [(hi - lo, sum(math.comb(hi - lo, k) for k in range(a + 1)))
+            for (lo, hi), a in zip(_widths(n), _allowances(r, n)) if a >= 0]
+
+
+def tables_for(rows: int, asked: int, r: int) -> int:
+    """The number of tables with the least work for a query row: its probes,
+    the rows that share a key with one of them (fingerprints of unrelated texts
+    are spread evenly), and its part of the rows' own entries."""
+    def work(n: int) -> float:
+        used = _probes(r, n)
+        return sum(p * (1 + rows / 2 ** w) for w, p in used) + len(used) * rows / max(asked, 1)
+
+    fit = [n for n in TABLES if n <= max(2, r + 1) and sum(p for _, p in _probes(r, n)) <= MASKS]
+    return min(fit, key=work)
+
+
 def _widths(n: int) -> list[tuple[int, int]]:
     edges = [BITS * i // n for i in range(n + 1)]
     return list(zip(edges, edges[1:]))
@@ -201,29 +224,35 @@ def _blocks(n: int) -> list[Column]:
     return out
 
 
-def _changed(block: Column, width: int, allowance: int) -> Column:
-    """The block's number under every change of at most ``allowance`` bits."""
-    masks = [sum(1 << i for i in c) for k in range(allowance + 1) for c in combinations(range(width), k)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return F.transform(F.array(*[F.lit(m) for m in signed]).cast("array<long>"), lambda m: block.bitwiseXOR(m))
+def _changes(r: int, n: int) -> pa.Table:
+    """``block, mask``: every change of a block's number within its allowance."""
+    block, mask = [], []
+    for i, ((lo, hi), a) in enumerate(zip(_widths(n), _allowances(r, n))):
+        masks = [sum(1 << j for j in c) for k in range(a + 1) for c in combinations(range(hi - lo), k)]
+        block += [i] * len(masks)
+        mask += [m - (1 << 64) if m >> 63 else m for m in masks]
+    return pa.table({"block": pa.array(block, pa.int32()), "mask": pa.array(mask, pa.int64())})
 
 
-def within_radius(fps: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+def within_radius(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, tables: int | None = None) -> DataFrame:
     """``lane0, lane1, near_lane0, near_lane1, near_rows``: for every distinct
     fingerprint of ``queries``, all distinct fingerprints of ``fps`` within the
     radius (itself included) and the number of rows that have them.  A pair is
     given by the first table in which it meets."""
-    allowed = _allowances(radius)
+    spark = fps.sparkSession
+    n = tables or tables_for(fps.count(), queries.count(), radius)
+    allowed = _allowances(radius, n)
     edges = _widths(len(allowed))
     numbers = _blocks(len(allowed))
     table = fps.groupBy("lane0", "lane1").agg(F.count(F.lit(1)).alias("near_rows"))
     table = table.select(F.col("lane0").alias("near_lane0"), F.col("lane1").alias("near_lane1"), "near_rows",
                          F.posexplode(F.array(*numbers)).alias("block", "key"))
-    probes = F.array(*[_changed(b, hi - lo, a) for b, (lo, hi), a in zip(numbers, edges, allowed) if a >= 0])
-    # A query row becomes over a thousand probes: rows are dealt out before, and the probes are never broadcast.
-    asked = queries.select("lane0", "lane1").repartition(task_count(fps.sparkSession), "lane0", "lane1").distinct()
-    asked = asked.select("lane0", "lane1", F.posexplode(probes).alias("block", "keys"))
-    asked = asked.select("lane0", "lane1", "block", F.explode("keys").alias("key")).hint("merge")
+    # A query row becomes thousands of probes: rows are dealt out before, and the probes are never broadcast.
+    asked = queries.select("lane0", "lane1").repartition(task_count(spark), "lane0", "lane1").distinct()
+    asked = asked.select("lane0", "lane1", F.posexplode(F.array(*numbers)).alias("block", "own"))
+    masks = F.broadcast(spark.createDataFrame(_changes(radius, n)))        # at most MASKS rows
+    asked = asked.join(masks, "block").select(
+        "lane0", "lane1", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("key")).hint("merge")
     differing = [F.col("lane0").bitwiseXOR(F.col("near_lane0")), F.col("lane1").bitwiseXOR(F.col("near_lane1"))]
 
     def changed(lo: int, hi: int) -> Column:
