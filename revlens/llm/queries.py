@@ -92,7 +92,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), new_path(spark, "slot_map"), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-                      F.lit(None).cast("int").alias("grown_shard"), "vslot")
+                      F.lit(None).cast("int").alias("grown_shard"), "vslot", "version")
 
 
 def planted_periods(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 Every record is hashed into one of ``slots`` virtual slots; bytes and rows are
 aggregated per slot; a versioned slot-to-shard map, stored as Parquet, says
-where a slot lives.  Only that map (one row per slot, a fixed number) is
-balanced on the driver; rebalancing edits the map and moves whole slots.
+where a slot lives.  Its first version deals the slots out in turn, before any
+size is known; rebalancing edits the newest version by the slots' bytes and adds
+the next one, in which whole slots have moved.  Only the map (one row per slot, a
+fixed number) is edited on the driver.
 
 Defined cases: a null text has no bytes; the hash takes id and text, so neither
 a hot id nor a group of copies fills one slot; rows that repeat in full share
@@ -13,14 +15,14 @@ columns are ignored.
 
 from __future__ import annotations
 
-import heapq
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .runtime import written
 
 SLOTS = 4096
+TOLERANCE = 0.0005     # of the mean of a shard's bytes
 MAP_SCHEMA = "version int, vslot int, shard int"
 
 
@@ -39,19 +41,13 @@ def slot_weights(recs: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["vslot"]: (r["size"], r["n"]) for r in rows}
 
 
-def balanced_map(weights: dict[int, tuple[int, int]], shards: int, slots: int = SLOTS) -> list[int]:
-    """Slot-to-shard map: the heaviest slot first, each to the lightest shard."""
-    heap = [(0, 0, s) for s in range(shards)]
-    out = [0] * slots
-    for v in sorted(range(slots), key=lambda v: (-weights.get(v, (0, 0))[0], v)):
-        size, n, s = heapq.heappop(heap)
-        out[v] = s
-        heapq.heappush(heap, (size + weights.get(v, (0, 0))[0], n + 1, s))
-    return out
+def dealt_map(shards: int, slots: int = SLOTS) -> list[int]:
+    """Slot-to-shard map that deals the slots out in turn."""
+    return [v % shards for v in range(slots)]
 
 
 def rebalanced_map(current: list[int], weights: dict[int, tuple[int, int]], shards: int,
-                   tolerance: float = 0.01) -> list[int]:
+                   tolerance: float = TOLERANCE) -> list[int]:
     """``current`` edited for ``shards`` shards: slots of shards that no longer
     exist, and slots of overfull ones, go to the emptiest shard until none is
     over the mean by more than ``tolerance`` or no single move helps."""
@@ -99,23 +95,52 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return table.where(F.col("version") == version)
 
 
+def newest_version(spark: SparkSession, path: str) -> int:
+    """The newest stored version, 0 where there is no map."""
+    try:
+        return spark.read.schema(MAP_SCHEMA).parquet(path).agg(F.max("version")).first()[0] or 0
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+
+
+def rebalance(spark: SparkSession, path: str, weights: dict[int, tuple[int, int]], shards: int,
+              slots: int = SLOTS) -> tuple[int, list[int]]:
+    """The newest version of the stored map after an edit by the bytes of
+    its slots.  Where there is no map yet, the first version is stored before; an
+    edit that moves nothing adds no version."""
+    version = newest_version(spark, path)
+    if not version:
+        version = 1
+        store_map(spark, path, version, dealt_map(shards, slots))
+    stored = {r["vslot"]: r["shard"] for r in load_map(spark, path, version).collect()}   # ``slots`` rows
+    if sorted(stored) != list(range(slots)):
+        raise ValueError(f"the map at {path} has {len(stored)} slots, not {slots}")
+    current = [stored[v] for v in range(slots)]
+    edited = rebalanced_map(current, weights, shards)
+    if edited != current:
+        version += 1
+        store_map(spark, path, version, edited)
+    return version, edited
+
+
 def shard(docs: DataFrame, map_path: str, shards: int = 24, slots: int = SLOTS) -> DataFrame:
-    """``doc_id, size, text_crc32, vslot, shard, slot``: the shard of each row
-    and its place there, gapless from 0.  Places are counted within a virtual
-    slot and moved by the rows of the shard's earlier slots, so no task orders
-    a whole shard."""
+    """``doc_id, size, text_crc32, vslot, shard, slot, version``: the shard of
+    each row by the newest map, its place there, gapless from 0, and that map's
+    version.  Places are counted within a virtual slot and moved by the rows of
+    the shard's earlier slots, so no task orders a whole shard."""
     spark = docs.sparkSession
     recs = written(records(docs, slots), "records")
     weights = slot_weights(recs)
-    shard_of = balanced_map(weights, shards, slots)
-    mapped = store_map(spark, map_path, 1, shard_of)
+    version, shard_of = rebalance(spark, map_path, weights, shards, slots)
     before, base = [0] * shards, []
     for v in range(slots):
         base.append((v, before[shard_of[v]]))
         before[shard_of[v]] += weights.get(v, (0, 0))[1]
     bases = spark.createDataFrame(base, "vslot int, base long")
+    mapped = load_map(spark, map_path, version).join(bases, "vslot")
     within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
     # One row per slot on the map's side, whatever the number of records.
-    return (recs.withColumn("at", F.row_number().over(within) - 1)
-            .join(F.broadcast(mapped.select("vslot", "shard").join(bases, "vslot")), "vslot")
-            .select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("base") + F.col("at")).alias("slot")))
+    return (recs.withColumn("at", F.row_number().over(within) - 1).join(F.broadcast(mapped), "vslot")
+            .select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("base") + F.col("at")).alias("slot"), "version"))
