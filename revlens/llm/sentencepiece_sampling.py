@@ -208,13 +208,19 @@ class Lattice:
         codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(g, n).astype(np.int64)
         weight, piece = self._arcs(codes)
         most = weight.shape[2]
+        # Sums up to each place as logarithms, so that no weight runs out of range.
+        with np.errstate(divide="ignore"):
+            arcs = np.log(weight)
         ahead = np.zeros((g, n + 1))
-        ahead[:, 0] = 1.0
         for e in range(1, n + 1):
-            for k in range(min(e, most)):
-                weight[:, e - 1, k] *= ahead[:, e - 1 - k]
-            ahead[:, e] = weight[:, e - 1].sum(axis=1)
-        share = np.cumsum(weight / ahead[:, 1:, None], axis=2)
+            near = min(e, most)
+            arc = arcs[:, e - 1, :near] + ahead[:, e - near:e][:, ::-1]
+            top = arc.max(axis=1)
+            here = np.exp(arc - top[:, None])
+            total = here.sum(axis=1)
+            weight[:, e - 1, :near] = here / total[:, None]
+            ahead[:, e] = top + np.log(total)
+        share = np.cumsum(weight, axis=2)
         word, place, k = np.nonzero(weight > 0)
         first = self.nodes_used + word * (n + 1)
         self._room(len(word), g * (n + 1))
