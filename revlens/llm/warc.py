@@ -293,7 +293,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 def round_trip(pages: DataFrame, folder: str) -> DataFrame:
     """Write every page as a record, then read the listed archives back,
-    without payloads."""
+    without payloads.  A gap, or a payload that does not have its digest, is an error."""
     listing = write_archives(classified(pages), folder)
     out = read_archives(pages.sparkSession, folder, payloads=False).drop("payload")
-    return out.join(listing.select("file"), "file", "left_semi")
+    out = out.join(listing.select("file"), "file", "left_semi")
+    damage = F.raise_error(F.concat(F.lit("damaged record in "), "file", F.lit(" at byte "), F.col("at").cast("string")))
+    return out.withColumn("page_id", F.when(F.col("digest_ok"), F.col("page_id")).otherwise(damage.cast("long")))
