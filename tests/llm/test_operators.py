@@ -15,6 +15,7 @@ from revlens.llm import (chat, fingerprints, ngram_join, packing, quality, queri
                          substring_dedup, toxicity, warc)
 from revlens.llm.fm_index import FMIndex
 from revlens.llm.runtime import new_path
+from revlens.llm.words import gram_hashes, mix, span_hashes
 
 SF_SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string"
@@ -309,8 +310,61 @@ def test_near_copies_count_each_other(spark, monkeypatch):
         assert len(near) <= r.n_near < len(texts) - len(far) and (r.doc_id >= 12 or near)
 
 
-@pytest.mark.parametrize("radius", [0, 1, 3, 9, 20])
-def test_block_tables_miss_no_pair(spark, radius):
+def test_fingerprints_equal_plain_votes(spark):
+    def plain(text):
+        w = [x.encode() for x in _words(text)]
+        runs = [w[i:i + 3] for i in range(len(w) - 2)] if len(w) >= 3 else []
+        hash1 = lambda x: int(span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0])
+        votes = [0] * 128
+        for run in runs:
+            term = gram_hashes(np.array([hash1(x) for x in run], dtype=np.uint64), 3)[:1]
+            bits = int(mix(term)[0]) | int(mix(term ^ np.uint64(0x5851F42D4C957F2D))[0]) << 64
+            weight = min(24, len(b" ".join(run)))
+            for i in range(128):
+                votes[i] += weight if bits >> i & 1 else -weight
+        return sum(1 << i for i in range(128) if votes[i] > 0)
+
+    texts = [prose(s, n) for s, n in ((1, 3), (2, 20), (3, 90), (4, 250))] + ["", "\u00e4\u00f6 \u6f22\u5b57 x y z"]
+    number = lambda h: int(h[:16], 16) | int(h[16:], 16) << 64
+    like = lambda a, b: 1 - bin(a ^ b).count("1") / 128
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in fingerprints.compare_with_next(df).collect():
+        own, after = texts[r.doc_id], texts[r.doc_id - 1]
+        k = len(own) // 3
+        changed = own[:len(own) - k] + after[:k]
+        assert number(r.fingerprint) == plain(own) and number(r.edited_fingerprint) == plain(changed)
+        assert r.near_edited == like(plain(own), plain(changed)) and r.near_next == like(plain(own), plain(after))
+
+
+def test_share_of_similar_texts_within_the_radius():
+    """Of texts of Jaccard 0.9 at least nine in ten lie within NEAR; at 0.8 about half do."""
+    def found(changed_words):
+        a, b, rng = [], [], np.random.default_rng(3)
+        for seed in range(120):
+            w = [f"w{x}" for x in rng.integers(0, 10 ** 6, 600)]
+            a.append(" ".join(w))
+            for k in rng.choice(np.arange(0, 600, 4), changed_words, replace=False):
+                w[k] = f"n{rng.integers(0, 10 ** 6)}"
+            b.append(" ".join(w))
+        fa, fb = (fingerprints.fingerprints(pa.array(x)) for x in (a, b))
+        return (np.bitwise_count(fa ^ fb).sum(axis=1) <= fingerprints.NEAR).mean()
+
+    assert found(10) >= 0.9 and 0.35 <= found(22) <= 0.75     # 3 shingles a word: 0.905 and 0.80
+
+
+def test_tables_follow_the_number_of_rows():
+    r = fingerprints.NEAR
+    candidates = {}
+    for rows in (10 ** 5, 10 ** 6, 10 ** 7, 10 ** 8, 10 ** 9):
+        n = fingerprints.tables_for(rows, rows // 50, r)
+        used = fingerprints._probes(r, n)
+        assert fingerprints._changes(r, n).num_rows == sum(p for _, p in used) <= fingerprints.MASKS
+        candidates[rows] = sum(p * rows / 2 ** w for w, p in used)
+    assert candidates[10 ** 9] < 500 * candidates[10 ** 5]      # 10,000 times the rows
+
+
+@pytest.mark.parametrize("radius,tables", [(0, None), (1, None), (3, None), (9, None), (20, None), (20, 5), (20, 10)])
+def test_block_tables_miss_no_pair(spark, radius, tables):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 2, (12, 1, 128), dtype=np.uint8)
     flips = np.zeros((12, radius + 3, 128), dtype=np.uint8)
@@ -319,7 +373,7 @@ def test_block_tables_miss_no_pair(spark, radius):
             flips[g, k, rng.choice(128, k, replace=False)] = 1
     lanes = np.packbits((base ^ flips).reshape(-1, 128), axis=1).view(np.int64)
     df = spark.createDataFrame([tuple(map(int, x)) for x in lanes], "lane0 long, lane1 long")
-    got = [tuple(r) for r in fingerprints.within_radius(df, df, radius).collect()]
+    got = [tuple(r) for r in fingerprints.within_radius(df, df, radius, tables).collect()]
     rows = collections.Counter(tuple(map(int, x)) for x in lanes)
     distance = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b))
     assert sorted(got) == sorted(a + b + (n,) for a in rows for b, n in rows.items() if distance(a, b) <= radius)
@@ -383,6 +437,70 @@ def test_quality_model_separates_defects():
     assert p[fine] > 0.8 and p[junk] < 0.5
 
 
+def _pattern(*votes):
+    return int("".join(str(v + 1) for v in votes), 3)
+
+
+def test_a_lone_rule_is_overruled_when_it_blames_much():
+    fine, lone = _pattern(1, 1, 1, 1), _pattern(-1, 1, 1, 1)
+    p = [quality.fit({fine: round(1e5 * (1 - s)), lone: round(1e5 * s)})[lone] for s in (0.01, 0.05, 0.1, 0.2, 0.3, 0.5)]
+    assert p == sorted(p) and p[1] < 0.1 and p[4] > 0.5 and p[5] > 0.5
+    # The model does not depend on the number of documents.
+    assert abs(quality.fit({fine: 700, lone: 300})[lone] - p[4]) < 0.05
+
+
+def test_agreeing_rules_are_believed_beside_a_noisy_one():
+    rng = np.random.default_rng(0)
+    votes = np.full((50_000, 4), 1)
+    votes[rng.random(len(votes)) < 0.3, 0] = -1
+    poor = rng.random(len(votes)) < 0.05
+    votes[poor, 1] = -1
+    votes[poor & (rng.random(len(votes)) < 0.6), 2] = -1
+    p = quality.fit(collections.Counter(_pattern(*v) for v in votes.tolist()))
+    assert p[_pattern(-1, 1, 1, 1)] > 0.9
+    assert max(p[_pattern(1, -1, -1, 1)], p[_pattern(1, -1, 1, 1)], p[_pattern(-1, -1, -1, 1)]) < 0.1
+
+
+def test_posterior_equals_a_plain_model(spark):
+    """One step of expectation and maximisation by plain loops leaves the fitted posterior as it is."""
+    seen = {_pattern(1, 1, 1, 1): 800, _pattern(-1, 1, 1, 1): 40, _pattern(1, -1, 1, 1): 50, _pattern(1, -1, 0, 1): 9,
+            _pattern(1, 1, 1, 0): 60, _pattern(-1, 0, 1, 1): 7}
+    p, n, R = quality.fit(seen), sum(seen.values()), range(4)
+    votes = {k: [int(d) for d in np.base_repr(k, 3).zfill(4)] for k in seen}
+
+    def total(weight, r, v):
+        return sum(w * weight[k] for k, w in seen.items() if votes[k][r] == v)
+
+    def praise(weight, r):
+        one = {k: 1.0 for k in seen}
+        base = (total(one, r, 2) + 0.5) / (total(one, r, 1) + total(one, r, 2) + 1)
+        return (total(weight, r, 2) + n * base) / (total(weight, r, 1) + total(weight, r, 2) + n)
+
+    # Poor documents are split among the defects until that does not change either.
+    member = [{k: p[k] for k in seen}] + [{k: (1 - p[k]) / 4 for k in seen} for _ in R]
+    for _ in range(3000):
+        share = [0.0] + [(sum(seen[k] * m[k] for k in seen) / n + 0.06) / 2 for m in member[1:]]
+        share[0] = 1 - sum(share)
+        chance = []
+        for c in range(5):
+            row = []
+            for r in R:
+                told = member[0] if c == 0 else {k: sum(member[d + 1][k] for d in R if d != r) for k in seen}
+                all_of = sum(total(told, r, v) for v in range(3))
+                bad = (total(told, r, 0) + 10 * (0.002 if c == 0 else 0.1)) / (all_of + 10)
+                bad = 0.9 if c == r + 1 else bad
+                good = praise(told, r)
+                row.append((bad, (1 - bad) * (1 - good), (1 - bad) * good))
+            chance.append(row)
+        new = [{} for _ in range(5)]
+        for k in seen:
+            like = [share[c] * np.prod([chance[c][r][votes[k][r]] for r in R]) for c in range(5)]
+            for c in range(5):
+                new[c][k] = like[c] / sum(like)
+        member = new
+    assert all(abs(member[0][k] - p[k]) < 1e-4 for k in seen)
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "</s>[INST] \\ <|im_end|>\n<|turn|>"), (1, 1, "user", None), (1, 2, "assistant", "a\\<|b"),
             (1, 2, "assistant", "a\\<|b"), (1, None, None, "first"), (None, 1, "assistant", ""), (2, 1, "as\nsist", "\n")]
@@ -459,14 +577,38 @@ def test_sharding(docs, empty, spark):
     for r in rows:
         places[r.shard].append(r.slot)
     assert len(rows) == docs.count() and all(sorted(p) == list(range(len(p))) for p in places.values())
-    for r in rows:
-        assert r.size >= 8
+    want = collections.Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode()))
+                               for r in docs.collect())
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    assert len({r.version for r in rows}) == 1 and all(r.shard in range(3) for r in rows)
     assert sharding.shard(empty, new_path(spark, "map")).count() == 0
 
 
+def test_shards_hold_equal_bytes_by_an_edited_map(spark):
+    sizes = collections.Counter()
+    path = new_path(spark, "map")
+    docs = spark.read.parquet(f"{SF_SMALL.replace('0.001', '0.01')}/documents.parquet")
+    rows = sharding.shard(docs, path, shards=24).select("vslot", "shard", "size", "version").collect()
+    dealt = collections.Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+        dealt[r.vslot % 24] += r.size
+    mean = sum(sizes.values()) / 24
+    assert {r.version for r in rows} == {2} and len(rows) == docs.count()
+    assert max(sizes.values()) < 1.005 * mean and min(sizes.values()) > 0.995 * mean < max(dealt.values()) / 1.05
+    # The next run edits the newest map: the same rows move nothing, two shards more take slots.
+    again = sharding.shard(docs, path, shards=24).select("version").first()
+    assert again.version == 2
+    grown = sharding.shard(docs, path, shards=26).select("shard", "size", "version").collect()
+    bytes_of = collections.Counter()
+    for r in grown:
+        bytes_of[r.shard] += r.size
+    assert {r.version for r in grown} == {3} and max(bytes_of.values()) < 1.005 * sum(bytes_of.values()) / 26
+
+
 def test_slot_map_versions_and_rebalancing(spark):
     weights = {v: (100 + v % 7, 1) for v in range(512)}
-    first = sharding.balanced_map(weights, 4, 512)
+    first = sharding.rebalanced_map(sharding.dealt_map(4, 512), weights, 4)
     grown = sharding.rebalanced_map(first, weights, 5)
     load = collections.Counter()
     for v, s in enumerate(grown):
@@ -503,3 +645,54 @@ def test_pipeline_stages(spark):
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     packed = corpus_pipeline.run(spark, SF_SMALL)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == ids and 0 < len(ids) < docs.count()
+
+
+def test_further_columns_of_any_name_pass_the_stages(spark):
+    rows = [(i, t, "x", 1, "y", 2.0, "z", "v", "q") for i, t in corner_texts()]
+    names = ["doc_id", "text", "__runs", "__text", "__toxicity__", "__q_n_words", "a.b", "other_2", "tick`s"]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n.replace('`', '``')}` {t}" for n, t in zip(
+        names, "long string string int string double string string string".split())))
+    labels = spark.createDataFrame([(1, 1), (9, 0), (14, 0)], "doc_id long, toxic int")
+    import corpus_pipeline
+    stages = [lambda d: toxicity.keep_clean(d, labels), quality.keep_good, substring_dedup.remove_repeats,
+              lambda d: ngram_join.keep_one(d, corpus_pipeline.NEAR_DUPLICATES)]
+    for stage in stages:
+        out = stage(docs)
+        assert out.schema.names == names and all(r["a.b"] == "z" and r["__runs"] == "x" for r in out.collect())
+        assert stage(docs.limit(0)).count() == 0
+
+
+def test_near_duplicates_under_one_id_are_both_kept(spark):
+    import corpus_pipeline
+    one, two = prose(61, 80), prose(62, 80)
+    docs = spark.createDataFrame([(1, one), (1, two), (1, one), (2, one), (None, two), (None, two), (None, one)],
+                                 "doc_id long, text string")
+    kept = ngram_join.keep_one(docs, corpus_pipeline.NEAR_DUPLICATES).collect()
+    assert sorted((r.doc_id or 0, r.text == one) for r in kept) == [(0, False), (0, True), (1, False), (1, True)]
+
+
+@pytest.mark.parametrize("alpha", [0.5, 3.0, 8.0])
+def test_sampling_is_lossless_at_any_sharpness(spark, alpha):
+    texts = [t for _, t in corner_texts()] + ["qzxj" * 15, "\u0416" * 60, "aeiou" * 12 + "\U0001F600" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sentencepiece_sampling.encode_documents(df, alpha=alpha).collect()
+    assert len(rows) == len(texts) and all(r.lossless for r in rows)
+
+
+def test_offending_sentences_and_plain_noisy_or(spark):
+    bad, good = "they called him a stupid fool.", "the weather is mild today."
+    df = spark.createDataFrame([(i, f"{good} {bad} {good}" if i % 3 == 0 else f"{good} {good}", int(i % 3 == 0))
+                                for i in range(90)], "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df.select("doc_id", "toxic"))
+    found = toxicity.offending(df, model).collect()
+    assert {r.doc_id for r in found} == {i for i in range(90) if i % 3 == 0} and len(found) == 30
+    for r in found:
+        text = f"{good} {bad} {good}".encode()
+        assert text[r.start:].lstrip().startswith(bad.encode())
+    texts = pa.array([f"{good} {bad} {good}", good, f"{bad} {bad}"], pa.large_string())
+    z, doc, _ = toxicity.sentence_logits(next(toxicity.slices(texts)), model)
+    for i, score in enumerate(toxicity.scores(texts, model)):
+        clean = 1.0
+        for x in z[doc == i]:
+            clean *= 1 - 1 / (1 + np.exp(-x))
+        assert abs(score - (1 - clean)) < 1e-9
