@@ -50,7 +50,8 @@ def rebalanced_map(current: list[int], weights: dict[int, tuple[int, int]], shar
                    tolerance: float = TOLERANCE) -> list[int]:
     """``current`` edited for ``shards`` shards: slots of shards that no longer
     exist, and slots of overfull ones, go to the emptiest shard until none is
-    over the mean by more than ``tolerance`` or no single move helps."""
+    over the mean by more than ``tolerance`` or neither a move nor a swap of two
+    slots between the fullest and the emptiest helps."""
     out = list(current)
     size = {v: weights.get(v, (0, 0))[0] for v in range(len(out))}
     load = [0] * shards
@@ -68,15 +69,24 @@ def rebalanced_map(current: list[int], weights: dict[int, tuple[int, int]], shar
         a = max(range(shards), key=lambda s: (load[s], -s))
         b = min(range(shards), key=lambda s: (load[s], s))
         fits = [v for v in owned[a] if 0 < size[v] < load[a] - load[b]]
-        if load[a] <= limit or not fits:
+        if load[a] <= limit:
             break
         half = (load[a] - load[b]) / 2
-        v = min(fits, key=lambda v: (abs(size[v] - half), v))
-        owned[a].remove(v)
-        owned[b].add(v)
-        out[v] = b
-        load[a] -= size[v]
-        load[b] += size[v]
+        if fits:
+            moves = [(min(fits, key=lambda v: (abs(size[v] - half), v)), a, b)]
+        else:
+            swaps = [(abs(size[x] - size[y] - half), x, y) for x in owned[a] for y in owned[b]
+                     if 0 < size[x] - size[y] < load[a] - load[b]]
+            if not swaps:
+                break
+            _, x, y = min(swaps)
+            moves = [(x, a, b), (y, b, a)]
+        for v, old, new in moves:
+            owned[old].remove(v)
+            owned[new].add(v)
+            out[v] = new
+            load[old] -= size[v]
+            load[new] += size[v]
     return out
 
 
