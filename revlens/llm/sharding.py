@@ -47,7 +47,7 @@ def dealt_map(shards: int, slots: int = SLOTS) -> list[int]:
 
 
 def rebalanced_map(current: list[int], weights: dict[int, tuple[int, int]], shards: int,
-                   tolerance: float = TOLERANCE) -> list[int]:
+                   tolerance: float = 0.01) -> list[int]:
     """``current`` edited for ``shards`` shards: slots of shards that no longer
     exist, and slots of overfull ones, go to the emptiest shard until none is
     over the mean by more than ``tolerance`` or neither a move nor a swap of two
@@ -128,7 +128,7 @@ def rebalance(spark: SparkSession, path: str, weights: dict[int, tuple[int, int]
     if sorted(stored) != list(range(slots)):
         raise ValueError(f"the map at {path} has {len(stored)} slots, not {slots}")
     current = [stored[v] for v in range(slots)]
-    edited = rebalanced_map(current, weights, shards)
+    edited = rebalanced_map(current, weights, shards, TOLERANCE)
     if edited != current:
         version += 1
         store_map(spark, path, version, edited)
