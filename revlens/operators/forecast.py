@@ -12,7 +12,9 @@ as a Spark plan:
 3. the Holt-Winters recurrences are one ``aggregate`` fold per row, evaluated
    in the JVM; the state carries level, trend, the last ``m`` seasonals, the
    SSE and the one-step fitted values;
-4. ``min_by`` over the SSE picks the grid point per series.
+4. ``min_by`` over the SSE picks the grid point per series;
+5. optionally the same fold runs again on a finer grid around each series' own
+   best point (a zoom), which holds that point, so the SSE never grows.
 
 Start values (textbook): level = mean of the first season, trend =
 (mean of the second season - level) / m, seasonals = first season - level.
@@ -31,6 +33,9 @@ from revlens.functions import expr as E
 from revlens.operators.cohort import user_years
 
 GRID = (0.1, 0.3, 0.5, 0.7, 0.9)
+# Spacing of the first zoom, and how many times finer each further one is: the
+# five points of a zoom reach half a spacing of the grid before it.
+ZOOM_STEP, ZOOM_FACTOR = 0.05, 4
 ALL_SERIES = "ALL"
 
 
@@ -76,10 +81,36 @@ def _fold(ys: Column, m: int) -> Column:
     return F.aggregate(ys, init, step)
 
 
-def holt_winters(series: DataFrame, years: Sequence[int], m: int = 2) -> DataFrame:
+def zoom_offsets(zoom: int) -> list[float]:
+    """Distances of the ``zoom``-th finer grid (from 0) to its centre."""
+    return [k * ZOOM_STEP / ZOOM_FACTOR ** zoom for k in (-2, -1, 0, 1, 2)]
+
+
+def _best(points: DataFrame, m: int) -> DataFrame:
+    """The row of least SSE of each series of ``(series, ys, _alpha, _beta,
+    _gamma)``, with its state ``st``; ties go to the least parameters."""
+    fitted = points.select("series", "ys", "_alpha", "_beta", "_gamma", _fold(F.col("ys"), m).alias("st"))
+    return fitted.groupBy("series").agg(F.min_by(
+        F.struct("ys", "_alpha", "_beta", "_gamma", "st"),
+        F.struct(F.col("st.sse"), "_alpha", "_beta", "_gamma")).alias("fit")).select("series", "fit.*")
+
+
+def _around(best: DataFrame, zoom: int) -> DataFrame:
+    """The points around each series' best one, within 0 to 1."""
+    offsets = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.lit(z).alias("g"))
+                        for x, y, z in product(zoom_offsets(zoom), repeat=3)])
+    inside = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    return (best.select("series", "ys", "_alpha", "_beta", "_gamma", F.explode(offsets).alias("_o"))
+            .select("series", "ys", *[inside(F.col(c) + F.col(f"_o.{o}")).alias(c)
+                                      for c, o in (("_alpha", "a"), ("_beta", "b"), ("_gamma", "g"))]))
+
+
+def holt_winters(series: DataFrame, years: Sequence[int], m: int = 2, zooms: int = 0) -> DataFrame:
     """Fit every series of ``(series, year, y)``; one row per series with the
     chosen parameters, final state and fitted values.  Fewer years than two
-    seasons are an error."""
+    seasons are an error.  After the fixed grid, ``zooms`` finer grids around the
+    best point so far refine it; they add no shuffle, since the rows of a series
+    stay together."""
     years = sorted(years)
     if len(years) < 2 * m:
         raise ValueError(f"{len(years)} years are too few for two seasons of {m}")
@@ -93,12 +124,11 @@ def holt_winters(series: DataFrame, years: Sequence[int], m: int = 2) -> DataFra
                 .select("series", "ys", F.explode(grid).alias("_p"))
                 .select("series", "ys", F.col("_p.a").alias("_alpha"), F.col("_p.b").alias("_beta"),
                         F.col("_p.g").alias("_gamma")))
-    fitted = expanded.select("series", "_alpha", "_beta", "_gamma", _fold(F.col("ys"), m).alias("st"))
-    best = fitted.groupBy("series").agg(F.min_by(
-        F.struct("_alpha", "_beta", "_gamma", "st"),
-        F.struct(F.col("st.sse"), "_alpha", "_beta", "_gamma")).alias("fit"))
-    return best.select("series", F.col("fit._alpha").alias("alpha"), F.col("fit._beta").alias("beta"),
-                       F.col("fit._gamma").alias("gamma"), F.col("fit.st").alias("state"))
+    best = _best(expanded, m)
+    for zoom in range(zooms):
+        best = _best(_around(best, zoom), m)
+    return best.select("series", F.col("_alpha").alias("alpha"), F.col("_beta").alias("beta"),
+                       F.col("_gamma").alias("gamma"), F.col("st").alias("state"))
 
 
 def hw_forecast(fit: DataFrame, last_year: int, m: int = 2, horizon: int = 3,

@@ -524,9 +524,9 @@ def _train_years(f: Feeds):
     return [y for y in f.p.years if y < f.p.partial_year]
 
 
-def _hw_fit(f: Feeds):
+def _hw_fit(f: Feeds, zooms: int = 0):
     series = forecast.revenue_series(f.invoices(), f.customers(), _train_years(f))
-    return forecast.holt_winters(series, _train_years(f), f.p.hw_season)
+    return forecast.holt_winters(series, _train_years(f), f.p.hw_season, zooms)
 
 
 def _hw_forecast(f: Feeds, rounded: bool = True):
@@ -543,6 +543,18 @@ def _q_hw_fitted(f: Feeds):
     return forecast.hw_fitted(_hw_fit(f), _train_years(f))
 
 
+@query("hw_fine_fit")
+def _q_hw_fine_fit(f: Feeds):
+    """Parameters and error of the zoomed fit of each series."""
+    return _hw_fit(f, f.p.hw_zooms).select("series", "alpha", "beta", "gamma",
+                                           E.round_half_even(F.col("state.sse"), 2).alias("sse"))
+
+
+@query("hw_fine_forecast")
+def _q_hw_fine_forecast(f: Feeds):
+    return forecast.hw_forecast(_hw_fit(f, f.p.hw_zooms), max(_train_years(f)), f.p.hw_season, f.p.hw_horizon)
+
+
 @query("growth_projection")
 def _q_growth(f: Feeds):
     return forecast.growth_projection(_hw_forecast(f, rounded=False), f.p.growth_rate, f.p.churn_rate, f.p.projection_years)

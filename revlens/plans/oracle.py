@@ -485,33 +485,23 @@ def holt_winters_statements(p: Params = DEFAULT) -> dict[str, str]:
     train = [y for y in p.years if y < p.partial_year]
     n, lo, hi = len(train), min(train), max(train)
     yrs = ", ".join(f"({i + 1}, {y})" for i, y in enumerate(train))
-    grid = ", ".join(f"({v}::DOUBLE)" for v in (0.1, 0.3, 0.5, 0.7, 0.9))
+    values = lambda vs: ", ".join(f"(CAST('{v!r}' AS DOUBLE))" for v in vs)
+    grid = values((0.1, 0.3, 0.5, 0.7, 0.9))
     one = "1.0::DOUBLE"
-    base = _with(p, "inv").rstrip("\n") + f""",
-uy AS (SELECT userid, CAST(year(date) AS INTEGER) AS year, sum(coalesce(total, 0)) AS amount
-       FROM inv WHERE status = 'Paid' AND year(date) BETWEEN {lo} AND {hi} GROUP BY userid, year(date)),
-ser0 AS (SELECT c.c_mktsegment AS series, u.year, u.amount FROM uy u JOIN customer c ON c.c_custkey = u.userid
-         UNION ALL SELECT 'ALL' AS series, year, amount FROM uy),
-ser1 AS (SELECT series, year, {_r('CAST(sum(amount) AS DOUBLE)', 2)} AS y FROM ser0 GROUP BY series, year),
-yrs AS (SELECT * FROM (VALUES {yrs}) t(idx, year)),
-ser AS (SELECT nm.series, yrs.idx, coalesce(s.y, 0.0::DOUBLE) AS y
-        FROM (SELECT DISTINCT series FROM ser1) nm CROSS JOIN yrs
-        LEFT JOIN ser1 s ON s.series = nm.series AND s.year = yrs.year),
-grid AS (SELECT ga.v AS a, gb.v AS b, gg.v AS g
-         FROM (VALUES {grid}) ga(v), (VALUES {grid}) gb(v), (VALUES {grid}) gg(v)),
-st0 AS (
-  SELECT series, max(CASE WHEN idx = 1 THEN y END) AS y1, max(CASE WHEN idx = 2 THEN y END) AS y2,
-         max(CASE WHEN idx = 3 THEN y END) AS y3, max(CASE WHEN idx = 4 THEN y END) AS y4
-  FROM ser GROUP BY series HAVING count(*) >= 4),
-init AS (
+
+    def fits(points: str, k: str) -> str:
+        """Common table expressions ``init``, ``rec`` and ``best``, named with
+        ``k``, of the fits at the points (series, a, b, g) of a table."""
+        return f"""
+init{k} AS (
   SELECT series, a, b, g, ((0.0::DOUBLE + y1) + y2) / 2.0::DOUBLE AS l0,
          (((0.0::DOUBLE + y3) + y4) / 2.0::DOUBLE - ((0.0::DOUBLE + y1) + y2) / 2.0::DOUBLE) / 2.0::DOUBLE AS b0,
          y1 - ((0.0::DOUBLE + y1) + y2) / 2.0::DOUBLE AS s1, y2 - ((0.0::DOUBLE + y1) + y2) / 2.0::DOUBLE AS s2
-  FROM st0, grid),
-rec AS (
+  FROM st0 JOIN ({points}) USING (series)),
+rec{k} AS (
   SELECT * FROM (
     WITH RECURSIVE r(series, a, b, g, t, l, tr, s1, s2, sse, fitted) AS (
-      SELECT series, a, b, g, 0, l0, b0, s1, s2, 0.0::DOUBLE, []::DOUBLE[] FROM init
+      SELECT series, a, b, g, 0, l0, b0, s1, s2, 0.0::DOUBLE, []::DOUBLE[] FROM init{k}
       UNION ALL
       SELECT r.series, r.a, r.b, r.g, r.t + 1,
              r.a * (x.y - r.s1) + ({one} - r.a) * (r.l + r.tr),
@@ -522,9 +512,25 @@ rec AS (
              list_append(r.fitted, (r.l + r.tr) + r.s1)
       FROM r JOIN ser x ON x.series = r.series AND x.idx = r.t + 1)
     SELECT * FROM r WHERE t = {n})),
-best AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY sse, a, b, g) AS rn FROM rec)
-  WHERE rn = 1),
+best{k} AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY sse, a, b, g) AS rn FROM rec{k})
+  WHERE rn = 1)"""
+    base = _with(p, "inv").rstrip("\n") + f""",
+uy AS (SELECT userid, CAST(year(date) AS INTEGER) AS year, sum(coalesce(total, 0)) AS amount
+       FROM inv WHERE status = 'Paid' AND year(date) BETWEEN {lo} AND {hi} GROUP BY userid, year(date)),
+ser0 AS (SELECT c.c_mktsegment AS series, u.year, u.amount FROM uy u JOIN customer c ON c.c_custkey = u.userid
+         UNION ALL SELECT 'ALL' AS series, year, amount FROM uy),
+ser1 AS (SELECT series, year, {_r('CAST(sum(amount) AS DOUBLE)', 2)} AS y FROM ser0 GROUP BY series, year),
+yrs AS (SELECT * FROM (VALUES {yrs}) t(idx, year)),
+ser AS (SELECT nm.series, yrs.idx, coalesce(s.y, 0.0::DOUBLE) AS y
+        FROM (SELECT DISTINCT series FROM ser1) nm CROSS JOIN yrs
+        LEFT JOIN ser1 s ON s.series = nm.series AND s.year = yrs.year),
+grid AS (SELECT ga.v AS a, gb.v AS b, gg.v AS g
+         FROM (VALUES {grid}) ga(v), (VALUES {grid}) gb(v), (VALUES {grid}) gg(v)),
+st0 AS (
+  SELECT series, max(CASE WHEN idx = 1 THEN y END) AS y1, max(CASE WHEN idx = 2 THEN y END) AS y2,
+         max(CASE WHEN idx = 3 THEN y END) AS y3, max(CASE WHEN idx = 4 THEN y END) AS y4
+  FROM ser GROUP BY series HAVING count(*) >= 4),{fits("SELECT st0.series, grid.* FROM st0, grid", "")},
 steps AS (SELECT * FROM (VALUES {", ".join(f"({h})" for h in range(1, p.hw_horizon + 1))}) t(step)),
 fc AS (
   SELECT series, CAST(step AS INTEGER) AS step, CAST({hi} + step AS INTEGER) AS year,
@@ -537,6 +543,21 @@ fc AS (
         "hw_fitted": base + f"""SELECT series, CAST(year AS INTEGER) AS year, {_r('f', 2)} AS fitted FROM (
   SELECT series, unnest(fitted) AS f, unnest(range({lo}, {hi + 1})) AS year FROM best)""",
     }
+    fine, k = "", ""
+    for zoom in range(p.hw_zooms):
+        near = [f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, q.{c} + o{c}.v)) AS {c}" for c in "abg"]
+        step = values(x * 0.05 / 4 ** zoom for x in (-2, -1, 0, 1, 2))
+        points = (f"SELECT q.series, {', '.join(near)} FROM best{k} q, "
+                  + ", ".join(f"(VALUES {step}) o{c}(v)" for c in "abg"))
+        k = f"_{zoom + 1}"
+        fine += "," + fits(points, k)
+    q["hw_fine_fit"] = base.rstrip() + fine + f"""
+SELECT series, a AS alpha, b AS beta, g AS gamma, {_r('sse', 2)} AS sse FROM best{k}"""
+    q["hw_fine_forecast"] = base.rstrip() + fine + f"""
+SELECT *, '$' || format('{{:,.2f}}', forecast) AS forecast_text FROM (
+  SELECT series, CAST(step AS INTEGER) AS step, CAST({hi} + step AS INTEGER) AS year, {_r("""
+    (l + CAST(step AS DOUBLE) * tr) + CASE WHEN (step - 1) % 2 = 0 THEN s1 ELSE s2 END""", 2)} AS forecast
+  FROM best{k}, steps)"""
     factor = repr(1 + (p.growth_rate - p.churn_rate))
     proj, expr = [], "forecast"
     for k in range(1, p.projection_years + 1):

@@ -24,6 +24,7 @@ class Params:
     projection_years: int = 3
     hw_season: int = 2
     hw_horizon: int = 3
+    hw_zooms: int = 2          # finer grids of hw_fine_fit and hw_fine_forecast
     finance_year: int = 1997
     finance_account: str = "Sales"
     finance_unit: str = "PROMO"

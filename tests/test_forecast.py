@@ -10,9 +10,9 @@ from revlens.operators import forecast
 GRID = (0.1, 0.3, 0.5, 0.7, 0.9)
 
 
-def _loop_fit(ys, m):
+def _loop_fit(ys, m, points=None):
     best = None
-    for a, b, g in product(GRID, GRID, GRID):
+    for a, b, g in points or product(GRID, GRID, GRID):
         level = sum(ys[:m]) / m
         trend = (sum(ys[m:2 * m]) / m - level) / m
         season = [y - level for y in ys[:m]]
@@ -55,6 +55,29 @@ def test_holt_winters_matches_loop(spark):
         forecast.holt_winters(df.where(df.series == "C"), years["C"], m=2)
 
 
+def test_zoomed_fit_matches_loop_and_is_never_worse(spark):
+    series = {"A": [100.0, 140.0, 120.0, 170.0, 150.0, 205.0],
+              "B": [10.0, 30.0, 12.0, 33.0, 11.0, 35.0],
+              "edge": [1.0, 2.0, 3.0, 4.0, 5.0, 6.0],
+              "flat": [7.0] * 6}
+    years = list(range(2000, 2006))
+    rows = [(k, y, v) for k, vs in series.items() for y, v in zip(years, vs)]
+    df = spark.createDataFrame(rows, "series string, year int, y double")
+    fits = [{r.series: r for r in forecast.holt_winters(df, years, 2, zooms).collect()} for zooms in (0, 1, 2)]
+    for name, ys in series.items():
+        want = _loop_fit(ys, 2)
+        for zoom in (0, 1):
+            near = [[min(1.0, max(0.0, c + k * 0.05 / 4 ** zoom)) for k in (-2, -1, 0, 1, 2)] for c in want[1:4]]
+            want = _loop_fit(ys, 2, list(product(*near)))
+            got = fits[zoom + 1][name]
+            assert (got.alpha, got.beta, got.gamma) == want[1:4]
+            assert abs(got.state.sse - want[0]) < 1e-9
+            assert got.state.sse <= fits[zoom][name].state.sse
+    assert fits[2]["A"].state.sse < fits[0]["A"].state.sse
+    fine = [[x / 50 for x in range(51)]] * 3             # a plain search over 132,651 points
+    assert fits[2]["A"].state.sse <= _loop_fit(series["A"], 2, product(*fine))[0] * 1.05
+
+
 def test_growth_projection_truncates_each_year(spark):
     fc = spark.createDataFrame([("ALL", 1, 2001, 1000.7)], "series string, step int, year int, forecast double")
     got = [(r.year, r.projected_revenue) for r in
