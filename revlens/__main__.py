@@ -32,6 +32,7 @@ def _parse(argv=None) -> argparse.Namespace:
     ap.add_argument("--out", required=True, help="output directory (one parquet table per output)")
     ap.add_argument("--names", help="comma-separated output names (default: all available)")
     ap.add_argument("--as-of", help="reference time, e.g. 2024-01-31T12:00:00 (default: params)")
+    ap.add_argument("--store", help="folder of cleaned feeds kept for later runs with unchanged files")
     ap.add_argument("--checkpoint-dir", help="scratch folder of a local run; a cluster sets spark.checkpoint.dir")
     ap.add_argument("--master", help="Spark master for local runs (omit under spark-submit)")
     return ap.parse_args(argv)
@@ -50,7 +51,7 @@ def main(argv=None, spark: SparkSession | None = None) -> list[str]:
     names = args.names.split(",") if args.names else None
     if names is None and isinstance(feeds, CsvFeeds) and not args.finance:
         names = [n for n in query_names() if not n.startswith("finance_")]
-    return run_report(feeds, args.out, names)
+    return run_report(feeds, args.out, names, store=args.store)
 
 
 if __name__ == "__main__":

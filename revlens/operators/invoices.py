@@ -109,13 +109,17 @@ def tickets_by_user(tickets: DataFrame) -> DataFrame:
 
 def profit_by_customer(invoices: DataFrame, tickets: DataFrame,
                        cost_per_ticket: float = 75.0, exact: bool = False) -> DataFrame:
-    """J7 + E12: invoice revenue ⟗ tickets, missing as 0, cost and profit.
+    """J7 + E12 from the raw rows (see ``profit``)."""
+    return profit(invoice_revenue_by_user(invoices, exact), tickets_by_user(tickets), cost_per_ticket, exact)
 
-    Both sides are already hash-partitioned by ``userid`` by their own
-    aggregates, so the full outer join adds no exchange."""
-    rev = invoice_revenue_by_user(invoices, exact)
-    tix = tickets_by_user(tickets)
-    j = rev.join(tix, "userid", "full_outer")
+
+def profit(revenue: DataFrame, tickets: DataFrame, cost_per_ticket: float = 75.0, exact: bool = False) -> DataFrame:
+    """J7 + E12: invoice revenue ⟗ tickets (one row per customer each), missing
+    as 0, cost and profit.
+
+    Both sides are already hash-partitioned by ``userid``, by their own
+    aggregates or in buckets, so the full outer join adds no exchange."""
+    j = revenue.join(tickets, "userid", "full_outer")
     tickets_c = F.coalesce(F.col("tickets"), F.lit(0)).cast("bigint")
     revenue_c = F.coalesce(F.col("revenue"), _zero() if exact else F.lit(0.0))
     cost = tickets_c.cast("double") * F.lit(float(cost_per_ticket))

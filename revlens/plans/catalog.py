@@ -25,6 +25,16 @@ class Feeds:
     def __init__(self, spark: SparkSession, sf_dir: str, params: Params = DEFAULT):
         self.spark, self.sf_dir, self.p = spark, sf_dir, params
 
+    def sources(self, table: str) -> list[str]:
+        """The files that a feed's table is made from."""
+        read = {"invoices": ["orders"], "services": ["lineitem", "orders"], "tickets": ["events"],
+                "finance": ["lineitem", "part"]}
+        return [feeds_mod.table_path(self.sf_dir, t) for t in read[table]]
+
+    def settings(self, table: str) -> dict:
+        """All else that a feed's table depends on."""
+        return {"feeds": type(self).__name__, **({"as_of": self.p.as_of.isoformat()} if table == "services" else {})}
+
     def invoices(self) -> DataFrame:
         return clean.clean_keys(tables.invoice_feed(self.spark, self.sf_dir))
 
@@ -88,6 +98,22 @@ class Feeds:
         """D1/W6 per (product, userid)."""
         return services.user_cost(self.costed())
 
+    def invoice_12m(self) -> DataFrame:
+        """D2 per customer, money as exact decimals."""
+        return invoices.invoice_12m_by_user(self.invoices(), self.p.as_of, exact=True)
+
+    def invoice_revenue(self) -> DataFrame:
+        """D3 per customer, money as exact decimals."""
+        return invoices.invoice_revenue_by_user(self.invoices(), exact=True)
+
+    def ticket_counts(self) -> DataFrame:
+        """W10/D4 per customer."""
+        return invoices.tickets_by_user(self.tickets())
+
+    def profits(self) -> DataFrame:
+        """J7/E12 per customer, money as exact decimals."""
+        return invoices.profit(self.invoice_revenue(), self.ticket_counts(), self.p.cost_per_ticket, exact=True)
+
 
 class CsvFeeds(Feeds):
     """The reference's own inputs: five billing CSV exports (invoice, domain,
@@ -100,6 +126,20 @@ class CsvFeeds(Feeds):
         self._feeds = feeds_mod.load_feeds(spark, paths, fmt, on_bad_date, on_bad_money, multi_line)
         self._paths, self._multi_line = paths, multi_line
         self._finance_path, self._fmt, self._on_bad_money = finance_path, fmt, on_bad_money
+        self._on_bad_date = on_bad_date
+
+    def sources(self, table: str) -> list[str]:
+        read = {"invoices": ["invoice"], "services": list(feeds_mod.FEED_PRODUCT), "tickets": ["ticket"]}
+        if table == "finance":
+            if not self._finance_path:
+                raise FileNotFoundError("no finance sheet given")
+            return [self._finance_path]
+        return [self._paths[f] for f in read[table]]
+
+    def settings(self, table: str) -> dict:
+        """Which file is which feed, and how exports are read."""
+        return {**super().settings(table), "paths": self._paths, "finance": self._finance_path, "fmt": self._fmt,
+                "on_bad_date": self._on_bad_date, "on_bad_money": self._on_bad_money, "multi_line": self._multi_line}
 
     def invoices(self) -> DataFrame:
         return clean.clean_keys(self._feeds["invoice"])
@@ -369,24 +409,28 @@ def _q_uc_addon(f: Feeds):
     return _user_cost(f, "hostingaddons")
 
 
+def _doubles(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("double") for n in names})
+
+
 @query("invoice_12m_by_user")
 def _q_inv12(f: Feeds):
-    return invoices.invoice_12m_by_user(f.invoices(), f.p.as_of)
+    return _doubles(f.invoice_12m(), "revenue_12m")
 
 
 @query("invoice_revenue_by_user")
 def _q_invrev(f: Feeds):
-    return invoices.invoice_revenue_by_user(f.invoices())
+    return _doubles(f.invoice_revenue(), "revenue")
 
 
 @query("tickets_by_user")
 def _q_tickets(f: Feeds):
-    return invoices.tickets_by_user(f.tickets())
+    return f.ticket_counts()
 
 
 @query("profit_by_customer")
 def _q_profit(f: Feeds):
-    return invoices.profit_by_customer(f.invoices(), f.tickets(), f.p.cost_per_ticket)
+    return invoices.profit(_doubles(f.invoice_revenue(), "revenue"), f.ticket_counts(), f.p.cost_per_ticket)
 
 
 # ---------------------------------------------------------------- customer level
@@ -412,13 +456,12 @@ def _q_revenue_long(f: Feeds):
 
 @query("customer_free_cost")
 def _q_customer_free_cost(f: Feeds):
-    return customers.customer_free_cost(_user_costs(f), invoices.invoice_12m_by_user(f.invoices(), f.p.as_of))
+    return customers.customer_free_cost(_user_costs(f), _doubles(f.invoice_12m(), "revenue_12m"))
 
 
 @query("customer_revenue_summary")
 def _q_customer_revenue(f: Feeds):
-    return customers.customer_revenue_summary(_revenue_long(f),
-                                              invoices.invoice_revenue_by_user(f.invoices(), exact=True))
+    return customers.customer_revenue_summary(_revenue_long(f), f.invoice_revenue())
 
 
 @query("customer_totals")
@@ -443,13 +486,13 @@ def _q_active_clients(f: Feeds):
 
 def _annual_kpis(f: Feeds):
     """The two KPIs of A10 that need neither tickets nor profit."""
-    return customers.annual_kpis(invoices.invoice_12m_by_user(f.invoices(), f.p.as_of, exact=True), _costed(f))
+    return customers.annual_kpis(f.invoice_12m(), _costed(f))
 
 
 def _kpis(f: Feeds):
-    return customers.kpis(invoices.invoice_12m_by_user(f.invoices(), f.p.as_of, exact=True),
+    return customers.kpis(f.invoice_12m(),
                           _costed(f),
-                          invoices.profit_by_customer(f.invoices(), f.tickets(), f.p.cost_per_ticket, exact=True),
+                          f.profits(),
                           f.p.cost_per_ticket)
 
 

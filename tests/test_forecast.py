@@ -73,6 +73,8 @@ def test_zoomed_fit_matches_loop_and_is_never_worse(spark):
             assert (got.alpha, got.beta, got.gamma) == want[1:4]
             assert abs(got.state.sse - want[0]) < 1e-9
             assert got.state.sse <= fits[zoom][name].state.sse
+    plans = [forecast.holt_winters(df, years, 2, zooms)._jdf.queryExecution().executedPlan().toString() for zooms in (0, 2)]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange")     # zooms add no shuffle
     assert fits[2]["A"].state.sse < fits[0]["A"].state.sse
     fine = [[x / 50 for x in range(51)]] * 3             # a plain search over 132,651 points
     assert fits[2]["A"].state.sse <= _loop_fit(series["A"], 2, product(*fine))[0] * 1.05

@@ -11,7 +11,7 @@ FULL_WIDTH = {"lineitem": 11, "orders": 6, "events": 6, "part": 6, "customer": 5
 # The Holt-Winters fit gathers each series' yearly points (collect_list) and picks the best
 # grid point with a struct-ordered min_by; both run on (series x 125) rows after aggregation.
 ORDER_COLUMNS = {"o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice"}   # of 6
-SMALL_TABLE_AGGREGATES = {"hw_forecast", "hw_fitted", "growth_projection"}
+SMALL_TABLE_AGGREGATES = {"hw_fine_fit", "hw_fine_forecast", "hw_forecast", "hw_fitted", "growth_projection"}
 
 
 def test_plan_properties(spark):
