@@ -206,11 +206,13 @@ def read_raw(spark: SparkSession, path: str, columns, fmt: str = "csv", multi_li
 def read_feed(spark: SparkSession, path: str, feed: str, fmt: str = "csv",
               on_bad_date: str = "raise", on_bad_money: str = "raise", multi_line: bool = False) -> DataFrame:
     """Read one billing export.  A missing path is an error (S2), and so
-    is a malformed row."""
+    is a malformed row.  Invoices of CSV files come with the place of each row,
+    which D2/D3 order by; the other feeds have their own columns only."""
     if not path:
         raise FileNotFoundError(f"no path given for feed {feed!r}")
     raw = read_raw(spark, path, FEED_COLUMNS[feed], fmt, multi_line)
-    return text_feed(csv_files.well_formed(raw) if fmt == "csv" else raw, feed, on_bad_date, on_bad_money)
+    typed = text_feed(csv_files.well_formed(raw) if fmt == "csv" else raw, feed, on_bad_date, on_bad_money)
+    return typed if feed == "invoice" else typed.drop(csv_files.ORDER)
 
 
 def load_feeds(spark: SparkSession, paths: dict[str, str], fmt: str = "csv",
