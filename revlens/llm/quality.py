@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from .runtime import plainly_named, ship, tidy, written
 from .words import gram_hashes, inside, mix, slices, span_hashes, split
@@ -91,15 +91,21 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def counted(docs: DataFrame, keep: list[str], text: str = "text", prefix: str = "") -> DataFrame:
-    """The columns ``keep`` and the counts, named with ``prefix``."""
+    """The columns ``keep`` and the counts, named with ``prefix``.  A text that
+    is kept anyway goes to the Python workers once."""
     ship(docs.sparkSession)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text__"))
+    kept = source = docs.select(*[F.col(f"`{c}`") for c in keep])
+    if text in keep and kept.schema[text].dataType == StringType():
+        at = keep.index(text)
+    else:
+        at = len(keep)
+        source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text__"))
     fields = ", ".join(f"`{prefix}{c}` long" for c in COUNTS)
-    schema = StructType(source.drop("__text__").schema.fields + StructType.fromDDL(fields).fields)
+    schema = StructType(kept.schema.fields + StructType.fromDDL(fields).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = text_counts(b.column(len(keep)))
+            c = text_counts(b.column(at))
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in range(len(keep))] + [pa.array(c[x]) for x in COUNTS], names=schema.names)
 

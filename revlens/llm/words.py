@@ -1,7 +1,7 @@
 """Words of Arrow text columns as numpy arrays.
 
 A word is a maximal run of bytes outside 0x20 and 0x09-0x0D.  Everything is
-vectorised over slices of a few MB, so a task's memory does not grow with its
+vectorised over slices of half a MB, so a task's memory does not grow with its
 share of the rows; one text is always whole in one slice.
 """
 
@@ -13,7 +13,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+# Work arrays take up to 60 bytes for each byte of a slice.
+SLICE_BYTES = 1 << 19
 _BLOCK = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

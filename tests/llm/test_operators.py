@@ -696,3 +696,28 @@ def test_offending_sentences_and_plain_noisy_or(spark):
         for x in z[doc == i]:
             clean *= 1 - 1 / (1 + np.exp(-x))
         assert abs(score - (1 - clean)) < 1e-9
+
+
+def test_work_arrays_do_not_grow_with_a_batch():
+    """Counting and scoring 4 MB of text takes less than 64 MB beside the text."""
+    import tracemalloc
+    column = pa.array(["some words of a sentence, and so on. " * 50] * 2200)
+    model = toxicity.Model(np.arange(1000, dtype=np.int32), np.ones(1000), -4.0)
+    for run in (quality.text_counts, lambda c: toxicity.scores(c, model)):
+        run(column.slice(0, 10))
+        tracemalloc.start()
+        try:
+            run(column)
+            assert tracemalloc.get_traced_memory()[1] < 64 << 20
+        finally:
+            tracemalloc.stop()
+
+
+def test_quality_rules_hand_a_kept_text_over_once(spark):
+    docs = spark.createDataFrame([(1, "a few words " * 20), (2, None)], "doc_id long, text string")
+    out = quality.counted(docs, ["doc_id", "text"], prefix="__q_")
+    assert "__text__" not in out._jdf.queryExecution().analyzed().toString()
+    assert [(r["doc_id"], r["text"], r["__q_n_words"]) for r in out.orderBy("doc_id").collect()] == [
+        (1, "a few words " * 20, 60), (2, None, 0)]
+    numbers = spark.createDataFrame([(1, 7)], "doc_id long, text long")
+    assert [tuple(r)[:3] for r in quality.counted(numbers, ["doc_id", "text"], prefix="__q_").collect()] == [(1, 7, 1)]
