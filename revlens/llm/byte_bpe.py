@@ -8,6 +8,7 @@ from array import array
 import numpy as np
 
 SPECIAL = "<|endoftext|>"
+_SPACE = "\u0120"   # stands for a space in the vocabulary
 # Bound of the looked-up chunks of a worker, by an estimate of their bytes.
 CACHE_BYTES = 160 << 20
 _ENTRY = 230        # key and value objects and their place in the table
@@ -19,6 +20,29 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Chunks(dict):
+    """Ids of chunks; a lookup of one that is not here moves it over from
+    ``older``, or leaves in ``new`` an empty array to be filled with its ids."""
+
+    def __init__(self, older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.older = older
+        self.new: dict[str, bytearray] = {}
+        self.size = 0
+
+    def __missing__(self, part: str) -> bytes | bytearray:
+        ids = self.new.get(part)
+        if ids is not None:
+            return ids
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.new[part] = bytearray()
+            return ids
+        self.size += _ENTRY + len(part) + len(ids)
+        self[part] = ids
+        return ids
+
+
 class ChunkTokenizer:
     """Ids as little-endian bytes, chunk by chunk.  A single space between two
     other characters that are no white space always starts a new unit of the
@@ -35,11 +59,9 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)     # ids that begin with a space
-        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
         self.limit = cache_bytes // 2
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.size = 0
+        self.known = _Chunks({})
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes()
@@ -55,21 +77,25 @@ class ChunkTokenizer:
         raw, ends = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
         return [raw[a:z] for a, z in zip(ends, ends[1:])]
 
-    def _learn(self, new: set[str]) -> None:
-        known, older = self.known, self.older
-        todo = []
-        for part in new:
-            ids = older.get(part)
-            if ids is None:
-                todo.append(part)
-            else:
-                known[part] = ids
-                self.size += _ENTRY + len(part) + len(ids)
-        for i in range(0, len(todo), 2_000):
-            some = todo[i:i + 2_000]
-            ids = self._encode_parts(some)
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of ASCII words after a space, each of which is one unit of the
+        pattern, its bytes the model's own characters."""
+        tokenize = self.tokenizer.model.tokenize
+        return [array("I", [t.id for t in tokenize(_SPACE + w)]).tobytes() for w in words]
+
+    def _learn(self) -> None:
+        """Fill the arrays of the new chunks, and keep their ids."""
+        known, new = self.known, self.known.new
+        known.new = {}
+        words = [p for p in new if p.isascii() and p.isalpha()]
+        parts = [p for p in new if not (p.isascii() and p.isalpha())]
+        for some, encode in [(words, self._encode_words)] + [
+                (parts[i:i + 2_000], self._encode_parts) for i in range(0, len(parts), 2_000)]:
+            ids = encode(some)
+            for part, raw in zip(some, ids):
+                new[part] += raw
             known.update(zip(some, ids))
-            self.size += _ENTRY * len(some) + sum(map(len, some)) + sum(map(len, ids))
+            known.size += _ENTRY * len(some) + sum(map(len, some)) + sum(map(len, ids))
 
     def _apart(self, text: str) -> bool:
         """Whether all white space in a text is single and inside."""
@@ -81,13 +107,12 @@ class ChunkTokenizer:
     def ids(self, texts: list[str]) -> list[bytes]:
         """The first chunk of each text is encoded, the others, all of which
         begin with a space, are looked up by what follows it."""
-        if self.size > self.limit:
-            self.known, self.older, self.size = {}, self.known, 0
-        known = self.known
+        if self.known.size > self.limit:
+            self.known.older = {}
+            self.known = _Chunks(self.known)
+        look_up = self.known.__getitem__
         heads: list[str] = []
-        tails: list[list] = []              # ids of each chunk, or the chunk itself where they are not known yet
-        new: set[str] = set()
-        unknown: list[int] = []
+        tails: list[list] = []              # ids of each chunk, some in arrays that are filled once all are found
         for text in texts:
             if SPECIAL in text or not self._apart(text):
                 heads.append(text)
@@ -95,19 +120,16 @@ class ChunkTokenizer:
                 continue
             parts = text.split(" ")
             heads.append(parts.pop(0))
-            found = list(map(known.get, parts))
-            if None in found:
-                found = [p if i is None else i for p, i in zip(parts, found)]
-                new.update([p for p in found if p.__class__ is str])
-                unknown.append(len(tails))
-            tails.append(found)
-        self._learn(new)
-        for t in unknown:
-            tails[t] = [known[p] if p.__class__ is str else p for p in tails[t]]
+            tails.append(list(map(look_up, parts)))
+        self._learn()
         return [head + b"".join(tail) for head, tail in zip(self._encode(heads), tails)]
 
+    @property
+    def size(self) -> int:
+        return self.known.size
+
     def forget(self) -> None:
-        self.known, self.older, self.size = {}, {}, 0
+        self.known = _Chunks({})
 
 
 def tokenizer(path: str, cache_bytes: int = CACHE_BYTES) -> ChunkTokenizer:

@@ -260,3 +260,22 @@ def test_chunks_looked_up_equal_the_tokenizer():
             got = [np.frombuffer(x, dtype="<u4").tolist() for x in small.ids(texts[i:i + 7])]
             assert got == encode(texts[i:i + 7])
     assert small.size < 100_000
+
+
+def test_a_chunk_takes_one_lookup():
+    """New chunks are met in the lookup itself, and words among them skip the tokenizer's pipeline."""
+    t = byte_bpe.ChunkTokenizer(byte_bpe.default_tokenizer())
+    texts = ["one unheardofword, unheardofword and don't can't É1 x1", "two unheardofword.\nNext\u00e9 a I", "A b\tc d's e"]
+    seen = []
+    parts = t._encode_parts
+    t._encode_parts = lambda some: seen.extend(some) or parts(some)
+    want = [np.array(ids, dtype="<u4").tobytes() for ids in encode(texts)]
+    assert t.ids(texts) == want
+    assert "unheardofword," in seen and not any(p.isascii() and p.isalpha() for p in seen)
+    assert t.known["unheardofword"] == t._encode_parts(["unheardofword"])[0] and not t.known.new
+    older = t.known
+    t.known = byte_bpe._Chunks(older)
+    seen.clear()
+    assert t.ids(texts) == want and not seen and t.size > 0
+    t.forget()
+    assert t.size == 0 and t.ids(texts) == want
