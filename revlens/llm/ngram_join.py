@@ -125,27 +125,45 @@ def distinct_shingles(t: Texts, words: int, order: Order | None = None
     return h, doc, level, n, np.cumsum(n)
 
 
+def often(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that ``h`` holds three times or more, ascending, and how
+    often.  ``h`` is sorted in its own place; what else is needed takes a few
+    bits for each entry."""
+    h.sort()
+    if len(h) < 3:
+        return h[:0], np.zeros(0, dtype=np.int64)
+    first = h[2:] == h[:-2]
+    first[1:] &= h[1:-2] != h[:-3]
+    at = np.flatnonzero(first)
+    return h[at], np.searchsorted(h, h[at], side="right") - at
+
+
 def counted_order(texts: DataFrame, rule: Rule) -> Order:
     """The ``COUNTED`` most frequent words and shingles and the logarithms of
     their counts.  A task counts in chunks; what a chunk holds once or twice is left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list] = ([], [])
+        held = np.empty((2, _CHUNK), dtype=np.uint64)
+        size = [0, 0]
 
         def counted(kind: int) -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held[kind]), return_counts=True)
-            held[kind].clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.full((n > 2).sum(), kind, dtype=np.int32)),
-                                               pa.array(h[n > 2].view(np.int64)), pa.array(n[n > 2])], names=["kind", "h", "n"])
+            h, n = often(held[kind, :size[kind]])
+            size[kind] = 0
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, dtype=np.int32)),
+                                               pa.array(h.view(np.int64)), pa.array(n)], names=["kind", "h", "n"])
 
         for b in batches:
             for t in slices(b.column(0)):
                 g, _, _, h = shingles(t, rule.words)
                 for kind, x in ((0, h), (1, g)):
-                    held[kind].append(x)
-                    if sum(map(len, held[kind])) > _CHUNK:
-                        yield counted(kind)
+                    while len(x):       # a long text can fill several chunks
+                        part = x[:_CHUNK - size[kind]]
+                        held[kind, size[kind]:size[kind] + len(part)] = part
+                        size[kind] += len(part)
+                        x = x[len(part):]
+                        if size[kind] == _CHUNK:
+                            yield counted(kind)
         for kind in (0, 1):
-            if held[kind]:
+            if size[kind]:
                 yield counted(kind)
 
     sums = written(texts.select("text").mapInArrow(tidy(run), "kind int, h long, n long")

@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 _own_folders: dict[str, str] = {}       # of local applications without spark.checkpoint.dir
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Rows go to the Python workers in batches; by Spark's default one holds 10,000
+# rows however long, in the executor (its buffer doubled as it grows) and twice
+# in the worker.  Workers use slices of half a MB, so larger batches gain nothing.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,7 +60,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers once per application, so that
-    tasks can import it wherever the driver loaded it from."""
+    tasks can import it wherever the driver loaded it from, and bound the bytes
+    of the batches they get, unless the session has a bound of its own."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from revlens.llm import (chat, fingerprints, ngram_join, packing, quality, queries, sentencepiece_sampling, sharding,
-                         substring_dedup, toxicity, warc)
+                         runtime, substring_dedup, toxicity, warc)
 from revlens.llm.fm_index import FMIndex
 from revlens.llm.runtime import new_path
 from revlens.llm.words import gram_hashes, mix, span_hashes
@@ -721,3 +721,80 @@ def test_quality_rules_hand_a_kept_text_over_once(spark):
         (1, "a few words " * 20, 60), (2, None, 0)]
     numbers = spark.createDataFrame([(1, 7)], "doc_id long, text long")
     assert [tuple(r)[:3] for r in quality.counted(numbers, ["doc_id", "text"], prefix="__q_").collect()] == [(1, 7, 1)]
+
+
+def test_often_counts_like_brute_force():
+    rng = np.random.default_rng(5)
+    for size, kinds in ((0, 1), (1, 1), (2, 1), (3, 1), (50, 1), (1000, 300), (5000, 40), (4000, 4000)):
+        h = rng.integers(0, kinds, size).astype(np.uint64)
+        want, n = np.unique(h, return_counts=True)
+        got, count = ngram_join.often(h.copy())
+        assert got.tolist() == want[n > 2].tolist() and count.tolist() == n[n > 2].tolist()
+
+
+def test_counting_shingles_takes_little_beside_its_chunks(monkeypatch):
+    """A worker that counts 5 million words and as many shingles holds the two
+    chunks and less than 64 MB; a text longer than a chunk is counted whole."""
+    import tracemalloc
+    found = {}
+
+    class Taken(Exception):
+        pass
+
+    class Table:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            found["run"] = run
+            raise Taken
+
+    def of(column):
+        with pytest.raises(Taken):
+            ngram_join.counted_order(Table(), ngram_join.Rule(5, 80, 100))
+        return found["run"](iter([pa.RecordBatch.from_arrays([c], names=["text"]) for c in column]))
+
+    column = [pa.array([" ".join(map(str, range(i, i + 1000)))] * 50) for i in range(0, 100_000, 1000)]
+    assert len(list(of(column[:1]))) == 2
+    tracemalloc.start()
+    try:
+        sizes = [b.num_rows for b in of(column)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) > 190_000 and peak < 2 * 8 * ngram_join._CHUNK + (64 << 20)
+
+    monkeypatch.setattr(ngram_join, "_CHUNK", 1000)
+    counts = collections.Counter()
+    for b in of([pa.array(["a b c d e f g h " * 1000])]):
+        for kind, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            counts[kind] += n
+    assert counts == {0: 8000, 1: 7996}
+
+
+def test_long_rows_reach_the_workers_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    docs = spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "repeat('a few words ', 500) AS text")
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        runtime.ship(spark)
+        got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in got) == 3000 and max(r["bytes"] for r in got) < 4 << 20
+        spark.conf.set(key, "100000")           # a bound of the session's own stays
+        runtime.ship(spark)
+        assert spark.conf.get(key) == "100000"
+        # Results do not depend on the borders of batches.
+        some = spark.createDataFrame([(i, t) for i, t in corner_texts() if i], "doc_id long, text string")
+        rule = ngram_join.Rule(5, 80, 100)
+        spark.conf.set(key, "1000")
+        small = sorted(map(tuple, ngram_join.join_documents(some, rule).collect()))
+        spark.conf.unset(key)
+        assert small == sorted(map(tuple, ngram_join.join_documents(some, rule).collect()))
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
